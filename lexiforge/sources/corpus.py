@@ -36,7 +36,7 @@ def split_units(df: DataFrame, key_col: str, text_col: str, label_col: str,
     pieces = sents.select("doc_id", "label", "sent_no", "all_tokens",
                           F.explode(F.sequence(F.lit(0), n_pieces - 1)).alias("chunk_no"))
     return pieces.select(
-        "doc_id", "sent_no", "chunk_no",
+        "doc_id", F.col("sent_no").cast("bigint").alias("sent_no"), F.col("chunk_no").cast("bigint").alias("chunk_no"),
         F.concat_ws(":", "doc_id", "sent_no", "chunk_no").alias("unit_key"),
         "label",
         F.slice("all_tokens", F.col("chunk_no") * max_tokens + 1, max_tokens).alias("tokens"))
