@@ -60,3 +60,65 @@ QUERIES = {
     "e4_random_delete": _technique("rd", False),
     "e5_eda": q_eda,
 }
+
+
+# --- vocabulary and encoding -------------------------------------------------
+from lexiforge.functions.text import char_tokens  # noqa: E402
+from lexiforge.operators import vocab as vocab_ops  # noqa: E402
+from lexiforge.sources.corpus import read_table  # noqa: E402
+
+
+def q_token_freq(spark, sf_dir):
+    return vocab_ops.token_counts(document_units(spark, sf_dir))
+
+
+def q_char_freq(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    return vocab_ops.token_counts(conv.select(char_tokens(F.col("text")).alias("tokens")))
+
+
+def q_vocab(spark, sf_dir):
+    return vocab_ops.build_vocab(document_units(spark, sf_dir))
+
+
+def q_label_vocab(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    return vocab_ops.build_label_vocab(conv, "role")
+
+
+def q_token_probs(spark, sf_dir):
+    return vocab_ops.token_probs(vocab_ops.build_vocab(document_units(spark, sf_dir)))
+
+
+def _encoded(spark, sf_dir):
+    units = document_units(spark, sf_dir)
+    voc = vocab_ops.build_vocab(units)
+    return vocab_ops.encode_units(units, voc, vocab_ops.build_label_vocab(units)), voc
+
+
+def q_encode(spark, sf_dir):
+    enc, _ = _encoded(spark, sf_dir)
+    return enc.select("id", "doc_id", "sent_no", "chunk_no", "intent", "len",
+                      F.array_join("utter", " ").alias("utter"))
+
+
+def q_decode(spark, sf_dir):
+    enc, voc = _encoded(spark, sf_dir)
+    return vocab_ops.decode_ids(enc.select("id", "utter"), voc)
+
+
+def q_inspect(spark, sf_dir):
+    enc, voc = _encoded(spark, sf_dir)
+    return vocab_ops.inspect_encoded(enc, voc, 5)
+
+
+QUERIES.update({
+    "a1_token_freq": q_token_freq,
+    "a1_char_freq": q_char_freq,
+    "a2_vocab": q_vocab,
+    "a3_label_vocab": q_label_vocab,
+    "a4_token_probs": q_token_probs,
+    "j1_encode": q_encode,
+    "j2_decode": q_decode,
+    "s13_inspect": q_inspect,
+})

@@ -174,3 +174,70 @@ ORACLES = {
     "e4_random_delete": single_technique_sql("rd"),
     "e5_eda": eda_sql(),
 }
+
+
+# --- vocabulary and encoding -------------------------------------------------
+RESERVED_VALUES = "(VALUES (0, '<_PAD>'), (1, '<_EOS>'), (2, '<_GO>'), (3, '<_UNK>'), (4, '<_OOD>')) r(id, token)"
+
+
+def norm_label(col: str) -> str:
+    return f"CASE WHEN contains(lower({col}), 'other') THEN 'other' ELSE lower({col}) END"
+
+
+def vocab_ctes() -> str:
+    return f"""counts AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM units)
+               WHERE token NOT IN (SELECT token FROM {RESERVED_VALUES}) GROUP BY token),
+    vocab AS (SELECT CAST(id AS BIGINT) AS id, token, CAST(0 AS BIGINT) AS cnt FROM {RESERVED_VALUES}
+              UNION ALL
+              SELECT row_number() OVER (ORDER BY cnt DESC, token) + 4 AS id, token, cnt FROM counts)"""
+
+
+def label_vocab_cte(src: str, col: str) -> str:
+    return f"""lcounts AS (SELECT {norm_label(col)} AS label, count(*) AS cnt FROM {src}
+                WHERE {col} IS NOT NULL GROUP BY 1),
+    lvocab AS (SELECT CAST(0 AS BIGINT) AS id, '<_UNK>' AS label, CAST(0 AS BIGINT) AS cnt
+               UNION ALL SELECT row_number() OVER (ORDER BY cnt DESC, label) AS id, label, cnt FROM lcounts)"""
+
+
+def encode_ctes(max_len: int = 66) -> str:
+    return f"""{vocab_ctes()}, {label_vocab_cte('units', 'label')},
+    wr AS (SELECT doc_id, sent_no, chunk_no, {norm_label('label')} AS label,
+                  list_concat(['<_GO>'], tokens[1:{max_len - 2}], ['<_EOS>']) AS utt FROM units WHERE len(tokens) > 0),
+    ex AS (SELECT doc_id, sent_no, chunk_no, label, t.i AS pos, utt[t.i + 1] AS token
+           FROM wr, unnest(range(len(utt))) AS t(i)),
+    ids AS (SELECT ex.*, coalesce(v.id, 3) AS tid FROM ex LEFT JOIN vocab v ON ex.token = v.token),
+    rb AS (SELECT doc_id, sent_no, chunk_no, label, list(CAST(tid AS INTEGER) ORDER BY pos) AS utter
+           FROM ids GROUP BY doc_id, sent_no, chunk_no, label),
+    enc AS (SELECT row_number() OVER (ORDER BY doc_id, sent_no, chunk_no) - 1 AS id, doc_id, sent_no, chunk_no,
+                   CAST(coalesce(l.id, 0) AS INTEGER) AS intent, CAST(len(utter) AS INTEGER) AS len, utter
+            FROM rb LEFT JOIN lvocab l ON rb.label = l.label)"""
+
+
+def decode_sql(where: str = "") -> str:
+    return f"""WITH {units_cte()}, {encode_ctes()},
+    dx AS (SELECT id, t.i AS pos, utter[t.i + 1] AS tid FROM enc, unnest(range(len(utter))) AS t(i) {where})
+    SELECT dx.id, string_agg(v.token, ' ' ORDER BY dx.pos) AS text
+    FROM dx JOIN vocab v ON dx.tid = v.id GROUP BY dx.id"""
+
+
+ORACLES.update({
+    "a1_token_freq": f"""WITH {units_cte()} SELECT token, count(*) AS cnt
+        FROM (SELECT unnest(tokens) AS token FROM units) GROUP BY token""",
+    "a1_char_freq": """SELECT token, count(*) AS cnt FROM (
+        SELECT unnest(list_filter(string_split(regexp_replace(text, '\\s', '', 'g'), ''), lambda c: c <> '')) AS token
+        FROM conversations) GROUP BY token""",
+    "a2_vocab": f"WITH {units_cte()}, {vocab_ctes()} SELECT id, token, cnt FROM vocab",
+    "a3_label_vocab": f"WITH {label_vocab_cte('conversations', 'role')} SELECT id, label, cnt FROM lvocab",
+    "a4_token_probs": f"""WITH {units_cte()}, {vocab_ctes()}
+        SELECT id AS token_id, token, cnt, cnt / sum(cnt) OVER () AS prob,
+               sum(cnt) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(cnt) OVER () AS cum_prob
+        FROM vocab WHERE cnt > 0""",
+    "j1_encode": f"""WITH {units_cte()}, {encode_ctes()}
+        SELECT id, doc_id, sent_no, chunk_no, intent, len, array_to_string(utter, ' ') AS utter FROM enc""",
+    "j2_decode": decode_sql(),
+    "s13_inspect": f"""WITH {units_cte()}, {encode_ctes()},
+    dx AS (SELECT id, intent, len, t.i AS pos, utter[t.i + 1] AS tid FROM enc, unnest(range(len(utter))) AS t(i)
+           WHERE id <= 5)
+    SELECT dx.id, dx.intent, dx.len, string_agg(v.token, ' ' ORDER BY dx.pos) AS text
+    FROM dx JOIN vocab v ON dx.tid = v.id GROUP BY dx.id, dx.intent, dx.len""",
+})
