@@ -52,7 +52,8 @@ def token_probs(vocab: DataFrame) -> DataFrame:
     ranked = dense_index(counted, [F.asc("token_id")], id_col="_rank", value_col="cnt")
     return ranked.select("token_id", "token", "cnt",
                          (F.col("cnt") / F.col("total_cnt")).alias("prob"),
-                         (F.col("cum_cnt") / F.col("total_cnt")).alias("cum_prob"))
+                         (F.col("cum_cnt") / F.col("total_cnt")).alias("cum_prob"),
+                         "cum_cnt", "total_cnt")
 
 
 def encode_units(units: DataFrame, vocab: DataFrame, label_vocab: DataFrame, max_len: int = 66,

@@ -87,7 +87,8 @@ def q_label_vocab(spark, sf_dir):
 
 
 def q_token_probs(spark, sf_dir):
-    return vocab_ops.token_probs(vocab_ops.build_vocab(document_units(spark, sf_dir)))
+    probs = vocab_ops.token_probs(vocab_ops.build_vocab(document_units(spark, sf_dir)))
+    return probs.select("token_id", "token", "cnt", "prob", "cum_prob")
 
 
 def _encoded(spark, sf_dir):
@@ -122,3 +123,160 @@ QUERIES.update({
     "j2_decode": q_decode,
     "s13_inspect": q_inspect,
 })
+
+
+# --- noise, batching, sampling -------------------------------------------------
+from lexiforge.operators import batching, latent, metrics, mixup, noise  # noqa: E402
+
+
+def _enc_probs(spark, sf_dir):
+    units = document_units(spark, sf_dir)
+    voc = vocab_ops.build_vocab(units)
+    enc = vocab_ops.encode_units(units, voc, vocab_ops.build_label_vocab(units))
+    return enc, vocab_ops.token_probs(voc)
+
+
+def _ids_text(df, col="utter"):
+    return F.array_join(col, " ").alias(col)
+
+
+def q_noise(spark, sf_dir):
+    enc, probs = _enc_probs(spark, sf_dir)
+    out = noise.noise_tokens(enc, probs, rate=0.1)
+    return out.select("id", "intent", "len", _ids_text("utter"))
+
+
+def q_random_ood(spark, sf_dir):
+    enc, probs = _enc_probs(spark, sf_dir)
+    out = noise.random_ood(enc.select("id"), probs, max_len=20)
+    return out.select("id", "intent", "len", _ids_text("utter"))
+
+
+def q_padded_batches(spark, sf_dir):
+    enc, _ = _encoded(spark, sf_dir)
+    out = batching.padded_batches(enc, 16)
+    return out.select("batch_id", "id", "len", "batch_len", _ids_text("utter"))
+
+
+def q_length_batches(spark, sf_dir):
+    enc, _ = _encoded(spark, sf_dir)
+    out = batching.length_sorted_batches(enc, 20)
+    return out.select("batch_id", "id", "len", "batch_len")
+
+
+def q_shuffle(spark, sf_dir):
+    out = batching.seeded_shuffle(read_table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"])
+    return out
+
+
+def q_repeat(spark, sf_dir):
+    return batching.repeat_epochs(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), 3)
+
+
+def q_split(spark, sf_dir):
+    return batching.split_train_dev_test(read_table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"])
+
+
+def q_leading(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return batching.leading_fraction(conv, "conv_id", "turn", 0.5)
+
+
+def q_tiers(spark, sf_dir):
+    units = document_units(spark, sf_dir).select("doc_id", "sent_no", "chunk_no", "label")
+    return batching.low_resource_tiers(units, ["doc_id", "sent_no", "chunk_no"]).select(
+        "doc_id", "sent_no", "chunk_no", "label", "draw_rank", "tier")
+
+
+# --- vectors: mixup, metrics, Gaussians ---------------------------------------
+
+def _embeddings(spark, sf_dir):
+    return read_table(spark, sf_dir, "embeddings")
+
+
+def _r6(c):
+    return F.transform(c, lambda x: F.round(x, 6))
+
+
+def q_sentence_mixup(spark, sf_dir):
+    pairs = mixup.mixup_pairs(_embeddings(spark, sf_dir), batch_size=20, rate=0.5, alpha=1.0)
+    out = mixup.sentence_mixup(pairs)
+    return out.select("batch_id", F.col("i").cast("bigint").alias("i"), "key0", "key1", F.round("lam", 6).alias("lam"),
+                      "label0", "label1", F.posexplode("mixed").alias("dim", "value")).select(
+        "batch_id", "i", "key0", "key1", "lam", "label0", "label1", F.col("dim").cast("bigint").alias("dim"),
+        F.round("value", 6).alias("value"))
+
+
+def q_beta2_mixup(spark, sf_dir):
+    pairs = mixup.mixup_pairs(_embeddings(spark, sf_dir), batch_size=20, rate=0.3, alpha=2.0)
+    return pairs.select("batch_id", F.col("i").cast("bigint").alias("i"), "key0", "key1",
+                        F.round("lam", 6).alias("lam"))
+
+
+def _logits(df):
+    """The first 10 components of an embedding read as class scores."""
+    return df.select("vec_id", F.slice("embedding", 1, 10).cast("array<double>").alias("logits"),
+                     F.col("label").alias("target"))
+
+
+def q_accuracy(spark, sf_dir):
+    m = metrics.accuracy(_logits(_embeddings(spark, sf_dir)))
+    return m.select("n", "correct", F.round("accuracy", 6).alias("accuracy"), F.round("loss", 6).alias("loss"))
+
+
+def q_mixup_loss(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    pairs = mixup.sentence_mixup(mixup.mixup_pairs(emb, batch_size=20, rate=0.5, alpha=1.0))
+    mixed = pairs.select(F.slice("mixed", 1, 10).cast("array<double>").alias("logits"), "lam", "label0", "label1")
+    out = mixup.mixup_loss(_logits(emb), mixed)
+    return out.select("n_clean", "n_mixed", *[F.round(c, 6).alias(c) for c in ("clean_loss", "mix_loss", "total_loss")])
+
+
+def q_label_gaussians(spark, sf_dir):
+    g = latent.label_gaussians(_embeddings(spark, sf_dir))
+    return g.select("label", F.col("dim").cast("bigint").alias("dim"), F.round("mu", 6).alias("mu"),
+                    F.round("logvar", 6).alias("logvar"), "n")
+
+
+def q_kl(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    kl = latent.kl_to_pooled(latent.label_gaussians(emb), latent.pooled_gaussian(emb))
+    return kl.select("label", F.round("kl", 5).alias("kl"))
+
+
+def q_latent(spark, sf_dir):
+    emb = _embeddings(spark, sf_dir)
+    z = latent.sample_latent(emb, latent.label_gaussians(emb))
+    return z.select("key", "label", F.posexplode("z").alias("dim", "z")).select(
+        "key", "label", F.col("dim").cast("bigint").alias("dim"), F.round("z", 4).alias("z"))
+
+
+def q_corpus_stats(spark, sf_dir):
+    return metrics.corpus_stats(document_units(spark, sf_dir))
+
+
+def q_growth(spark, sf_dir):
+    aug = eda.eda(_lexicon_units(spark, sf_dir), num_aug=9)
+    return metrics.growth_report(aug)
+
+
+QUERIES.update({
+    "e7_noise_tokens": q_noise,
+    "e8_random_ood": q_random_ood,
+    "w2_padded_batches": q_padded_batches,
+    "w3_length_sorted_batches": q_length_batches,
+    "l1_seeded_shuffle": q_shuffle,
+    "l2_repeat_epochs": q_repeat,
+    "l3_train_dev_test": q_split,
+    "l4_leading_fraction": q_leading,
+    "l5_low_resource_tiers": q_tiers,
+    "e10_sentence_mixup": q_sentence_mixup,
+    "e9_beta_draw": q_beta2_mixup,
+    "a5_accuracy": q_accuracy,
+    "a7_mixup_loss": q_mixup_loss,
+    "a14_label_gaussians": q_label_gaussians,
+    "a15_kl_divergence": q_kl,
+    "e15_latent_sample": q_latent,
+    "a10_corpus_stats": q_corpus_stats,
+    "a12_growth_report": q_growth,
+})

@@ -241,3 +241,150 @@ ORACLES.update({
     SELECT dx.id, dx.intent, dx.len, string_agg(v.token, ' ' ORDER BY dx.pos) AS text
     FROM dx JOIN vocab v ON dx.tid = v.id GROUP BY dx.id, dx.intent, dx.len""",
 })
+
+
+# --- noise, batching, sampling -------------------------------------------------
+PROBS_CTE = """probs AS (SELECT id AS token_id, cnt,
+                   sum(cnt) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_cnt,
+                   sum(cnt) OVER () AS total FROM vocab WHERE cnt > 0),
+    tot AS (SELECT max(total) AS total FROM probs)"""
+
+
+def noise_sql(rate: float = 0.1, seed: int = 530) -> str:
+    return f"""WITH {units_cte()}, {encode_ctes()}, {PROBS_CTE},
+    hx AS (SELECT id, intent, len, utter, {H(str(seed), "'noise'", 'id')} AS h FROM enc),
+    nx AS (SELECT id, intent, len, t.i AS pos, utter[t.i + 1] AS tid, h FROM hx, unnest(range(len(utter))) AS t(i)),
+    nz AS (SELECT nx.*, (pos < len - 1 AND {U('h', 'pos * 2')} < {rate}) AS noised,
+                  CAST(floor({U('h', 'pos * 2 + 1')} * tot.total) AS BIGINT) AS r FROM nx, tot),
+    dr AS (SELECT nz.id, nz.intent, nz.len, nz.pos, CASE WHEN nz.noised THEN p.token_id ELSE nz.tid END AS tid
+           FROM nz LEFT JOIN probs p ON nz.noised AND nz.r >= p.cum_cnt - p.cnt AND nz.r < p.cum_cnt)
+    SELECT id, intent, len, array_to_string(list(CAST(tid AS INTEGER) ORDER BY pos), ' ') AS utter
+    FROM dr GROUP BY id, intent, len"""
+
+
+def random_ood_sql(max_len: int = 20, seed: int = 530) -> str:
+    return f"""WITH {units_cte()}, {encode_ctes()}, {PROBS_CTE},
+    hx AS (SELECT id, {H(str(seed), "'ood'", 'id')} AS h FROM enc),
+    ln AS (SELECT id, h, {PICK('h', '0', str(max_len - 1))} + 1 AS len FROM hx),
+    nx AS (SELECT ln.id, ln.h, ln.len, t.i AS pos,
+                  CAST(floor({U('h', 't.i + 1')} * tot.total) AS BIGINT) AS r
+           FROM ln, tot, unnest(range(ln.len)) AS t(i)),
+    dr AS (SELECT nx.id, nx.len, nx.pos, CASE WHEN nx.pos = nx.len - 1 THEN 1 ELSE p.token_id END AS tid
+           FROM nx LEFT JOIN probs p ON nx.pos < nx.len - 1 AND nx.r >= p.cum_cnt - p.cnt AND nx.r < p.cum_cnt)
+    SELECT id, -1 AS intent, len, array_to_string(list(CAST(tid AS INTEGER) ORDER BY pos), ' ') AS utter
+    FROM dr GROUP BY id, len"""
+
+
+def padded_sql(bs: int = 16) -> str:
+    return f"""WITH {units_cte()}, {encode_ctes()},
+    b AS (SELECT *, CAST(floor(id / {bs}) AS BIGINT) AS batch_id FROM enc),
+    m AS (SELECT *, max(len) OVER (PARTITION BY batch_id) AS batch_len FROM b)
+    SELECT batch_id, id, len, batch_len, array_to_string(list_resize(utter, batch_len, 0), ' ') AS utter FROM m"""
+
+
+def length_sorted_sql(bs: int = 20) -> str:
+    return f"""WITH {units_cte()}, {encode_ctes()},
+    r AS (SELECT *, row_number() OVER (ORDER BY len, id) - 1 AS rk FROM enc),
+    b AS (SELECT *, CAST(floor(rk / {bs}) AS BIGINT) AS batch_id FROM r)
+    SELECT batch_id, id, len, max(len) OVER (PARTITION BY batch_id) AS batch_len FROM b"""
+
+
+def split_sql(train: float = 0.8, dev: float = 0.1, seed: int = 2020) -> str:
+    h = H(str(seed), "'split'", "doc_id")
+    u = f"({h} / 268435456.0)"
+    return f"""SELECT doc_id, lang, CASE WHEN {u} < {train!r} THEN 'train' WHEN {u} < {train + dev!r} THEN 'dev'
+               ELSE 'test' END AS split FROM documents"""
+
+
+def tiers_sql(sizes=(100, 500, 2000, 5000), seed: int = 2020) -> str:
+    tier = "CASE " + " ".join(f"WHEN draw_rank < {s} THEN {s}" for s in sorted(sizes)) + " END"
+    return f"""WITH {units_cte()},
+    d AS (SELECT doc_id, sent_no, chunk_no, label, {H(str(seed), "'tier'", 'doc_id', 'sent_no', 'chunk_no')} AS dr
+          FROM units),
+    r AS (SELECT *, row_number() OVER (ORDER BY dr, doc_id, sent_no, chunk_no) - 1 AS draw_rank FROM d)
+    SELECT doc_id, sent_no, chunk_no, label, draw_rank, CAST({tier} AS INTEGER) AS tier FROM r"""
+
+
+# --- vectors -------------------------------------------------------------------
+
+def pairs_cte(bs: int = 20, rate: float = 0.5, alpha: int = 1, seed: int = 2020) -> str:
+    lam = (f"list_sort([{', '.join(U('h', str(i)) for i in range(2 * alpha - 1))}])[{alpha}]")
+    return f"""rk AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings),
+    bt AS (SELECT *, CAST(floor(r / {bs}) AS BIGINT) AS batch_id, CAST(r % {bs} AS INTEGER) AS pos FROM rk),
+    bz AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS bsize FROM bt),
+    bk AS (SELECT *, CAST(floor(bsize * {rate}) AS INTEGER) AS k FROM bz),
+    pr AS (SELECT a.batch_id, a.pos AS i, a.vec_id AS key0, b.vec_id AS key1, a.label AS label0, b.label AS label1,
+                  a.embedding AS x0, b.embedding AS x1, {H(str(seed), "'mixup'", 'a.batch_id', 'a.pos')} AS h
+           FROM bk a JOIN bk b ON a.batch_id = b.batch_id AND b.pos = a.bsize - a.k + a.pos WHERE a.pos < a.k),
+    pl AS (SELECT *, {lam} AS lam FROM pr)"""
+
+
+def logits_cte() -> str:
+    return "lg AS (SELECT vec_id, CAST(embedding[1:10] AS DOUBLE[]) AS logits, label AS target FROM embeddings)"
+
+
+def ce(logits: str, target: str) -> str:
+    m = f"list_max({logits})"
+    return f"(-({logits}[{target} + 1] - ({m} + ln(list_sum(list_transform({logits}, lambda x: exp(x - {m})))))))"
+
+
+def gauss_cte() -> str:
+    return """ge AS (SELECT label, t.i AS dim, embedding[t.i + 1] AS x FROM embeddings, unnest(range(len(embedding))) AS t(i)),
+    ga AS (SELECT label, dim, avg(x) AS mu, ln(greatest(var_pop(x), 1e-12)) AS logvar, count(*) AS n
+           FROM ge GROUP BY label, dim)"""
+
+
+def latent_sql(seed: int = 2020) -> str:
+    u1 = f"(1.0 - {U('h', 'ga.dim * 2')})"
+    u2 = U("h", "ga.dim * 2 + 1")
+    z = f"ga.mu + exp(ga.logvar / 2.0) * (sqrt(-2.0 * ln({u1})) * cos(2.0 * {__import__('math').pi!r} * {u2}))"
+    return f"""WITH {gauss_cte()},
+    rw AS (SELECT vec_id AS key, label, {H(str(seed), "'latent'", 'vec_id')} AS h FROM embeddings)
+    SELECT rw.key, rw.label, ga.dim, round({z}, 4) AS z FROM rw JOIN ga ON rw.label = ga.label"""
+
+
+ORACLES.update({
+    "e7_noise_tokens": noise_sql(),
+    "e8_random_ood": random_ood_sql(),
+    "w2_padded_batches": padded_sql(),
+    "w3_length_sorted_batches": length_sorted_sql(),
+    "l1_seeded_shuffle": "SELECT doc_id, lang FROM documents",
+    "l2_repeat_epochs": """SELECT conv_id, turn, role, CAST(e.epoch AS INTEGER) AS epoch
+        FROM conversations, unnest(range(1, 4)) AS e(epoch)""",
+    "l3_train_dev_test": split_sql(),
+    "l4_leading_fraction": """SELECT conv_id, turn, role FROM conversations
+        QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= floor(count(*) OVER (PARTITION BY conv_id) * 0.5)""",
+    "l5_low_resource_tiers": tiers_sql(),
+    "e10_sentence_mixup": f"""WITH {pairs_cte()}
+        SELECT batch_id, CAST(i AS BIGINT) AS i, key0, key1, round(lam, 6) AS lam, label0, label1, CAST(d.j AS BIGINT) AS dim,
+               round(lam * x0[d.j + 1] + (1 - lam) * x1[d.j + 1], 6) AS value
+        FROM pl, unnest(range(len(x0))) AS d(j)""",
+    "e9_beta_draw": f"""WITH {pairs_cte(20, 0.3, 2)}
+        SELECT batch_id, CAST(i AS BIGINT) AS i, key0, key1, round(lam, 6) AS lam FROM pl""",
+    "a5_accuracy": f"""WITH {logits_cte()}
+        SELECT count(*) AS n, sum(CAST(list_position(logits, list_max(logits)) - 1 = target AS INTEGER)) AS correct,
+               round(avg(CAST(list_position(logits, list_max(logits)) - 1 = target AS INTEGER)), 6) AS accuracy,
+               round(avg({ce('logits', 'target')}), 6) AS loss FROM lg""",
+    "a7_mixup_loss": f"""WITH {logits_cte()}, {pairs_cte()},
+        mx AS (SELECT lam, label0, label1,
+                      list_transform(range(10), lambda j: lam * x0[j + 1] + (1 - lam) * x1[j + 1]) AS logits FROM pl),
+        c AS (SELECT count(*) AS n_clean, avg({ce('logits', 'target')}) AS clean_loss FROM lg),
+        m AS (SELECT count(*) AS n_mixed,
+                     avg(lam * {ce('logits', 'label0')} + (1 - lam) * {ce('logits', 'label1')}) AS mix_loss FROM mx)
+        SELECT n_clean, n_mixed, round(clean_loss, 6) AS clean_loss, round(mix_loss, 6) AS mix_loss,
+               round(clean_loss + coalesce(mix_loss, 0), 6) AS total_loss FROM c, m""",
+    "a14_label_gaussians": f"""WITH {gauss_cte()}
+        SELECT label, dim, round(mu, 6) AS mu, round(logvar, 6) AS logvar, n FROM ga""",
+    "a15_kl_divergence": f"""WITH {gauss_cte()},
+        po AS (SELECT dim, avg(x) AS mu0, ln(greatest(var_pop(x), 1e-12)) AS logvar0 FROM ge GROUP BY dim)
+        SELECT label, round(0.5 * sum(exp(logvar - logvar0) + (mu - mu0) ^ 2 / exp(logvar0) - 1 - (logvar - logvar0)), 5) AS kl
+        FROM ga JOIN po ON ga.dim = po.dim GROUP BY label""",
+    "e15_latent_sample": latent_sql(),
+    "a10_corpus_stats": f"""WITH {units_cte()}
+        SELECT 'n_units' AS metric, count(*) AS value FROM units
+        UNION ALL SELECT 'n_tokens', sum(len(tokens)) FROM units
+        UNION ALL SELECT 'vocab_size', count(DISTINCT t) FROM (SELECT unnest(tokens) AS t FROM units)
+        UNION ALL SELECT 'n_labels', count(DISTINCT label) FROM units""",
+    "a12_growth_report": f"""WITH ed AS ({eda_sql()})
+        SELECT label, method, count(*) AS n_rows FROM ed GROUP BY ROLLUP (label, method)""",
+})
