@@ -280,3 +280,71 @@ QUERIES.update({
     "a10_corpus_stats": q_corpus_stats,
     "a12_growth_report": q_growth,
 })
+
+
+# --- generation and collection ---------------------------------------------------
+from lexiforge.operators import collect, ngram  # noqa: E402
+
+
+def _conv_units(spark, sf_dir):
+    from lexiforge.sources.corpus import conversation_units
+    return conversation_units(spark, sf_dir)
+
+
+def q_transitions(spark, sf_dir):
+    t = ngram.fit_transitions(document_units(spark, sf_dir))
+    return t.select("label", "prev", "next", "cnt", "total", F.round("p", 9).alias("p"))
+
+
+def q_greedy(spark, sf_dir):
+    units = document_units(spark, sf_dir)
+    dec = ngram.greedy(ngram.fit_transitions(units), ngram.starts(units), max_steps=12)
+    return dec.select("label", "start", F.array_join("seq", " ").alias("seq"))
+
+
+def q_beam(spark, sf_dir):
+    units = document_units(spark, sf_dir)
+    dec = ngram.beam(ngram.fit_transitions(units), ngram.starts(units), beam_width=5, max_steps=8)
+    return dec.select("label", "start", F.col("rank").cast("bigint").alias("rank"),
+                      F.array_join("seq", " ").alias("seq"), "score")
+
+
+def q_beam_topk(spark, sf_dir):
+    units = document_units(spark, sf_dir)
+    trans = ngram.topk_filtered(ngram.fit_transitions(units), 5)
+    dec = ngram.beam(trans, ngram.starts(units), beam_width=5, max_steps=8)
+    return dec.select("label", "start", F.col("rank").cast("bigint").alias("rank"),
+                      F.array_join("seq", " ").alias("seq"), "score")
+
+
+def q_score_texts(spark, sf_dir):
+    units = document_units(spark, sf_dir)
+    s = ngram.score_texts(units, ngram.fit_transitions(units))
+    return s.select("doc_id", "sent_no", "chunk_no", "label", F.round("nll", 6).alias("nll"), "n_tok")
+
+
+def q_perplexity(spark, sf_dir):
+    units = document_units(spark, sf_dir)
+    p = ngram.perplexity(ngram.score_texts(units, ngram.fit_transitions(units)))
+    return p.select("n_utt", "n_tok", *[F.round(c, 6).alias(c) for c in ("token_nll", "ppl", "utt_nll")])
+
+
+def q_collect(spark, sf_dir):
+    units = document_units(spark, sf_dir)
+    trans = ngram.fit_transitions(units)
+    st = ngram.starts(units)
+    greedy_rows = ngram.generated_rows(units, ngram.greedy(trans, st, max_steps=12), "greedy")
+    cands = greedy_rows.select("org", "aug", "method", "label")
+    origs = units.select(F.array_join("tokens", " ").alias("org"))
+    return collect.collect_generated(cands, origs)
+
+
+QUERIES.update({
+    "g1_fit_transitions": q_transitions,
+    "g2a_generate_greedy": q_greedy,
+    "g2b_generate_beam": q_beam,
+    "g2c_generate_beam_topk": q_beam_topk,
+    "g3_score_text": q_score_texts,
+    "a8_perplexity": q_perplexity,
+    "e12_collect_generated": q_collect,
+})

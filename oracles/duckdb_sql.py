@@ -388,3 +388,72 @@ ORACLES.update({
     "a12_growth_report": f"""WITH ed AS ({eda_sql()})
         SELECT label, method, count(*) AS n_rows FROM ed GROUP BY ROLLUP (label, method)""",
 })
+
+
+# --- generation and collection ---------------------------------------------------
+TRANS_CTE = """pz AS (SELECT label, list_concat(['<_GO>'], tokens) AS ip, list_concat(tokens, ['<_EOS>']) AS tg FROM units),
+    pp AS (SELECT label, ip[t.i + 1] AS prev, tg[t.i + 1] AS next FROM pz, unnest(range(len(ip))) AS t(i)),
+    tc AS (SELECT label, prev, next, count(*) AS cnt FROM pp GROUP BY label, prev, next),
+    tt AS (SELECT label, prev, sum(cnt) AS total FROM tc GROUP BY label, prev),
+    trans AS (SELECT tc.label, tc.prev, tc.next, tc.cnt, tt.total, tc.cnt / tt.total AS p
+              FROM tc JOIN tt ON tc.label = tt.label AND tc.prev = tt.prev)"""
+
+
+def greedy_ctes(max_steps: int = 12) -> str:
+    return f"""{TRANS_CTE},
+    best AS (SELECT label, prev, next FROM trans QUALIFY row_number() OVER (PARTITION BY label, prev ORDER BY cnt DESC, next) = 1),
+    st AS (SELECT DISTINCT label, tokens[1] AS start FROM units),
+    gen AS (
+      WITH RECURSIVE g(label, start, seq, done, step) AS (
+        SELECT label, start, [start], false, 0 FROM st
+        UNION ALL
+        SELECT g.label, g.start,
+               CASE WHEN b.next IS NULL OR g.done THEN g.seq ELSE list_append(g.seq, b.next) END,
+               g.done OR b.next IS NULL OR b.next = '<_EOS>', g.step + 1
+        FROM g LEFT JOIN best b ON b.label = g.label AND b.prev = g.seq[len(g.seq)] AND NOT g.done
+        WHERE g.step < {max_steps})
+      SELECT label, start, seq FROM g WHERE step = {max_steps})"""
+
+
+ORACLES.update({
+    "g1_fit_transitions": f"WITH {units_cte()}, {TRANS_CTE} SELECT label, prev, next, cnt, total, round(p, 9) AS p FROM trans",
+    "g2a_generate_greedy": f"""WITH {units_cte()}, {greedy_ctes()}
+        SELECT label, start, array_to_string(seq, ' ') AS seq FROM gen""",
+    "g3_score_text": f"""WITH {units_cte()}, {TRANS_CTE},
+        v AS (SELECT count(DISTINCT next) + 1 AS v FROM trans),
+        rp AS (SELECT doc_id, sent_no, chunk_no, label, list_concat(['<_GO>'], tokens) AS ip,
+                      list_concat(tokens, ['<_EOS>']) AS tg FROM units),
+        rx AS (SELECT doc_id, sent_no, chunk_no, label, ip[t.i + 1] AS prev, tg[t.i + 1] AS next
+               FROM rp, unnest(range(len(ip))) AS t(i))
+        SELECT rx.doc_id, rx.sent_no, rx.chunk_no, rx.label,
+               round(sum(-ln((coalesce(tr.cnt, 0) + 1) / (coalesce(tt.total, 0) + v.v))), 6) AS nll, count(*) AS n_tok
+        FROM rx LEFT JOIN trans tr ON rx.label = tr.label AND rx.prev = tr.prev AND rx.next = tr.next
+        LEFT JOIN tt ON rx.label = tt.label AND rx.prev = tt.prev, v
+        GROUP BY rx.doc_id, rx.sent_no, rx.chunk_no, rx.label""",
+    "a8_perplexity": f"""WITH {units_cte()}, {TRANS_CTE},
+        v AS (SELECT count(DISTINCT next) + 1 AS v FROM trans),
+        rp AS (SELECT doc_id, sent_no, chunk_no, label, list_concat(['<_GO>'], tokens) AS ip,
+                      list_concat(tokens, ['<_EOS>']) AS tg FROM units),
+        rx AS (SELECT doc_id, sent_no, chunk_no, label, ip[t.i + 1] AS prev, tg[t.i + 1] AS next
+               FROM rp, unnest(range(len(ip))) AS t(i)),
+        sc AS (SELECT rx.doc_id, rx.sent_no, rx.chunk_no, sum(-ln((coalesce(tr.cnt, 0) + 1) / (coalesce(tt.total, 0) + v.v))) AS nll,
+                      count(*) AS n_tok
+               FROM rx LEFT JOIN trans tr ON rx.label = tr.label AND rx.prev = tr.prev AND rx.next = tr.next
+               LEFT JOIN tt ON rx.label = tt.label AND rx.prev = tt.prev, v
+               GROUP BY rx.doc_id, rx.sent_no, rx.chunk_no)
+        SELECT count(*) AS n_utt, sum(n_tok) AS n_tok, round(sum(nll) / sum(n_tok), 6) AS token_nll,
+               round(exp(sum(nll) / sum(n_tok)), 6) AS ppl, round(sum(nll) / count(*), 6) AS utt_nll FROM sc""",
+    "e12_collect_generated": f"""WITH {units_cte()}, {greedy_ctes()},
+        rows AS (SELECT label, tokens[1] AS start, array_to_string(tokens, ' ') AS org FROM units),
+        dec AS (SELECT label, start, array_to_string(CASE WHEN list_position(seq, '<_EOS>') > 0
+                   THEN seq[1:list_position(seq, '<_EOS>') - 1] ELSE seq END, ' ') AS aug FROM gen),
+        cand AS (SELECT r.org, d.aug, 'greedy' AS method, r.label FROM rows r JOIN dec d ON r.label = d.label AND r.start = d.start),
+        nov AS (SELECT * FROM cand WHERE aug NOT IN (SELECT array_to_string(tokens, ' ') FROM units)),
+        firsts AS (SELECT aug, arg_min(org, org) AS org, arg_min(label, org) AS label, arg_min(method, org) AS method
+                   FROM (SELECT * FROM nov QUALIFY row_number() OVER (PARTITION BY aug ORDER BY org, label, method) = 1)
+                   GROUP BY aug),
+        cl AS (SELECT label, method, replace(org, ' ', '') AS org, replace(aug, ' ', '') AS aug,
+                      list_filter(string_split(replace(replace(aug, ' ', ''), '<_UNK>', ''), ''), lambda c: c <> '') AS ch FROM firsts)
+        SELECT label, array_to_string(list_filter(ch, lambda c, i: i = 1 OR c <> ch[i - 1]), '') AS text, method, org, aug
+        FROM cl WHERE len(list_filter(ch, lambda c, i: i = 1 OR c <> ch[i - 1])) > 0""",
+})
