@@ -348,3 +348,25 @@ QUERIES.update({
     "a8_perplexity": q_perplexity,
     "e12_collect_generated": q_collect,
 })
+
+
+# --- pivot paraphrase ------------------------------------------------------------
+from lexiforge.operators import pivot  # noqa: E402
+
+
+def q_paraphrase_table(spark, sf_dir):
+    fwd, back = pivot.rank_tables(document_units(spark, sf_dir))
+    t = pivot.paraphrase_table(fwd, back)
+    return t.select("src_lang", "pivot_lang", "src", "best", F.round("p", 9).alias("p"))
+
+
+def q_pivot_paraphrase(spark, sf_dir):
+    units = document_units(spark, sf_dir)
+    fwd, back = pivot.rank_tables(units)
+    return pivot.pivot_paraphrase(units, pivot.paraphrase_table(fwd, back))
+
+
+QUERIES.update({
+    "j8_paraphrase_table": q_paraphrase_table,
+    "e6_pivot_paraphrase": q_pivot_paraphrase,
+})

@@ -457,3 +457,39 @@ ORACLES.update({
         SELECT label, array_to_string(list_filter(ch, lambda c, i: i = 1 OR c <> ch[i - 1]), '') AS text, method, org, aug
         FROM cl WHERE len(list_filter(ch, lambda c, i: i = 1 OR c <> ch[i - 1])) > 0""",
 })
+
+
+# --- pivot paraphrase ------------------------------------------------------------
+PARA_CTES = """wc AS (SELECT label AS lang, w AS word, count(*) AS cnt FROM (SELECT label, unnest(tokens) AS w FROM units)
+            GROUP BY label, w),
+    wr AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY cnt DESC, word) - 1 AS rank FROM wc),
+    fwd AS (SELECT a.lang AS src_lang, b.lang AS pivot_lang, a.word AS src, b.word AS dst, CAST(0.7 AS DOUBLE) AS p
+            FROM wr a JOIN wr b ON b.rank = a.rank AND a.lang <> b.lang
+            UNION ALL
+            SELECT a.lang, b.lang, a.word, b.word, CAST(0.3 AS DOUBLE) FROM wr a JOIN wr b ON b.rank - 1 = a.rank AND a.lang <> b.lang),
+    bck AS (SELECT a.lang AS pivot_lang, b.lang AS src_lang, a.word AS src, b.word AS dst, CAST(0.6 AS DOUBLE) AS p
+            FROM wr a JOIN wr b ON b.rank = a.rank AND a.lang <> b.lang
+            UNION ALL
+            SELECT a.lang, b.lang, a.word, b.word, CAST(0.4 AS DOUBLE) FROM wr a JOIN wr b ON b.rank + 1 = a.rank AND a.lang <> b.lang),
+    para AS (SELECT f.src_lang, f.pivot_lang, f.src AS e1, k.dst AS e2, sum(f.p * k.p) AS p
+             FROM fwd f JOIN bck k ON f.src_lang = k.src_lang AND f.pivot_lang = k.pivot_lang AND f.dst = k.src
+             GROUP BY f.src_lang, f.pivot_lang, f.src, k.dst),
+    best AS (SELECT src_lang, pivot_lang, e1 AS src, e2 AS best, p FROM para
+             QUALIFY row_number() OVER (PARTITION BY src_lang, pivot_lang, e1 ORDER BY round(-p, 12), e2) = 1)"""
+
+ORACLES.update({
+    "j8_paraphrase_table": f"WITH {units_cte()}, {PARA_CTES} SELECT src_lang, pivot_lang, src, best, round(p, 9) AS p FROM best",
+    "e6_pivot_paraphrase": f"""WITH {units_cte()}, {PARA_CTES},
+        ux AS (SELECT doc_id, sent_no, chunk_no, label, t.i AS pos, tokens[t.i + 1] AS token
+               FROM units, unnest(range(len(tokens))) AS t(i)),
+        hit AS (SELECT ux.*, b.pivot_lang, b.best FROM ux JOIN best b ON b.src_lang = ux.label AND b.src = ux.token),
+        pv AS (SELECT DISTINCT doc_id, sent_no, chunk_no, label, pivot_lang FROM hit),
+        allp AS (SELECT pv.doc_id, pv.sent_no, pv.chunk_no, pv.label, pv.pivot_lang, ux.pos, coalesce(h.best, ux.token) AS tok
+                 FROM pv JOIN ux ON pv.doc_id = ux.doc_id AND pv.sent_no = ux.sent_no AND pv.chunk_no = ux.chunk_no
+                 LEFT JOIN hit h ON h.doc_id = ux.doc_id AND h.sent_no = ux.sent_no AND h.chunk_no = ux.chunk_no
+                   AND h.pos = ux.pos AND h.pivot_lang = pv.pivot_lang)
+        SELECT doc_id, sent_no, chunk_no, label, CAST(NULL AS VARCHAR) AS pivot_lang, array_to_string(tokens, ' ') AS text FROM units
+        UNION ALL
+        SELECT doc_id, sent_no, chunk_no, label, pivot_lang, string_agg(tok, ' ' ORDER BY pos) AS text
+        FROM allp GROUP BY doc_id, sent_no, chunk_no, label, pivot_lang""",
+})
