@@ -370,3 +370,31 @@ QUERIES.update({
     "j8_paraphrase_table": q_paraphrase_table,
     "e6_pivot_paraphrase": q_pivot_paraphrase,
 })
+
+
+# --- sources, experiment -----------------------------------------------------------
+from lexiforge.plans import experiment  # noqa: E402
+from lexiforge.sources import files  # noqa: E402
+
+
+def q_tagged_rows(spark, sf_dir):
+    conv = read_table(spark, sf_dir, "conversations")
+    return files.tagged_rows(conv.select("conv_id", "turn", F.col("role").alias("label"), "text")
+                             .select("label", "text"))
+
+
+def _eda_train(train):
+    stops = lexicon.frequent_words(train, 50)
+    lex = lexicon.context_synonyms(train)
+    aug = eda.eda(lexicon.attach_lexicon(train, lex, stops), num_aug=4)
+    return aug.select("label", F.split("text", " ").alias("tokens"))
+
+
+def q_gain(spark, sf_dir):
+    return experiment.gain_table(document_units(spark, sf_dir), _eda_train, sizes=(100, 500, 2000))
+
+
+QUERIES.update({
+    "s11_tagged_rows": q_tagged_rows,
+    "m3_gain_experiment": q_gain,
+})

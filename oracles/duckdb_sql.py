@@ -493,3 +493,8 @@ ORACLES.update({
         SELECT doc_id, sent_no, chunk_no, label, pivot_lang, string_agg(tok, ' ' ORDER BY pos) AS text
         FROM allp GROUP BY doc_id, sent_no, chunk_no, label, pivot_lang""",
 })
+
+ORACLES.update({
+    "s11_tagged_rows": """SELECT 'root' AS domain, role AS label,
+        array_to_string(list_filter(string_split(text, ''), lambda c: c <> ''), ' ') AS text FROM conversations""",
+})
