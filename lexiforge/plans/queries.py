@@ -6,6 +6,7 @@ the blueprint.  The DuckDB twins live in ``oracles/duckdb_sql.py``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ from lexiforge.sources.corpus import document_units
 
 
 def _lexicon_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = document_units(spark, sf_dir)
+    # Units feed three branches (stop words, synonyms, look-up): persisted
+    # once (memory and disk) instead of re-reading and re-splitting the texts.
+    units = document_units(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     stops = lexicon.frequent_words(units, 50)
     lex = lexicon.context_synonyms(units)
     return lexicon.attach_lexicon(units, lex, stops)
