@@ -401,3 +401,25 @@ QUERIES.update({
     "s11_tagged_rows": q_tagged_rows,
     "m3_gain_experiment": q_gain,
 })
+
+
+# --- preprocessing, union of methods ------------------------------------------------
+from lexiforge.plans import augment as augment_plan  # noqa: E402
+
+
+def q_preprocess(spark, sf_dir):
+    units = document_units(spark, sf_dir)
+    voc = vocab_ops.build_vocab(units)
+    out = vocab_ops.preprocess(units, voc, vocab_ops.build_label_vocab(units))
+    return out.select("doc_id", "sent_no", "chunk_no", "intent", F.array_join("utt", " ").alias("utt"))
+
+
+def q_union_methods(spark, sf_dir):
+    units = document_units(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    return augment_plan.union_methods(units, ("eda", "pivot"), num_aug=9)
+
+
+QUERIES.update({
+    "p12_preprocess": q_preprocess,
+    "u2_union_methods": q_union_methods,
+})

@@ -498,3 +498,26 @@ ORACLES.update({
     "s11_tagged_rows": """SELECT 'root' AS domain, role AS label,
         array_to_string(list_filter(string_split(text, ''), lambda c: c <> ''), ' ') AS text FROM conversations""",
 })
+
+
+# --- preprocessing, union of methods ------------------------------------------------
+def _pivot_rows_sql() -> str:
+    s = ORACLES["e6_pivot_paraphrase"]
+    return s
+
+
+ORACLES.update({
+    "p12_preprocess": f"""WITH {units_cte()}, {vocab_ctes()}, {label_vocab_cte('units', 'label')},
+        px AS (SELECT doc_id, sent_no, chunk_no, {norm_label('label')} AS label, t.i AS pos,
+                      list_concat(tokens, ['<_EOS>'])[t.i + 1] AS token
+               FROM units, unnest(range(len(tokens) + 1)) AS t(i)),
+        pi AS (SELECT px.*, coalesce(v.id, 3) AS tid FROM px LEFT JOIN vocab v ON px.token = v.token),
+        pr AS (SELECT doc_id, sent_no, chunk_no, label, list(CAST(tid AS INTEGER) ORDER BY pos) AS utt
+               FROM pi GROUP BY doc_id, sent_no, chunk_no, label)
+        SELECT doc_id, sent_no, chunk_no, CAST(coalesce(l.id, -1) AS INTEGER) AS intent, array_to_string(utt, ' ') AS utt
+        FROM pr LEFT JOIN lvocab l ON pr.label = l.label""",
+    "u2_union_methods": f"""WITH ed AS ({eda_sql()}), pv AS ({_pivot_rows_sql()})
+        SELECT doc_id, sent_no, chunk_no, label, method, text FROM ed
+        UNION ALL
+        SELECT doc_id, sent_no, chunk_no, label, 'pivot_' || pivot_lang AS method, text FROM pv WHERE pivot_lang IS NOT NULL""",
+})
