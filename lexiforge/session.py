@@ -73,8 +73,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash-partition a narrow input on ``keys`` when its scan gives fewer
     partitions than the cluster has cores (a single small Parquet file).  At
     scale the scan is already split into many partitions and nothing is added."""
-    spark = df.sparkSession
-    par = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. a Connect session): leave the plan as it is
+        return df
+    if n >= par:
         return df
     return df.repartition(par, *keys)
