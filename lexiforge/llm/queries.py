@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import mixing, quality, sharding
+from lexiforge.llm import licences, mixing, ngram_lm, packing, quality, sharding, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +17,50 @@ def op1_mixing(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_substring_dedup(spark, sf_dir):
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = F.trim(F.regexp_replace("kept", r"[\x20\x09-\x0D]+", " "))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
+
+
 def op4_quality(spark, sf_dir):
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return quality.apply(table(spark, sf_dir, "documents"), trusted)
 
 
+def op6_topk(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_sharding(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.place(docs, F.col("doc_id"), F.col("text")).select("doc_id", "slot", "shard", "shard_name")
 
 
+def op8_lm_scoring(spark, sf_dir):
+    return ngram_lm.fit_and_score(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_licences(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_toxicity": op2_toxicity,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
+    "op6_topk": op6_topk,
     "op7_sharding": op7_sharding,
+    "op8_lm_scoring": op8_lm_scoring,
+    "op9_packing": op9_packing,
+    "op10_licences": op10_licences,
 }
