@@ -40,6 +40,10 @@ def uniform_key(*parts: Column) -> Column:
     return (F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def sampling_key(doc_id: Column, size: Column, weight: Column, seed: int) -> Column:
+    return -F.log(uniform_key(F.lit(seed), doc_id, size)) / weight
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size) -> the same with ``target``.  Sources by code point, null last, take the weights in turn
     and share the sum of all sizes; a target stops at ``max_epochs`` times its source and the excess goes to the others
@@ -65,11 +69,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
         max_epochs: int = MAX_EPOCHS, seed: int = 17, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, epochs (complete ones), chosen (in the
-    fraction), copies (times it is taken), taken (= copies * size).  Other columns of ``docs`` are not carried."""
+    fraction), copies (times it is taken), taken (= copies * size), key.  Other columns of ``docs`` are not carried."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
                        quality_weight(F.col(text)).alias("quality"))
-    u = uniform_key(F.lit(seed), F.col("doc_id"), F.col("size"))
-    rows = keep(rows.withColumn("key", -F.log(u) / F.col("quality")))
+    rows = keep(rows.withColumn("key", sampling_key(F.col("doc_id"), F.col("size"), F.col("quality"), seed)))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"),
                                          F.avg("quality").alias("pace"))
     targets = source_targets(sources.select("source", "source_size"), weights, max_epochs)
@@ -95,4 +98,21 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     out = out.withColumn("chosen", F.col("epochs") < max_epochs).withColumn("chosen", F.col("chosen") & (half <= F.col("budget")))
     copies = F.col("epochs") + F.col("chosen").cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "chosen", copies.alias("copies"),
-                      (copies * F.col("size")).alias("taken"))
+                      (copies * F.col("size")).alias("taken"), "key")
+
+
+def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
+          max_epochs: int = MAX_EPOCHS, seed: int = 17) -> DataFrame:
+    """The mixed corpus: every row of ``docs`` as often as the mix takes it.  What a source takes beyond its complete epochs is
+    a prefix of its order, so the last place taken (one row a source) decides, and texts are not shuffled."""
+    taken = mix(docs, doc_id, text, source, weights, max_epochs, seed)
+    place = lambda i, size, key: F.struct(key.alias("key"), i.isNull().alias("no_id"), i.alias("id"), size.alias("size"))
+    ends = taken.groupBy("source").agg(
+        F.max("epochs").alias("epochs"), F.max(F.when(F.col("chosen"), place(F.col("doc_id"), F.col("size"), F.col("key")))).alias("end"))
+    ends = keep(ends.withColumnRenamed("source", "e_source"))
+    size = n_words(F.col(text))
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(source).alias("source"),
+                    place(F.col(doc_id), size, sampling_key(F.col(doc_id), size, quality_weight(F.col(text)), seed)).alias("place"))
+    d = d.join(ends, F.col("source").eqNullSafe(F.col("e_source")))
+    copies = F.col("epochs") + F.coalesce(F.col("place") <= F.col("end"), F.lit(False)).cast("long")
+    return d.withColumn("copies", copies).where("copies > 0").select(F.explode(F.array_repeat("row", F.col("copies").cast("int"))).alias("row")).select("row.*")

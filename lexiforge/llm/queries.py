@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiforge.llm import licences, mixing, ngram_lm, packing, quality, sharding, substrings, topk, toxicity
+import corpus_pipeline
+from lexiforge.llm import jaccard, licences, mixing, ngram_lm, packing, quality, sharding, substrings, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,12 @@ def op4_quality(spark, sf_dir):
     return quality.apply(table(spark, sf_dir, "documents"), trusted)
 
 
+def op5_jaccard_join(spark, sf_dir):
+    out = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    null_as_largest = lambda c: F.when(F.col(c) < jaccard.LAST, F.col(c))
+    return out.select(null_as_largest("id").alias("doc_id"), null_as_largest("class_id").alias("class_id"), "n_links")
+
+
 def op6_topk(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -58,9 +65,11 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_topk": op6_topk,
     "op7_sharding": op7_sharding,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_packing": op9_packing,
     "op10_licences": op10_licences,
+    "pipeline": corpus_pipeline.run,
 }

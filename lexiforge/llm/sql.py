@@ -38,4 +38,45 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
-ORACLES = {"op1_mixing": OP1}
+
+OP3 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+win AS (
+    SELECT doc_id, k, md5(array_to_string(w[k:k + 49], ' ')) AS s FROM d, unnest(range(1, len(w) - 48)) AS t(k) WHERE len(w) >= 50),
+low AS (SELECT s, min(doc_id) AS first_id FROM win GROUP BY s),
+gone AS (
+    SELECT DISTINCT win.doc_id, p FROM win JOIN low USING (s), unnest(range(k, k + 50)) AS u(p) WHERE first_id < win.doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+word AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS s FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+#: Links are all pairs of documents whose shingle sets reach the similarity; classes are what links reach.
+OP5 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS w FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS shingle
+    FROM d, unnest(range(1, greatest(len(w) - 3, 2))) AS t(k) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+    SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9 * shared >= 4 * (x.n + y.n)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON r = a)
+SELECT doc_id, min(r) AS class_id, (SELECT count(*) FROM both_ways WHERE a = reach.doc_id)::BIGINT AS n_links FROM reach GROUP BY doc_id
+"""
+
+OP6 = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM p QUALIFY rank <= 10
+"""
+
+ORACLES = {"op1_mixing": OP1, "op3_substring_dedup": OP3, "op5_jaccard_join": OP5, "op6_topk": OP6}

@@ -25,3 +25,8 @@ def shared_folder(spark: SparkSession, prefix: str) -> str:
     if "://" in base or not base.startswith("/"):
         raise ValueError(f"{prefix}: spark.checkpoint.dir must be a mounted folder for memory-mapped files, not {base}")
     return f"{base}/{prefix}-{uuid.uuid4().hex}"
+
+
+def shared_table(spark: SparkSession, prefix: str) -> str:
+    """A new path for a written table below the shared folder, whatever store that is in."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
