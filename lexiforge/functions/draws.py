@@ -4,10 +4,11 @@ Every random decision is a pure function of (seed, operator, row key, variant,
 step, position).  Results therefore do not depend on partitioning, task
 retries or executor loss, and the same numbers can be computed in plain SQL.
 
-* ``hash64(parts)``: first 7 hex digits of md5 over the '|'-joined parts,
-  an integer in [0, 2^28).
+* ``hash64(parts)``: first 15 hex digits of md5 over the '|'-joined parts,
+  an integer in [0, 2^60).
 * ``uniform(h, i)``: a cheap per-position uniform in [0, 1) derived from one
-  hash and a position, so a token list needs one md5 and not one per token.
+  hash and a position, so a token list needs one md5 and not one per token.  It
+  joins two draws modulo 2^31 - 1, about 53 bits.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 MIX_PRIME = 2147483647
 MIX_MUL_A = 48271
 MIX_MUL_B = 69621
-HASH_RANGE = 1 << 28
+HASH_RANGE = 1 << 60
 
 
 def _col(x) -> Column:
@@ -31,9 +32,9 @@ def _col(x) -> Column:
 
 
 def hash64(*parts) -> Column:
-    """Integer draw in [0, 2^28) from md5 of the joined parts."""
+    """Integer draw in [0, 2^60) from md5 of the joined parts."""
     joined = F.concat_ws("|", *[_col(p).cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(joined), 1, 7), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(joined), 1, 15), 16, 10).cast("bigint")
 
 
 def hash_uniform(*parts) -> Column:
@@ -45,7 +46,8 @@ def uniform(h: Column, i) -> Column:
     i = _col(i).cast("bigint")
     x = (h + (i + 1) * MIX_MUL_A) % MIX_PRIME
     y = ((x * x) % MIX_PRIME * MIX_MUL_B + h) % MIX_PRIME
-    return ((y * y) % MIX_PRIME) / F.lit(float(MIX_PRIME))
+    low = (y * MIX_MUL_A + x) % MIX_PRIME
+    return (((y * y) % MIX_PRIME) + low / F.lit(float(MIX_PRIME))) / F.lit(float(MIX_PRIME))
 
 
 def pick(h: Column, i, n) -> Column:
@@ -59,13 +61,14 @@ def pick(h: Column, i, n) -> Column:
 
 def sql_hash64(*parts: str) -> str:
     joined = "concat_ws('|', " + ", ".join(f"CAST({p} AS VARCHAR)" for p in parts) + ")"
-    return f"('0x' || substr(md5({joined}), 1, 7))::BIGINT"
+    return f"('0x' || substr(md5({joined}), 1, 15))::BIGINT"
 
 
 def sql_uniform(h: str, i: str) -> str:
     x = f"(({h}) + (({i}) + 1)::BIGINT * {MIX_MUL_A}) % {MIX_PRIME}"
     y = f"((({x}) * ({x})) % {MIX_PRIME} * {MIX_MUL_B} + ({h})) % {MIX_PRIME}"
-    return f"(((({y}) * ({y})) % {MIX_PRIME}) / {float(MIX_PRIME)})"
+    low = f"(({y}) * {MIX_MUL_A} + ({x})) % {MIX_PRIME}"
+    return f"((((({y}) * ({y})) % {MIX_PRIME}) + ({low}) / {float(MIX_PRIME)}) / {float(MIX_PRIME)})"
 
 
 def sql_pick(h: str, i: str, n: str) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions.draws import hash64, pick, uniform
-from lexiforge.functions.text import EOS_ID, PAD_ID
+from lexiforge.functions.text import EOS_ID
 
 N_BUCKETS = 1024
 
@@ -28,59 +28,47 @@ def bucketed_table(probs: DataFrame, n_buckets: int = N_BUCKETS) -> DataFrame:
     return lo.select("token_id", "lo", "hi", "total_cnt", F.explode(F.sequence(first, last)).alias("bucket"))
 
 
-def draw_tokens(draws: DataFrame, table: DataFrame, total: int, u_col: str = "u2", out_col: str = "new_tid",
+def draw_tokens(draws: DataFrame, table: DataFrame, u_col: str = "u2", out_col: str = "new_tid",
                 n_buckets: int = N_BUCKETS) -> DataFrame:
-    """Adds ``out_col``: the token whose interval holds r = floor(u * total)
-    (null draw -> null).  Equi-join on the bucket of r, then the range test."""
-    r = F.floor(F.col(u_col) * F.lit(total)).cast("bigint")
-    d = draws.withColumn("_r", r).withColumn("_b", F.floor(F.col("_r") * n_buckets / F.lit(total)).cast("int"))
+    """Adds ``out_col``: the token whose interval holds r = floor(u * total).
+    ``draws`` has ``total``.  Equi-join on the bucket of r, then the range test."""
+    r = F.floor(F.col(u_col) * F.col("total")).cast("bigint")
+    d = draws.withColumn("_r", r).withColumn("_b", F.floor(F.col("_r") * n_buckets / F.col("total")).cast("int"))
     t = table.select(F.col("bucket").alias("_tb"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
                      F.col("token_id").alias(out_col))
     cond = (d["_b"] == t["_tb"]) & (d["_r"] >= t["_lo"]) & (d["_r"] < t["_hi"])
-    return d.join(t, cond, "left").drop("_b", "_r", "_tb", "_lo", "_hi")
+    return d.join(t, cond).drop("_b", "_r", "_tb", "_lo", "_hi", "total")
 
 
-def table_total(probs: DataFrame) -> int:
-    """The total count (one number read on the driver)."""
-    return int(probs.agg(F.max("total_cnt")).first()[0])
+def with_total(draws: DataFrame, probs: DataFrame) -> DataFrame:
+    """Adds the table's total count: a scalar subquery, no action while the plan is built."""
+    return draws.withColumn("total", probs.agg(F.max("total_cnt")).scalar())
 
 
 def noise_tokens(encoded: DataFrame, probs: DataFrame, rate: float = 0.1, seed: int = 530) -> DataFrame:
     """Every position < len-1 is replaced with probability ``rate`` by a
     drawn token; the last position (EOS) and the label are unchanged."""
-    table, total = bucketed_table(probs), table_total(probs)
     h = hash64(F.lit(seed), F.lit("noise"), F.col("id"))
-    ex = encoded.select("id", "intent", "len", h.alias("_h"), F.posexplode("utter").alias("pos", "tid"))
-    noised = (F.col("pos") < F.col("len") - 1) & (uniform(F.col("_h"), F.col("pos") * 2) < rate)
-    ex = ex.select("*", noised.alias("noised"))
-    ex = ex.withColumn("u2", F.when(F.col("noised"), uniform(F.col("_h"), F.col("pos") * 2 + 1)))
-    drawn = draw_tokens(ex, table, total)
-    out = drawn.select("id", "intent", "len", "pos",
-                       F.when(F.col("noised"), F.col("new_tid")).otherwise(F.col("tid")).cast("int").alias("tid"))
-    return (out.groupBy("id", "intent", "len")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "tid"))).alias("_u"))
-            .select("id", "intent", "len", F.transform("_u", lambda s: s["tid"]).alias("utter")))
+    at = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (i < F.col("len") - 1) & (uniform(F.col("_h"), i * 2) < rate))
+    ex = encoded.select("id", "len", h.alias("_h")).select("id", "_h", F.explode(at).alias("pos"))
+    ex = ex.select("id", "pos", uniform(F.col("_h"), F.col("pos") * 2 + 1).alias("u2"))
+    drawn = draw_tokens(with_total(ex, probs), bucketed_table(probs))
+    # Only the replaced positions travel; they are patched into the rows.
+    new = drawn.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "new_tid"))).alias("_m"))
+    changed = F.transform("utter", lambda t, i: F.coalesce(F.try_element_at("_m", i), t).cast("int"))
+    return encoded.select("id", "intent", "len", "utter").join(new, "id", "left").select("id", "intent", "len", changed.alias("utter"))
 
 
 def random_ood(seeds: DataFrame, probs: DataFrame, max_len: int = 20, seed: int = 530) -> DataFrame:
     """One random row per row of ``seeds`` (column ``id``): length uniform
     in [1, max_len), tokens before the last drawn from the table, EOS last,
     label -1."""
-    table, total = bucketed_table(probs), table_total(probs)
     h = hash64(F.lit(seed), F.lit("ood"), F.col("id"))
     rows = seeds.select("id", h.alias("_h"))
     rows = rows.select("id", "_h", (pick(F.col("_h"), 0, max_len - 1) + 1).alias("len"))
-    ex = rows.select("id", "_h", "len", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("pos"))
-    ex = ex.withColumn("u2", F.when(F.col("pos") < F.col("len") - 1, uniform(F.col("_h"), F.col("pos") + 1)))
-    drawn = draw_tokens(ex, table, total)
-    out = drawn.select("id", "len", "pos",
-                       F.when(F.col("pos") == F.col("len") - 1, F.lit(EOS_ID)).otherwise(F.col("new_tid"))
-                       .cast("int").alias("tid"))
-    return (out.groupBy("id", "len")
-            .agg(F.sort_array(F.collect_list(F.struct("pos", "tid"))).alias("_u"))
-            .select("id", F.lit(-1).alias("intent"), "len",
-                    F.transform("_u", lambda s: s["tid"]).alias("utter")))
-
-
-def pad_to(utter, n, pad: int = PAD_ID):
-    return F.concat(utter, F.array_repeat(F.lit(pad), n - F.size(utter)))
+    ex = rows.where("len > 1").select("id", "_h", F.explode(F.sequence(F.lit(0), F.col("len") - 2)).alias("pos"))
+    ex = ex.select("id", "pos", uniform(F.col("_h"), F.col("pos") + 1).alias("u2"))
+    drawn = draw_tokens(with_total(ex, probs), bucketed_table(probs))
+    body = drawn.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "new_tid"))).alias("_u"))
+    tokens = F.coalesce(F.transform("_u", lambda s: s["new_tid"].cast("int")), F.array().cast("array<int>"))
+    return rows.join(body, "id", "left").select("id", F.lit(-1).alias("intent"), "len", F.concat(tokens, F.array(F.lit(EOS_ID))).alias("utter"))

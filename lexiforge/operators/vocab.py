@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.ids import dense_index
-from lexiforge.functions.text import (EOS_ID, RESERVED_LABELS, RESERVED_TOKENS, UNK_ID, normalise_label,
-                                      wrap_tokens)
+from lexiforge.functions.text import EOS_ID, GO_ID, RESERVED_LABELS, RESERVED_TOKENS, UNK_ID, normalise_label
 
 
 def token_counts(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -56,22 +55,24 @@ def token_probs(vocab: DataFrame) -> DataFrame:
                          "cum_cnt", "total_cnt")
 
 
-def encode_units(units: DataFrame, vocab: DataFrame, label_vocab: DataFrame, max_len: int = 66,
+def encode_units(units: DataFrame, vocab: DataFrame, label_vocab: DataFrame, max_len: int = 100,
                  unknown_label_id: int = 0) -> DataFrame:
     """J1 + J3 + P7 + S10: (id, intent, len, utter array<int>, keys...).
 
     ``id`` is a running id in key order (U3).  Unknown tokens map to <_UNK>,
-    unknown labels to ``unknown_label_id`` (0 = <_UNK>, -1 in preprocessing)."""
+    unknown labels to ``unknown_label_id`` (0 = <_UNK>, -1 in preprocessing).
+    At most ``max_len`` ids with <_GO> and <_EOS>, which are set around the
+    looked-up ids and so are no hot keys of the join."""
     keys = ["doc_id", "sent_no", "chunk_no"]
-    wrapped = units.where(F.size("tokens") > 0).select(
+    exploded = units.where(F.size("tokens") > 0).select(
         *keys, normalise_label(F.col("label")).alias("label"),
-        wrap_tokens(F.col("tokens"), max_len).alias("utt"))
-    exploded = wrapped.select(*keys, "label", F.posexplode("utt").alias("pos", "token"))
+        F.posexplode(F.slice("tokens", 1, max_len - 2)).alias("pos", "token"))
     ids = exploded.join(vocab.select("token", F.col("id").alias("tid")), "token", "left")
     rebuilt = (ids.groupBy(*keys, "label")
                .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("tid", F.lit(UNK_ID)).alias("tid"))))
                     .alias("_u"))
-               .select(*keys, "label", F.transform("_u", lambda s: s["tid"].cast("int")).alias("utter")))
+               .select(*keys, "label", F.concat(F.array(F.lit(GO_ID)), F.transform("_u", lambda s: s["tid"].cast("int")),
+                                                F.array(F.lit(EOS_ID))).alias("utter")))
     labelled = rebuilt.join(label_vocab.select("label", F.col("id").alias("lid")), "label", "left")
     numbered = dense_index(labelled, [F.asc(k) for k in keys], id_col="id")
     return numbered.select("id", *keys,
@@ -104,11 +105,12 @@ def preprocess(units: DataFrame, vocab: DataFrame, label_vocab: DataFrame) -> Da
     tokens -> ids with <_UNK>, <_EOS> appended."""
     keys = ["doc_id", "sent_no", "chunk_no"]
     ex = units.select(*keys, normalise_label(F.col("label")).alias("label"),
-                      F.posexplode(F.concat("tokens", F.array(F.lit(RESERVED_TOKENS[EOS_ID])))).alias("pos", "token"))
+                      F.posexplode_outer("tokens").alias("pos", "token"))
     ids = ex.join(vocab.select("token", F.col("id").alias("tid")), "token", "left")
     rebuilt = (ids.groupBy(*keys, "label")
-               .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("tid", F.lit(UNK_ID)).alias("tid"))))
-                    .alias("_u"))
-               .select(*keys, "label", F.transform("_u", lambda s: s["tid"].cast("int")).alias("utt")))
+               .agg(F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct(
+                   "pos", F.coalesce("tid", F.lit(UNK_ID)).alias("tid"))))).alias("_u"))
+               .select(*keys, "label", F.concat(F.transform("_u", lambda s: s["tid"].cast("int")),
+                                                F.array(F.lit(EOS_ID))).alias("utt")))
     return (rebuilt.join(label_vocab.select("label", F.col("id").alias("lid")), "label", "left")
             .select(*keys, F.coalesce("lid", F.lit(-1)).cast("int").alias("intent"), "utt"))

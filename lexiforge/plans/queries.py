@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.operators import eda, lexicon
-from lexiforge.sources.corpus import document_units
+from lexiforge.sources.corpus import WHOLE, document_units
 
 
 def _lexicon_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,10 @@ def _lexicon_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexicon.attach_lexicon(units, lex, stops)
 
 
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_units(spark, sf_dir, max_tokens=WHOLE)
+
+
 def q_units(spark, sf_dir):
     u = document_units(spark, sf_dir)
     return u.select("doc_id", "sent_no", "chunk_no", "label", F.size("tokens").cast("bigint").alias("n_tokens"),
@@ -34,7 +38,7 @@ def q_stop_words(spark, sf_dir):
 
 
 def q_synonyms(spark, sf_dir):
-    lex = lexicon.context_synonyms(document_units(spark, sf_dir))
+    lex = lexicon.context_synonyms(_sentences(spark, sf_dir))
     return lex.select("word", "synonym", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -72,7 +76,7 @@ from lexiforge.sources.corpus import read_table  # noqa: E402
 
 
 def q_token_freq(spark, sf_dir):
-    return vocab_ops.token_counts(document_units(spark, sf_dir))
+    return vocab_ops.token_counts(_sentences(spark, sf_dir))
 
 
 def q_char_freq(spark, sf_dir):
@@ -81,7 +85,7 @@ def q_char_freq(spark, sf_dir):
 
 
 def q_vocab(spark, sf_dir):
-    return vocab_ops.build_vocab(document_units(spark, sf_dir))
+    return vocab_ops.build_vocab(_sentences(spark, sf_dir))
 
 
 def q_label_vocab(spark, sf_dir):
@@ -90,12 +94,12 @@ def q_label_vocab(spark, sf_dir):
 
 
 def q_token_probs(spark, sf_dir):
-    probs = vocab_ops.token_probs(vocab_ops.build_vocab(document_units(spark, sf_dir)))
+    probs = vocab_ops.token_probs(vocab_ops.build_vocab(_sentences(spark, sf_dir)))
     return probs.select("token_id", "token", "cnt", "prob", "cum_prob")
 
 
 def _encoded(spark, sf_dir):
-    units = document_units(spark, sf_dir)
+    units = _sentences(spark, sf_dir)
     voc = vocab_ops.build_vocab(units)
     return vocab_ops.encode_units(units, voc, vocab_ops.build_label_vocab(units)), voc
 
@@ -133,7 +137,7 @@ from lexiforge.operators import batching, latent, metrics, mixup, noise  # noqa:
 
 
 def _enc_probs(spark, sf_dir):
-    units = document_units(spark, sf_dir)
+    units = _sentences(spark, sf_dir)
     voc = vocab_ops.build_vocab(units)
     enc = vocab_ops.encode_units(units, voc, vocab_ops.build_label_vocab(units))
     return enc, vocab_ops.token_probs(voc)
@@ -255,7 +259,7 @@ def q_latent(spark, sf_dir):
 
 
 def q_corpus_stats(spark, sf_dir):
-    return metrics.corpus_stats(document_units(spark, sf_dir))
+    return metrics.corpus_stats(_sentences(spark, sf_dir))
 
 
 def q_growth(spark, sf_dir):
@@ -289,54 +293,51 @@ QUERIES.update({
 from lexiforge.operators import collect, ngram  # noqa: E402
 
 
-def _conv_units(spark, sf_dir):
-    from lexiforge.sources.corpus import conversation_units
-    return conversation_units(spark, sf_dir)
 
 
 def q_transitions(spark, sf_dir):
-    t = ngram.fit_transitions(document_units(spark, sf_dir))
+    t = ngram.fit_transitions(_sentences(spark, sf_dir))
     return t.select("label", "prev", "next", "cnt", "total", F.round("p", 9).alias("p"))
 
 
 def q_greedy(spark, sf_dir):
-    units = document_units(spark, sf_dir)
-    dec = ngram.greedy(ngram.fit_transitions(units), ngram.starts(units), max_steps=12)
-    return dec.select("label", "start", F.array_join("seq", " ").alias("seq"))
+    units = _sentences(spark, sf_dir)
+    dec = ngram.greedy(ngram.fit_transitions(units), ngram.starts(units))
+    return dec.select("label", "start", F.array_join("seq", " ").alias("seq"), "finished")
 
 
 def q_beam(spark, sf_dir):
-    units = document_units(spark, sf_dir)
-    dec = ngram.beam(ngram.fit_transitions(units), ngram.starts(units), beam_width=5, max_steps=8)
+    units = _sentences(spark, sf_dir)
+    dec = ngram.beam(ngram.fit_transitions(units), ngram.starts(units), beam_width=5)
     return dec.select("label", "start", F.col("rank").cast("bigint").alias("rank"),
-                      F.array_join("seq", " ").alias("seq"), "score")
+                      F.array_join("seq", " ").alias("seq"), "score", "finished")
 
 
 def q_beam_topk(spark, sf_dir):
-    units = document_units(spark, sf_dir)
+    units = _sentences(spark, sf_dir)
     trans = ngram.topk_filtered(ngram.fit_transitions(units), 5)
-    dec = ngram.beam(trans, ngram.starts(units), beam_width=5, max_steps=8)
+    dec = ngram.beam(trans, ngram.starts(units), beam_width=5)
     return dec.select("label", "start", F.col("rank").cast("bigint").alias("rank"),
-                      F.array_join("seq", " ").alias("seq"), "score")
+                      F.array_join("seq", " ").alias("seq"), "score", "finished")
 
 
 def q_score_texts(spark, sf_dir):
-    units = document_units(spark, sf_dir)
+    units = _sentences(spark, sf_dir)
     s = ngram.score_texts(units, ngram.fit_transitions(units))
     return s.select("doc_id", "sent_no", "chunk_no", "label", F.round("nll", 6).alias("nll"), "n_tok")
 
 
 def q_perplexity(spark, sf_dir):
-    units = document_units(spark, sf_dir)
+    units = _sentences(spark, sf_dir)
     p = ngram.perplexity(ngram.score_texts(units, ngram.fit_transitions(units)))
     return p.select("n_utt", "n_tok", *[F.round(c, 6).alias(c) for c in ("token_nll", "ppl", "utt_nll")])
 
 
 def q_collect(spark, sf_dir):
-    units = document_units(spark, sf_dir)
+    units = _sentences(spark, sf_dir)
     trans = ngram.fit_transitions(units)
     st = ngram.starts(units)
-    greedy_rows = ngram.generated_rows(units, ngram.greedy(trans, st, max_steps=12), "greedy")
+    greedy_rows = ngram.generated_rows(units, ngram.greedy(trans, st), "greedy")
     cands = greedy_rows.select("org", "aug", "method", "label")
     origs = units.select(F.array_join("tokens", " ").alias("org"))
     return collect.collect_generated(cands, origs)
@@ -355,17 +356,18 @@ QUERIES.update({
 
 # --- pivot paraphrase ------------------------------------------------------------
 from lexiforge.operators import pivot  # noqa: E402
+from lexiforge.plans import rank_alignment  # noqa: E402
 
 
 def q_paraphrase_table(spark, sf_dir):
-    fwd, back = pivot.rank_tables(document_units(spark, sf_dir))
+    fwd, back = rank_alignment.rank_tables(document_units(spark, sf_dir))
     t = pivot.paraphrase_table(fwd, back)
     return t.select("src_lang", "pivot_lang", "src", "best", F.round("p", 9).alias("p"))
 
 
 def q_pivot_paraphrase(spark, sf_dir):
     units = document_units(spark, sf_dir)
-    fwd, back = pivot.rank_tables(units)
+    fwd, back = rank_alignment.rank_tables(units)
     return pivot.pivot_paraphrase(units, pivot.paraphrase_table(fwd, back))
 
 
@@ -408,7 +410,7 @@ from lexiforge.plans import augment as augment_plan  # noqa: E402
 
 
 def q_preprocess(spark, sf_dir):
-    units = document_units(spark, sf_dir)
+    units = _sentences(spark, sf_dir)
     voc = vocab_ops.build_vocab(units)
     out = vocab_ops.preprocess(units, voc, vocab_ops.build_label_vocab(units))
     return out.select("doc_id", "sent_no", "chunk_no", "intent", F.array_join("utt", " ").alias("utt"))
@@ -416,7 +418,7 @@ def q_preprocess(spark, sf_dir):
 
 def q_union_methods(spark, sf_dir):
     units = document_units(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-    return augment_plan.union_methods(units, ("eda", "pivot"), num_aug=9)
+    return augment_plan.union_methods(units, ("eda", "pivot"), num_aug=9, translations=rank_alignment.rank_tables(units))
 
 
 QUERIES.update({

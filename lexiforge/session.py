@@ -33,7 +33,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     for k, v in SCALE_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.ui.enabled", "false")
-    builder = builder.config("spark.driver.memory", os.environ.get("LEXIFORGE_DRIVER_MEMORY", "16g"))
+    builder = builder.config("spark.driver.memory", os.environ.get("LEXIFORGE_DRIVER_MEMORY", "8g"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
@@ -69,15 +69,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition a narrow input on ``keys`` when its scan gives fewer
-    partitions than the cluster has cores (a single small Parquet file).  At
-    scale the scan is already split into many partitions and nothing is added."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # no RDD access (e.g. a Connect session): leave the plan as it is
+def spread(df: DataFrame, *keys: str, partitions: int | None = None) -> DataFrame:
+    """Hash-partitions a narrow input on ``keys``, into the session's number of shuffle partitions or ``partitions``; a
+    partition count of 0 leaves the scan's own partitions."""
+    if partitions == 0:
         return df
-    if n >= par:
-        return df
-    return df.repartition(par, *keys)
+    return df.repartition(*([partitions] if partitions else []), *keys)

@@ -1,10 +1,9 @@
 """Labelled text units from the driver tables.
 
-The unit of augmentation is a sentence (or a piece of a very long sentence):
-documents reach tens of thousands of words and the edit operators are
-quadratic in the token count, so texts are cut at sentence marks and every
-sentence longer than ``max_tokens`` is split into consecutive pieces.  All
-pieces are kept, so the whole text is processed.
+The unit is a sentence.  The token edits (E1-E5) work on pieces of at most
+``max_tokens`` consecutive tokens of it, as they are quadratic in the token
+count; all pieces are kept.  Vocabularies, encoding, transitions, scoring and
+synonyms work on ``WHOLE`` sentences, so that no false start or end is seen.
 """
 
 from __future__ import annotations
@@ -16,6 +15,8 @@ from lexiforge.functions.text import LETTER_CLASS, SENTENCE_MARKS, normalise_tok
 from lexiforge.session import spread
 
 DEFAULT_MAX_TOKENS = 64
+# A piece of so many tokens is the whole sentence.
+WHOLE = 1 << 30
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,14 +50,6 @@ def document_units(spark: SparkSession, sf_dir: str, max_tokens: int = DEFAULT_M
     return split_units(docs, "doc_id", "text", label_col, max_tokens)
 
 
-def conversation_units(spark: SparkSession, sf_dir: str, max_tokens: int = DEFAULT_MAX_TOKENS) -> DataFrame:
-    """Units of ``conversations`` (intent-like rows, label = role); the key is
-    conv_id * 1000 + turn so that it stays one bigint."""
-    conv = read_table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", "role")
-    return split_units(spread(conv, "doc_id"), "doc_id", "text", "role", max_tokens)
-
-
 # ---------------------------------------------------------------------------
 # SQL twin (DuckDB) of ``split_units`` for the oracles.
 # ---------------------------------------------------------------------------

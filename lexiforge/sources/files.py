@@ -22,8 +22,11 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labelled_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated, no header: (label, text)."""
-    return spark.read.schema(LABELLED_SCHEMA).option("sep", "\t").option("header", False).csv(path)
+    """Tab-separated, no header, no quoting: (label, text); the text is all after the first tab."""
+    line = F.col("value")
+    return spark.read.text(path).where(F.length(line) > 0).select(
+        F.substring_index(line, "\t", 1).alias("label"),
+        F.when(F.instr(line, "\t") > 0, F.expr("substring(value, instr(value, '\t') + 1)")).alias("text"))
 
 
 def read_tagged(spark: SparkSession, path: str, min_fields: int = 3) -> DataFrame:
@@ -98,8 +101,9 @@ def write_result_table(df: DataFrame, path: str, four_columns: bool = True) -> N
         df.select("label", "text").write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
-def write_encoded(df: DataFrame, path: str) -> None:
-    """Encoded examples, one output per input split."""
+def write_encoded(df: DataFrame, path: str, split: str | None = None) -> None:
+    """Encoded examples, one output per input split: the column ``split``, or all rows as the given split."""
+    df = df if split is None else df.withColumn("split", F.lit(split))
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 

@@ -18,9 +18,9 @@ def units_cte(name: str = "units", table: str = "documents", key: str = "doc_id"
     return f"{name} AS {sql_units(table, key, 'text', label)}"
 
 
-def conv_units_cte(name: str = "units") -> str:
-    src = "(SELECT conv_id * 1000 + turn AS doc_id, text, role FROM conversations)"
-    return f"{name} AS {sql_units(src, 'doc_id', 'text', 'role')}"
+def whole_cte() -> str:
+    """Whole sentences."""
+    return f"units AS {sql_units('documents', 'doc_id', 'text', 'lang', 1 << 30)}"
 
 
 def stop_cte(top: int = 50) -> str:
@@ -161,7 +161,7 @@ def stop_words_sql() -> str:
 
 
 def synonyms_sql() -> str:
-    return f"WITH {units_cte()}, {lexicon_ctes()} SELECT word, synonym, score, CAST(rank AS BIGINT) AS rank FROM lex"
+    return f"WITH {whole_cte()}, {lexicon_ctes()} SELECT word, synonym, score, CAST(rank AS BIGINT) AS rank FROM lex"
 
 
 ORACLES = {
@@ -199,7 +199,7 @@ def label_vocab_cte(src: str, col: str) -> str:
                UNION ALL SELECT row_number() OVER (ORDER BY cnt DESC, label) AS id, label, cnt FROM lcounts)"""
 
 
-def encode_ctes(max_len: int = 66) -> str:
+def encode_ctes(max_len: int = 100) -> str:
     return f"""{vocab_ctes()}, {label_vocab_cte('units', 'label')},
     wr AS (SELECT doc_id, sent_no, chunk_no, {norm_label('label')} AS label,
                   list_concat(['<_GO>'], tokens[1:{max_len - 2}], ['<_EOS>']) AS utt FROM units WHERE len(tokens) > 0),
@@ -214,28 +214,28 @@ def encode_ctes(max_len: int = 66) -> str:
 
 
 def decode_sql(where: str = "") -> str:
-    return f"""WITH {units_cte()}, {encode_ctes()},
+    return f"""WITH {whole_cte()}, {encode_ctes()},
     dx AS (SELECT id, t.i AS pos, utter[t.i + 1] AS tid FROM enc, unnest(range(len(utter))) AS t(i) {where})
     SELECT dx.id, string_agg(v.token, ' ' ORDER BY dx.pos) AS text
     FROM dx JOIN vocab v ON dx.tid = v.id GROUP BY dx.id"""
 
 
 ORACLES.update({
-    "a1_token_freq": f"""WITH {units_cte()} SELECT token, count(*) AS cnt
+    "a1_token_freq": f"""WITH {whole_cte()} SELECT token, count(*) AS cnt
         FROM (SELECT unnest(tokens) AS token FROM units) GROUP BY token""",
     "a1_char_freq": """SELECT token, count(*) AS cnt FROM (
         SELECT unnest(list_filter(string_split(regexp_replace(text, '\\s', '', 'g'), ''), lambda c: c <> '')) AS token
         FROM conversations) GROUP BY token""",
-    "a2_vocab": f"WITH {units_cte()}, {vocab_ctes()} SELECT id, token, cnt FROM vocab",
+    "a2_vocab": f"WITH {whole_cte()}, {vocab_ctes()} SELECT id, token, cnt FROM vocab",
     "a3_label_vocab": f"WITH {label_vocab_cte('conversations', 'role')} SELECT id, label, cnt FROM lvocab",
-    "a4_token_probs": f"""WITH {units_cte()}, {vocab_ctes()}
+    "a4_token_probs": f"""WITH {whole_cte()}, {vocab_ctes()}
         SELECT id AS token_id, token, cnt, cnt / sum(cnt) OVER () AS prob,
                sum(cnt) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(cnt) OVER () AS cum_prob
         FROM vocab WHERE cnt > 0""",
-    "j1_encode": f"""WITH {units_cte()}, {encode_ctes()}
+    "j1_encode": f"""WITH {whole_cte()}, {encode_ctes()}
         SELECT id, doc_id, sent_no, chunk_no, intent, len, array_to_string(utter, ' ') AS utter FROM enc""",
     "j2_decode": decode_sql(),
-    "s13_inspect": f"""WITH {units_cte()}, {encode_ctes()},
+    "s13_inspect": f"""WITH {whole_cte()}, {encode_ctes()},
     dx AS (SELECT id, intent, len, t.i AS pos, utter[t.i + 1] AS tid FROM enc, unnest(range(len(utter))) AS t(i)
            WHERE id <= 5)
     SELECT dx.id, dx.intent, dx.len, string_agg(v.token, ' ' ORDER BY dx.pos) AS text
@@ -251,7 +251,7 @@ PROBS_CTE = """probs AS (SELECT id AS token_id, cnt,
 
 
 def noise_sql(rate: float = 0.1, seed: int = 530) -> str:
-    return f"""WITH {units_cte()}, {encode_ctes()}, {PROBS_CTE},
+    return f"""WITH {whole_cte()}, {encode_ctes()}, {PROBS_CTE},
     hx AS (SELECT id, intent, len, utter, {H(str(seed), "'noise'", 'id')} AS h FROM enc),
     nx AS (SELECT id, intent, len, t.i AS pos, utter[t.i + 1] AS tid, h FROM hx, unnest(range(len(utter))) AS t(i)),
     nz AS (SELECT nx.*, (pos < len - 1 AND {U('h', 'pos * 2')} < {rate}) AS noised,
@@ -263,7 +263,7 @@ def noise_sql(rate: float = 0.1, seed: int = 530) -> str:
 
 
 def random_ood_sql(max_len: int = 20, seed: int = 530) -> str:
-    return f"""WITH {units_cte()}, {encode_ctes()}, {PROBS_CTE},
+    return f"""WITH {whole_cte()}, {encode_ctes()}, {PROBS_CTE},
     hx AS (SELECT id, {H(str(seed), "'ood'", 'id')} AS h FROM enc),
     ln AS (SELECT id, h, {PICK('h', '0', str(max_len - 1))} + 1 AS len FROM hx),
     nx AS (SELECT ln.id, ln.h, ln.len, t.i AS pos,
@@ -276,14 +276,14 @@ def random_ood_sql(max_len: int = 20, seed: int = 530) -> str:
 
 
 def padded_sql(bs: int = 16) -> str:
-    return f"""WITH {units_cte()}, {encode_ctes()},
+    return f"""WITH {whole_cte()}, {encode_ctes()},
     b AS (SELECT *, CAST(floor(id / {bs}) AS BIGINT) AS batch_id FROM enc),
     m AS (SELECT *, max(len) OVER (PARTITION BY batch_id) AS batch_len FROM b)
     SELECT batch_id, id, len, batch_len, array_to_string(list_resize(utter, batch_len, 0), ' ') AS utter FROM m"""
 
 
 def length_sorted_sql(bs: int = 20) -> str:
-    return f"""WITH {units_cte()}, {encode_ctes()},
+    return f"""WITH {whole_cte()}, {encode_ctes()},
     r AS (SELECT *, row_number() OVER (ORDER BY len, id) - 1 AS rk FROM enc),
     b AS (SELECT *, CAST(floor(rk / {bs}) AS BIGINT) AS batch_id FROM r)
     SELECT batch_id, id, len, max(len) OVER (PARTITION BY batch_id) AS batch_len FROM b"""
@@ -291,7 +291,7 @@ def length_sorted_sql(bs: int = 20) -> str:
 
 def split_sql(train: float = 0.8, dev: float = 0.1, seed: int = 2020) -> str:
     h = H(str(seed), "'split'", "doc_id")
-    u = f"({h} / 268435456.0)"
+    u = f"({h} / 1152921504606846976.0)"
     return f"""SELECT doc_id, lang, CASE WHEN {u} < {train!r} THEN 'train' WHEN {u} < {train + dev!r} THEN 'dev'
                ELSE 'test' END AS split FROM documents"""
 
@@ -380,7 +380,7 @@ ORACLES.update({
         SELECT label, round(0.5 * sum(exp(logvar - logvar0) + (mu - mu0) ^ 2 / exp(logvar0) - 1 - (logvar - logvar0)), 5) AS kl
         FROM ga JOIN po ON ga.dim = po.dim GROUP BY label""",
     "e15_latent_sample": latent_sql(),
-    "a10_corpus_stats": f"""WITH {units_cte()}
+    "a10_corpus_stats": f"""WITH {whole_cte()}
         SELECT 'n_units' AS metric, count(*) AS value FROM units
         UNION ALL SELECT 'n_tokens', sum(len(tokens)) FROM units
         UNION ALL SELECT 'vocab_size', count(DISTINCT t) FROM (SELECT unnest(tokens) AS t FROM units)
@@ -399,7 +399,10 @@ TRANS_CTE = """pz AS (SELECT label, list_concat(['<_GO>'], tokens) AS ip, list_c
               FROM tc JOIN tt ON tc.label = tt.label AND tc.prev = tt.prev)"""
 
 
-def greedy_ctes(max_steps: int = 12) -> str:
+MAX_DECODE_LEN = 80
+
+
+def greedy_ctes(max_len: int = MAX_DECODE_LEN) -> str:
     return f"""{TRANS_CTE},
     best AS (SELECT label, prev, next FROM trans QUALIFY row_number() OVER (PARTITION BY label, prev ORDER BY cnt DESC, next) = 1),
     st AS (SELECT DISTINCT label, tokens[1] AS start FROM units),
@@ -407,19 +410,51 @@ def greedy_ctes(max_steps: int = 12) -> str:
       WITH RECURSIVE g(label, start, seq, done, step) AS (
         SELECT label, start, [start], false, 0 FROM st
         UNION ALL
-        SELECT g.label, g.start,
-               CASE WHEN b.next IS NULL OR g.done THEN g.seq ELSE list_append(g.seq, b.next) END,
-               g.done OR b.next IS NULL OR b.next = '<_EOS>', g.step + 1
-        FROM g LEFT JOIN best b ON b.label = g.label AND b.prev = g.seq[len(g.seq)] AND NOT g.done
-        WHERE g.step < {max_steps})
-      SELECT label, start, seq FROM g WHERE step = {max_steps})"""
+        SELECT g.label, g.start, CASE WHEN b.next IS NULL THEN g.seq ELSE list_append(g.seq, b.next) END,
+               b.next IS NULL OR b.next = '<_EOS>', g.step + 1
+        FROM g LEFT JOIN best b ON b.label = g.label AND b.prev = g.seq[len(g.seq)]
+        WHERE NOT g.done AND g.step < {max_len})
+      SELECT label, start, seq FROM g WHERE done OR step = {max_len})"""
+
+
+def beam_sql(trans: str = "trans", extra: str = "", width: int = 5, max_len: int = MAX_DECODE_LEN) -> str:
+    """All hypotheses of a source move on together until none is open."""
+    return f"""WITH {whole_cte()}, {TRANS_CTE}{extra},
+    cand AS (SELECT label, prev, next, ln(p) AS lp FROM {trans}
+             QUALIFY row_number() OVER (PARTITION BY label, prev ORDER BY cnt DESC, next) <= {width}),
+    st AS (SELECT DISTINCT label, tokens[1] AS start FROM units),
+    gen AS (
+      WITH RECURSIVE g(label, start, seq, logp, done, step, active) AS (
+        SELECT label, start, [start], CAST(0 AS DOUBLE), false, 0, true FROM st
+        UNION ALL
+        SELECT label, start, seq, logp, done, step, bool_or(NOT done) OVER (PARTITION BY label, start) AS active FROM (
+          SELECT label, start, seq, logp, done, step FROM (
+            SELECT g.label, g.start, CASE WHEN c.next IS NULL THEN g.seq ELSE list_append(g.seq, c.next) END AS seq,
+                   g.logp + coalesce(c.lp, 0) AS logp, g.done OR c.next IS NULL OR c.next = '<_EOS>' AS done, g.step + 1 AS step
+            FROM g LEFT JOIN cand c ON c.label = g.label AND c.prev = g.seq[len(g.seq)] AND NOT g.done
+            WHERE g.active AND g.step < {max_len})
+          QUALIFY row_number() OVER (PARTITION BY label, start ORDER BY round(logp, 9) DESC, array_to_string(seq, ' ')) <= {width}))
+      SELECT label, start, seq, round(logp, 9) AS score FROM g WHERE NOT active OR step = {max_len})
+    SELECT label, start, row_number() OVER (PARTITION BY label, start ORDER BY score DESC, array_to_string(seq, ' ')) AS rank,
+           array_to_string(seq, ' ') AS seq, score, seq[len(seq)] = '<_EOS>' AS finished FROM gen"""
+
+
+TOPK_CTES = """,
+    kth AS (SELECT label, prev, avg(p) AS kth FROM (
+              SELECT * FROM trans QUALIFY row_number() OVER (PARTITION BY label, prev ORDER BY cnt DESC, next) <= 5) GROUP BY label, prev),
+    kept AS (SELECT t.label, t.prev, t.next, t.cnt, t.p FROM trans t JOIN kth k ON t.label = k.label AND t.prev = k.prev WHERE t.p >= k.kth),
+    ktot AS (SELECT label, prev, sum(p) AS kp FROM kept GROUP BY label, prev),
+    ftrans AS (SELECT kept.label, kept.prev, kept.next, kept.cnt, kept.p / ktot.kp AS p
+               FROM kept JOIN ktot ON kept.label = ktot.label AND kept.prev = ktot.prev)"""
 
 
 ORACLES.update({
-    "g1_fit_transitions": f"WITH {units_cte()}, {TRANS_CTE} SELECT label, prev, next, cnt, total, round(p, 9) AS p FROM trans",
-    "g2a_generate_greedy": f"""WITH {units_cte()}, {greedy_ctes()}
-        SELECT label, start, array_to_string(seq, ' ') AS seq FROM gen""",
-    "g3_score_text": f"""WITH {units_cte()}, {TRANS_CTE},
+    "g1_fit_transitions": f"WITH {whole_cte()}, {TRANS_CTE} SELECT label, prev, next, cnt, total, round(p, 9) AS p FROM trans",
+    "g2a_generate_greedy": f"""WITH {whole_cte()}, {greedy_ctes()}
+        SELECT label, start, array_to_string(seq, ' ') AS seq, seq[len(seq)] = '<_EOS>' AS finished FROM gen""",
+    "g2b_generate_beam": beam_sql(),
+    "g2c_generate_beam_topk": beam_sql("ftrans", TOPK_CTES),
+    "g3_score_text": f"""WITH {whole_cte()}, {TRANS_CTE},
         v AS (SELECT count(DISTINCT next) + 1 AS v FROM trans),
         rp AS (SELECT doc_id, sent_no, chunk_no, label, list_concat(['<_GO>'], tokens) AS ip,
                       list_concat(tokens, ['<_EOS>']) AS tg FROM units),
@@ -430,7 +465,7 @@ ORACLES.update({
         FROM rx LEFT JOIN trans tr ON rx.label = tr.label AND rx.prev = tr.prev AND rx.next = tr.next
         LEFT JOIN tt ON rx.label = tt.label AND rx.prev = tt.prev, v
         GROUP BY rx.doc_id, rx.sent_no, rx.chunk_no, rx.label""",
-    "a8_perplexity": f"""WITH {units_cte()}, {TRANS_CTE},
+    "a8_perplexity": f"""WITH {whole_cte()}, {TRANS_CTE},
         v AS (SELECT count(DISTINCT next) + 1 AS v FROM trans),
         rp AS (SELECT doc_id, sent_no, chunk_no, label, list_concat(['<_GO>'], tokens) AS ip,
                       list_concat(tokens, ['<_EOS>']) AS tg FROM units),
@@ -443,7 +478,7 @@ ORACLES.update({
                GROUP BY rx.doc_id, rx.sent_no, rx.chunk_no)
         SELECT count(*) AS n_utt, sum(n_tok) AS n_tok, round(sum(nll) / sum(n_tok), 6) AS token_nll,
                round(exp(sum(nll) / sum(n_tok)), 6) AS ppl, round(sum(nll) / count(*), 6) AS utt_nll FROM sc""",
-    "e12_collect_generated": f"""WITH {units_cte()}, {greedy_ctes()},
+    "e12_collect_generated": f"""WITH {whole_cte()}, {greedy_ctes()},
         rows AS (SELECT label, tokens[1] AS start, array_to_string(tokens, ' ') AS org FROM units),
         dec AS (SELECT label, start, array_to_string(CASE WHEN list_position(seq, '<_EOS>') > 0
                    THEN seq[1:list_position(seq, '<_EOS>') - 1] ELSE seq END, ' ') AS aug FROM gen),
@@ -473,7 +508,7 @@ PARA_CTES = """wc AS (SELECT label AS lang, w AS word, count(*) AS cnt FROM (SEL
             SELECT a.lang, b.lang, a.word, b.word, CAST(0.4 AS DOUBLE) FROM wr a JOIN wr b ON b.rank + 1 = a.rank AND a.lang <> b.lang),
     para AS (SELECT f.src_lang, f.pivot_lang, f.src AS e1, k.dst AS e2, sum(f.p * k.p) AS p
              FROM fwd f JOIN bck k ON f.src_lang = k.src_lang AND f.pivot_lang = k.pivot_lang AND f.dst = k.src
-             GROUP BY f.src_lang, f.pivot_lang, f.src, k.dst),
+             WHERE f.src <> k.dst GROUP BY f.src_lang, f.pivot_lang, f.src, k.dst),
     best AS (SELECT src_lang, pivot_lang, e1 AS src, e2 AS best, p FROM para
              QUALIFY row_number() OVER (PARTITION BY src_lang, pivot_lang, e1 ORDER BY round(-p, 12), e2) = 1)"""
 
@@ -507,7 +542,7 @@ def _pivot_rows_sql() -> str:
 
 
 ORACLES.update({
-    "p12_preprocess": f"""WITH {units_cte()}, {vocab_ctes()}, {label_vocab_cte('units', 'label')},
+    "p12_preprocess": f"""WITH {whole_cte()}, {vocab_ctes()}, {label_vocab_cte('units', 'label')},
         px AS (SELECT doc_id, sent_no, chunk_no, {norm_label('label')} AS label, t.i AS pos,
                       list_concat(tokens, ['<_EOS>'])[t.i + 1] AS token
                FROM units, unnest(range(len(tokens) + 1)) AS t(i)),
