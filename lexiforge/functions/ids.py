@@ -13,18 +13,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiforge.session import cut_lineage
+
 _LOW_BITS = 33
 
 
 def _ordered(df: DataFrame, order: list[Column]) -> DataFrame:
-    """Sorted frame with (_pid, _pos); persisted so both uses see one sort."""
+    """Sorted frame with (_pid, _pos), written once to the shared folder: both uses must see one sort."""
     with_mid = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
     low = (1 << _LOW_BITS) - 1
-    return (with_mid
-            .withColumn("_pid", F.shiftright("_mid", _LOW_BITS))
-            .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(low)))
-            .drop("_mid")
-            .persist())
+    return cut_lineage(with_mid
+                       .withColumn("_pid", F.shiftright("_mid", _LOW_BITS))
+                       .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(low)))
+                       .drop("_mid"))
 
 
 def dense_index(df: DataFrame, order: list[Column], start: int = 0, id_col: str = "id",

@@ -117,10 +117,9 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     shards, blocks = max(1, -(-size["n"] // shard_rows)), max(1, -(-(size["q"] or 0) // block_rows))
     width = size["w"] or 0
     # The hash of the whole row deals out rows that share an id.
-    spread = F.abs(F.xxhash64("id", "v"))
-    data = v.select("id", "v", (spread % shards).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    data = v.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     asked = v.where("asks").select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
-                                   (F.abs(F.xxhash64("id", "v", F.lit(1))) % blocks).cast("int").alias("block"))
+                                   F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
 
     def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, a, b = left.column("id").to_numpy(), _matrix(left.column("v"), width, scale), _matrix(right.column("v"), width, scale)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.operators import metrics
+from lexiforge.session import cut_lineage
 
 
 def featurise(num_features: int = 1 << 18) -> list:
@@ -43,11 +44,12 @@ def gain_table(units: DataFrame, augment, sizes=(100, 500, 2000), seed: int = 20
     returns (label, tokens) rows including the originals."""
     from lexiforge.operators.batching import low_resource_tiers, split_train_dev_test
     keys = ["doc_id", "sent_no", "chunk_no"]
-    split = split_train_dev_test(units, keys, train=0.9, dev=0.0, seed=seed).persist()
-    test = split.where(F.col("split") == "test").select("label", "tokens").persist()
+    # Whole documents go to one side, so that no piece of a test document is trained on.
+    split = split_train_dev_test(units, ["doc_id"], train=0.9, dev=0.0, seed=seed)
+    test = cut_lineage(split.where(F.col("split") == "test").select("label", "tokens"))
     # Tiers are needed up to the largest size only; the frame is reused by every fit.
-    train_all = (low_resource_tiers(split.where(F.col("split") == "train").drop("split"), keys, sizes, seed)
-                 .where(F.col("tier").isNotNull()).persist())
+    train_all = cut_lineage(low_resource_tiers(split.where(F.col("split") == "train").drop("split"), keys, sizes, seed)
+                 .where(F.col("tier").isNotNull()))
     rows = []
     for s in sorted(sizes):
         train = train_all.where(F.col("tier") <= s).drop("tier", "draw_rank")

@@ -6,18 +6,18 @@ the blueprint.  The DuckDB twins live in ``oracles/duckdb_sql.py``.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.operators import eda, lexicon
+from lexiforge.session import cut_lineage
 from lexiforge.sources.corpus import WHOLE, document_units
 
 
 def _lexicon_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Units feed three branches (stop words, synonyms, look-up): persisted
-    # once (memory and disk) instead of re-reading and re-splitting the texts.
-    units = document_units(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    # Units feed three branches (stop words, synonyms, look-up): written once to the shared folder (released with the
+    # frame) instead of re-reading and re-splitting the texts.
+    units = cut_lineage(document_units(spark, sf_dir))
     stops = lexicon.frequent_words(units, 50)
     lex = lexicon.context_synonyms(units)
     return lexicon.attach_lexicon(units, lex, stops)
@@ -75,6 +75,12 @@ from lexiforge.operators import vocab as vocab_ops  # noqa: E402
 from lexiforge.sources.corpus import read_table  # noqa: E402
 
 
+def q_content_words(spark, sf_dir):
+    """Word counts without the stop words, by an anti-join."""
+    units = _sentences(spark, sf_dir)
+    return lexicon.drop_stop_words(vocab_ops.token_counts(units), lexicon.frequent_words(units, 50), "token")
+
+
 def q_token_freq(spark, sf_dir):
     return vocab_ops.token_counts(_sentences(spark, sf_dir))
 
@@ -121,6 +127,7 @@ def q_inspect(spark, sf_dir):
 
 
 QUERIES.update({
+    "j6_content_words": q_content_words,
     "a1_token_freq": q_token_freq,
     "a1_char_freq": q_char_freq,
     "a2_vocab": q_vocab,
@@ -168,24 +175,23 @@ def q_padded_batches(spark, sf_dir):
 def q_length_batches(spark, sf_dir):
     enc, _ = _encoded(spark, sf_dir)
     out = batching.length_sorted_batches(enc, 20)
-    return out.select("batch_id", "id", "len", "batch_len")
+    return out.select("batch_id", "id", "len", "batch_len", _ids_text("utter"))
 
 
 def q_shuffle(spark, sf_dir):
-    out = batching.seeded_shuffle(read_table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"])
-    return out
+    return batching.shuffle_places(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["doc_id"])
 
 
 def q_repeat(spark, sf_dir):
-    return batching.repeat_epochs(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), 3)
+    return batching.repeat_epochs(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), 3)
 
 
 def q_split(spark, sf_dir):
-    return batching.split_train_dev_test(read_table(spark, sf_dir, "documents").select("doc_id", "lang"), ["doc_id"])
+    return batching.split_train_dev_test(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), ["doc_id"])
 
 
 def q_leading(spark, sf_dir):
-    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    conv = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return batching.leading_fraction(conv, "conv_id", "turn", 0.5)
 
 
@@ -328,8 +334,8 @@ def q_score_texts(spark, sf_dir):
 
 
 def q_perplexity(spark, sf_dir):
-    units = _sentences(spark, sf_dir)
-    p = ngram.perplexity(ngram.score_texts(units, ngram.fit_transitions(units)))
+    units = batching.split_train_dev_test(_sentences(spark, sf_dir), ["doc_id"])
+    p = ngram.perplexity(units.where("split <> 'train'"), ngram.fit_transitions(units.where("split = 'train'")))
     return p.select("n_utt", "n_tok", *[F.round(c, 6).alias(c) for c in ("token_nll", "ppl", "utt_nll")])
 
 
@@ -417,7 +423,7 @@ def q_preprocess(spark, sf_dir):
 
 
 def q_union_methods(spark, sf_dir):
-    units = document_units(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    units = cut_lineage(document_units(spark, sf_dir))
     return augment_plan.union_methods(units, ("eda", "pivot"), num_aug=9, translations=rank_alignment.rank_tables(units))
 
 

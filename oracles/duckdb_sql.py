@@ -221,6 +221,8 @@ def decode_sql(where: str = "") -> str:
 
 
 ORACLES.update({
+    "j6_content_words": f"""WITH {units_cte()}, {stop_cte()}
+        SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM units) WHERE token NOT IN (SELECT word FROM stop) GROUP BY token""".replace(units_cte(), whole_cte()),
     "a1_token_freq": f"""WITH {whole_cte()} SELECT token, count(*) AS cnt
         FROM (SELECT unnest(tokens) AS token FROM units) GROUP BY token""",
     "a1_char_freq": """SELECT token, count(*) AS cnt FROM (
@@ -285,14 +287,15 @@ def padded_sql(bs: int = 16) -> str:
 def length_sorted_sql(bs: int = 20) -> str:
     return f"""WITH {whole_cte()}, {encode_ctes()},
     r AS (SELECT *, row_number() OVER (ORDER BY len, id) - 1 AS rk FROM enc),
-    b AS (SELECT *, CAST(floor(rk / {bs}) AS BIGINT) AS batch_id FROM r)
-    SELECT batch_id, id, len, max(len) OVER (PARTITION BY batch_id) AS batch_len FROM b"""
+    b AS (SELECT *, CAST(floor(rk / {bs}) AS BIGINT) AS batch_id FROM r),
+    m AS (SELECT *, max(len) OVER (PARTITION BY batch_id) AS batch_len FROM b)
+    SELECT batch_id, id, len, batch_len, array_to_string(list_resize(utter, batch_len, 0), ' ') AS utter FROM m"""
 
 
 def split_sql(train: float = 0.8, dev: float = 0.1, seed: int = 2020) -> str:
     h = H(str(seed), "'split'", "doc_id")
     u = f"({h} / 1152921504606846976.0)"
-    return f"""SELECT doc_id, lang, CASE WHEN {u} < {train!r} THEN 'train' WHEN {u} < {train + dev!r} THEN 'dev'
+    return f"""SELECT doc_id, lang, text, CASE WHEN {u} < {train!r} THEN 'train' WHEN {u} < {train + dev!r} THEN 'dev'
                ELSE 'test' END AS split FROM documents"""
 
 
@@ -348,11 +351,12 @@ ORACLES.update({
     "e8_random_ood": random_ood_sql(),
     "w2_padded_batches": padded_sql(),
     "w3_length_sorted_batches": length_sorted_sql(),
-    "l1_seeded_shuffle": "SELECT doc_id, lang FROM documents",
-    "l2_repeat_epochs": """SELECT conv_id, turn, role, CAST(e.epoch AS INTEGER) AS epoch
+    "l1_seeded_shuffle": f"""SELECT doc_id, lang, text, row_number() OVER (ORDER BY {H('2020', "'shuffle'", 'doc_id')}, doc_id) - 1 AS place
+        FROM documents""",
+    "l2_repeat_epochs": """SELECT conv_id, turn, role, text, CAST(e.epoch AS INTEGER) AS epoch
         FROM conversations, unnest(range(1, 4)) AS e(epoch)""",
     "l3_train_dev_test": split_sql(),
-    "l4_leading_fraction": """SELECT conv_id, turn, role FROM conversations
+    "l4_leading_fraction": """SELECT conv_id, turn, role, text FROM conversations
         QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) <= floor(count(*) OVER (PARTITION BY conv_id) * 0.5)""",
     "l5_low_resource_tiers": tiers_sql(),
     "e10_sentence_mixup": f"""WITH {pairs_cte()}
@@ -465,10 +469,12 @@ ORACLES.update({
         FROM rx LEFT JOIN trans tr ON rx.label = tr.label AND rx.prev = tr.prev AND rx.next = tr.next
         LEFT JOIN tt ON rx.label = tt.label AND rx.prev = tt.prev, v
         GROUP BY rx.doc_id, rx.sent_no, rx.chunk_no, rx.label""",
-    "a8_perplexity": f"""WITH {whole_cte()}, {TRANS_CTE},
+    "a8_perplexity": f"""WITH {whole_cte().replace('units AS', 'all_units AS', 1)},
+        sp AS (SELECT *, {H('2020', "'split'", 'doc_id')} / 1152921504606846976.0 AS u FROM all_units),
+        units AS (SELECT * FROM sp WHERE u < 0.8), held AS (SELECT * FROM sp WHERE u >= 0.8), {TRANS_CTE},
         v AS (SELECT count(DISTINCT next) + 1 AS v FROM trans),
         rp AS (SELECT doc_id, sent_no, chunk_no, label, list_concat(['<_GO>'], tokens) AS ip,
-                      list_concat(tokens, ['<_EOS>']) AS tg FROM units),
+                      list_concat(tokens, ['<_EOS>']) AS tg FROM held),
         rx AS (SELECT doc_id, sent_no, chunk_no, label, ip[t.i + 1] AS prev, tg[t.i + 1] AS next
                FROM rp, unnest(range(len(ip))) AS t(i)),
         sc AS (SELECT rx.doc_id, rx.sent_no, rx.chunk_no, sum(-ln((coalesce(tr.cnt, 0) + 1) / (coalesce(tt.total, 0) + v.v))) AS nll,
