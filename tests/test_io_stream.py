@@ -71,3 +71,31 @@ def test_stream_equals_batch(spark):
     units = document_units(spark, os.path.join(d, "in"))
     batch = eda.single_technique(units, "rd", 3, 0.1)
     assert sorted(streamed.collect()) == sorted(batch.collect())
+
+
+def test_tsv_keeps_quotes_and_later_tabs(spark):
+    d = _tmp()
+    with open(os.path.join(d, "a.tsv"), "w") as f:
+        f.write('neu\t"open quote\npos\ta\tb "c"\n\nlonely\n')
+    got = {(r.label, r.text) for r in files.read_labelled_tsv(spark, os.path.join(d, "a.tsv")).collect()}
+    assert got == {("neu", '"open quote'), ("pos", 'a\tb "c"'), ("lonely", None)}
+
+
+def test_stop_words_result_tables_encoded_and_vocab_files(spark):
+    d = _tmp()
+    with open(os.path.join(d, "stop"), "w") as f:
+        f.write(" the \n\nof\nthe\n")
+    assert sorted(r.word for r in files.read_stop_words(spark, os.path.join(d, "stop")).collect()) == ["of", "the"]
+    rows = spark.createDataFrame([("o", "a", "greedy", "x"), ("o", "b", "beam", "y")], "org string, aug string, method string, label string")
+    for _ in range(2):
+        files.write_result_table(rows, os.path.join(d, "four"))
+    assert spark.read.option("header", True).csv(os.path.join(d, "four")).count() == 4
+    two = rows.select("label", F.col("aug").alias("text"))
+    for _ in range(2):
+        files.write_result_table(two, os.path.join(d, "two"), four_columns=False)
+    assert spark.read.option("header", True).csv(os.path.join(d, "two")).count() == 2
+    enc = spark.createDataFrame([(0, [2, 5, 1]), (1, [2, 1])], "id long, utter array<int>")
+    files.write_encoded(enc, os.path.join(d, "enc"), "train")
+    assert {r.split for r in spark.read.parquet(os.path.join(d, "enc")).collect()} == {"train"}
+    files.write_vocab(spark.createDataFrame([(5, "b", 2), (6, "a", 2), (7, "c", 9)], "id long, token string, cnt long"), os.path.join(d, "vocab"))
+    assert [r.value for r in spark.read.text(os.path.join(d, "vocab")).collect()] == ["c\t9", "a\t2", "b\t2"]
