@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.arrays import let
+from lexiforge.llm.store import may_be_in
 from lexiforge.llm.words import WORD_PATTERN
 
 BUCKETS = 16384
@@ -74,14 +75,19 @@ def gram_buckets(words: Column, buckets: int = BUCKETS) -> Column:
 def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: int = BUCKETS,
         smoothing: float = SMOOTHING) -> list[float]:
     """log(target / raw) for each bucket.  ``trusted``: a frame with ``doc_id``, the documents of the target."""
-    ids = trusted.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct().withColumn("t", F.lit(1))
+    ids = trusted.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct()
     d = docs.select(F.col(doc_id).alias("d_id"), F.col(text).alias("text")).where("text is not null")
-    d = d.join(ids, F.col("d_id") == F.col("t_id"), "left").select("text", F.coalesce("t", F.lit(0)).alias("t"))
-    grams = d.select("t", F.explode(let(words_of(F.col("text")), lambda w: gram_buckets(w, buckets))).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()
-    raw, target = [0] * buckets, [0] * buckets
-    for r in counts:
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
+    # Only the trusted texts travel, by exchange at every size; all others are counted where they are read.
+    of_target = d.where(may_be_in(ids, "d_id")).join(ids.hint("merge"), F.col("d_id") == F.col("t_id"))
+
+    def counted(texts: DataFrame) -> list[int]:
+        grams = texts.select(F.explode(let(words_of(F.col("text")), lambda w: gram_buckets(w, buckets))).alias("bucket"))
+        out = [0] * buckets
+        for r in grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect():
+            out[r["bucket"]] = r["n"]
+        return out
+
+    raw, target = counted(d), counted(of_target)
     n_raw, n_target = sum(raw) + smoothing * buckets, sum(target) + smoothing * buckets
     if not any(target):
         return [0.0] * buckets
