@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexiforge.llm import words as W
-from lexiforge.llm.store import keep
+from lexiforge.llm.store import keep, may_be_in
 
 FOLDS = 5
 STARTS = (4, 5, 6, 7, 8)
@@ -125,10 +125,12 @@ def learn(docs: DataFrame, rows: DataFrame) -> Lexicon:
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
         return Lexicon(np.zeros(0, np.uint64), np.zeros(0))
-    d = docs.select("doc_id", "text").withColumn("digest", F.xxhash64("text"))
+    d = docs.select("doc_id", "text")
 
     def texts(which: Column) -> DataFrame:
-        return d.join(rows.where(which), (F.col("doc_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
+        own = rows.where(which)
+        few = d.where(may_be_in(own.select("r_id"), "doc_id")).withColumn("digest", F.xxhash64("text"))
+        return few.join(own.hint("merge"), (F.col("doc_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
 
     toxic = _totals(texts(F.col("toxic"))).where((F.col("n") >= max(3, SUPPORT * n1)) & (F.col("feature") != 0)).toArrow()
     order = np.argsort(f := toxic.column("feature").to_numpy().view(np.uint64))
