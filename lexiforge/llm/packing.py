@@ -3,8 +3,8 @@
 Pattern packing by non-negative least squares.  Documents are tokenised in Spark tasks and cut into pieces of at most
 ``size`` tokens.  The histogram of piece lengths (at most ``size`` numbers) is all that reaches the driver: lengths are
 grouped into bins, patterns of one to three bins that fill a sequence are enumerated, repeat counts are fitted to the
-binned histogram by non-negative least squares and rounded, and what is left is packed by best fit, lengths descending,
-first into the space the patterns leave.  The outcome is a list of layouts (lengths in order, times used); the pieces of
+binned histogram by non-negative least squares and rounded (the last piece of a pattern is the longest that still fits),
+and what is left is packed by best fit, lengths descending, first into the space the patterns leave.  The outcome is a list of layouts (lengths in order, times used); the pieces of
 one length are numbered in Spark and find their sequence and offset by that number.
 
 Defined results: a null text is an empty text, and an empty text is a piece of one token (the end token); rows that
@@ -28,14 +28,16 @@ SIZE = 2048
 END_ID = 0
 #: Token lengths in a bin of the fit; patterns have at most three bins.
 BIN = 8
-#: Word pieces whose ids a task remembers.
-CACHE_ENTRIES = 200_000
+#: Share of the fitted repeats that is laid out; the rest stays for best fit, which needs short pieces for its gaps.
+FITTED = 0.9
+#: Word pieces in each of the two generations whose ids a worker remembers.
+CACHE_ENTRIES = 250_000
 #: Rows of one length are numbered in groups of about this many.
-GROUP_ROWS = 4096
+GROUP_ROWS = 1024
 #: Fixed value: the splitting rule of the byte-level tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_CACHE: dict[str, dict[str, bytes]] = {}
+_ENCODERS: dict[str, "Encoder"] = {}
 
 
 def default_tokenizer() -> str:
@@ -46,7 +48,8 @@ def default_tokenizer() -> str:
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.  The tokenizer merges inside the pieces of its splitting rule
-    only, so the ids of a text are those of its pieces, which repeat a great deal and are remembered."""
+    only, so the ids of a text are those of its pieces, which repeat a great deal and are remembered: when the young
+    generation is full it becomes the old one, and pieces that are still in use move over."""
 
     def __init__(self, path: str):
         import regex
@@ -55,20 +58,32 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.pieces = regex.compile(PATTERN).findall
-        self.known = _CACHE.setdefault(path, {})
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    @staticmethod
+    def of(path: str) -> "Encoder":
+        """The worker's encoder for a file."""
+        if path not in _ENCODERS:
+            _ENCODERS[path] = Encoder(path)
+        return _ENCODERS[path]
 
     def encode(self, text: str) -> bytes:
-        parts, known = self.pieces(text), self.known
-        new = list(dict.fromkeys(p for p in parts if p not in known))
-        if new:
-            found = self.tokenizer.encode_batch(new, add_special_tokens=False)
-            fresh = {p: np.array(e.ids, dtype="<u4").tobytes() for p, e in zip(new, found)}
-            if len(known) + len(fresh) > CACHE_ENTRIES:
-                kept = {p: known[p] for p in set(parts) if p in known}
-                known.clear()
-                known.update(kept)
-            known.update(fresh)
-        return b"".join(map(known.__getitem__, parts))
+        parts = self.pieces(text)
+        distinct = set(parts)
+        if len(self.young) + len(distinct) > CACHE_ENTRIES:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new = []
+        for p in distinct:
+            if p not in young:
+                if p in old:
+                    young[p] = old[p]
+                else:
+                    new.append(p)
+        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False) if new else ()):
+            young[p] = np.array(e.ids, dtype="<u4").tobytes()
+        return b"".join(map(young.__getitem__, parts))
 
 
 def cut(n: int, size: int = SIZE) -> Iterator[tuple[int, int, int]]:
@@ -88,7 +103,7 @@ def tokenised(docs: DataFrame, path: str, size: int = SIZE, doc_id: str = "doc_i
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(path)
+        encoder = Encoder.of(path)
         for batch in batches:
             ids, pieces, starts, lengths, crcs = [], [], [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -197,29 +212,26 @@ def plan(histogram: dict[int, int], size: int = SIZE, width: int = BIN) -> list[
         matrix = np.zeros((bins + 1, len(rows)))
         for k in range(3):
             np.add.at(matrix, (rows[:, k], np.arange(len(rows))), 1.0)
-        matrix, rest = matrix[1:], b.copy()
-        x = nnls(matrix, b[1:]) if len(rows) else np.zeros(0)
+        matrix = matrix[1:]
+        weight = np.arange(1, bins + 1) / bins  # long pieces that are left over cost more than short ones
+        x = FITTED * nnls(matrix * weight[:, None], b[1:] * weight) if len(rows) else np.zeros(0)
         for j in np.argsort(-x, kind="stable"):
-            used = [int(k) for k in rows[j] if k]
-            need = {k: used.count(k) for k in used}
-            times = min(int(round(float(x[j]))), *(int(rest[k]) // c for k, c in need.items()))
-            if times <= 0:
-                continue
-            for k, c in need.items():
-                rest[k] -= c * times
-            while times:  # the longest lengths left of each bin, as many sequences as they last for
-                lengths, take = [], times
-                for k in used:
-                    at = next(x for x in by_bin[k] if left[x] - lengths.count(x) > 0)
-                    lengths.append(at)
-                for at in set(lengths):
-                    take = min(take, left[at] // lengths.count(at))
-                for at in lengths:
-                    left[at] -= take
+            times, used = int(round(float(x[j]))), [int(k) for k in rows[j] if k]
+            while times:
+                # the longest lengths left of the pattern's bins, and for the last the longest that still fits
+                lengths: list[int] = []
+                free = lambda v: left.get(v, 0) > lengths.count(v)  # noqa: B023, E731
+                for k in used[:-1]:
+                    lengths += [v for v in by_bin[k] if free(v)][:1]
+                room = size - sum(lengths)
+                lengths += [v for v in range(room, max(0, room - 2 * width), -1) if free(v)][:1]
+                if len(lengths) < len(used):
+                    break
+                take = min(times, *(left[v] // lengths.count(v) for v in lengths))
+                for v in lengths:
+                    left[v] -= take
                 out.add(tuple(lengths), take)
                 times -= take
-                for k in need:
-                    by_bin[k] = [x for x in by_bin[k] if left[x]]
     for length in sorted((x for x in left if left[x]), reverse=True):
         out.best_fit(length, left[length])
     return out.all()
