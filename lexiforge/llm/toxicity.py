@@ -39,6 +39,9 @@ MIN_Z = 3.0
 DRIFT = -0.05
 SIGNIFICANCE = 0.01
 
+#: Characters of text whose features are sorted at once.
+COUNT_BYTES = 1_000_000
+
 #: Bytes that are no part of a word here: all of ASCII but letters and digits.
 _OUTSIDE = np.ones(256, dtype=bool)
 _OUTSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -91,7 +94,7 @@ def _count_features(only: np.ndarray | None = None):
     def task(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in W.chunks(texts):
+            for a, b in W.chunks(texts, COUNT_BYTES):
                 w = split(texts[a:b])
                 feature, _ = _present(w)
                 if only is not None and len(only):
@@ -263,7 +266,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
     lexicon = learn(d, rows)
     slim = segments(d.withColumn("digest", F.xxhash64("text")), lexicon).select("row.doc_id", "row.digest", "best", "extreme", "total")
     own = rows.select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), "toxic")
-    return lexicon, calibrate(slim.join(own, (F.col("doc_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest"))))
+    known = slim.join(own, (F.col("doc_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
+    return lexicon, calibrate(keep(known.select("best", "extreme", "total", "toxic")))
 
 
 def score(docs: DataFrame, model: tuple[Lexicon, list[float]], text: str = "text") -> DataFrame:
