@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm import words as W
 from lexiforge.llm.components import components
-from lexiforge.llm.store import keep
+from lexiforge.llm.store import keep, may_be_in
 from lexiforge.llm.substrings import key_groups
 
 GRAM = 5
 THRESHOLD = Fraction(4, 5)
 SKETCH = 64
-RECALL = 0.9999
+RECALL = 0.999
 #: Levels for which the number of runs is reckoned; a pair survives each with at least the threshold's probability.
 DEPTH = 3
-SMALL = 64
+SMALL = 1024
 BLOCK = 256
 LAST = 2**63 - 1
 
@@ -64,15 +64,15 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def sketches(sets: list[np.ndarray], size: int = SKETCH) -> np.ndarray:
-    """MinHash values (16 bits each) of non-empty sets, one row a set."""
-    out = np.zeros((len(sets), size), np.uint16)
+    """MinHash values (32 bits each) of non-empty sets, one row a set."""
+    out = np.zeros((len(sets), size), np.uint32)
     if not sets:
         return out
     values = np.concatenate(sets)
     first = np.cumsum([0, *(len(s) for s in sets[:-1])])
     for k, a in enumerate(_multipliers(size)):
         least = np.minimum.reduceat(values * a, first)
-        out[:, k] = (W.mix(least) >> np.uint64(48)).astype(np.uint16)
+        out[:, k] = (W.mix(least) >> np.uint64(32)).astype(np.uint32)
     return out
 
 
@@ -110,7 +110,7 @@ def chosen(node: np.ndarray, size: int, threshold: float) -> np.ndarray:
 def _children(node: np.ndarray, sketch: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(member, child node) for members with their nodes and sketches."""
     member, at = np.nonzero(chosen(node, sketch.shape[1], threshold))
-    value = sketch[member, at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(16))
+    value = sketch[member, at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32))
     return member, W.mix(W.mix(node[member]) + value * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -122,7 +122,7 @@ def _split(threshold: float, size: int, runs: int | None):
             if not batch.num_rows:
                 continue
             cid = batch.column("cid").to_numpy()
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, size)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint32).reshape(-1, size)
             if runs is None:
                 nodes = [batch.column("node").to_numpy().view(np.uint64)]
             else:
@@ -158,8 +158,9 @@ def _propose(size: int, agree: int):
         rows: list[tuple[int, int]] = []
         for group in key_groups(batches, "node", ["cid", "sketch"]):
             if len(group) > 1:
-                sketch = np.frombuffer(b"".join(s for _, s in group), np.uint16).reshape(-1, size)
-                similar = (sketch[:, None, :] == sketch[None, :, :]).sum(axis=2) >= agree
+                sketch = np.frombuffer(b"".join(s for _, s in group), np.uint32).reshape(-1, size)
+                similar = np.concatenate([(part[:, None, :] == sketch[None, :, :]).sum(axis=2) >= agree
+                                          for part in np.array_split(sketch, len(sketch) // 32 + 1)])
                 rows += [(group[a][0], group[b][0]) for a, b in forest(similar)]
             if len(rows) >= 50_000:
                 yield _links(rows)
@@ -177,7 +178,7 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 def _agreement(size: int):
     def task(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, size) for c in ("sketch", "pivot_sketch"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, size) for c in ("sketch", "pivot_sketch"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "cid", "pivot")), pa.array((a == b).sum(axis=1), pa.int32())],
                                              names=["node", "cid", "pivot", "agree"])
 
@@ -193,6 +194,9 @@ def proposed_links(classes: DataFrame, threshold: Fraction = THRESHOLD, recall:
     out = None
     while True:
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("cid").alias("pivot")).where("members > 1")
+        # Sketches travel at every level: only those of classes that share a node with another still do.
+        rows = keep(rows.join(sizes.select("node"), "node"))
+        classes = keep(classes.join(rows.select("cid").distinct(), "cid", "left_semi"))
         few = rows.join(sizes.where(F.col("members") <= small).select("node"), "node").join(classes, "cid")
         found = few.select("node", "cid", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(_propose(size, agree), "u long, v long")
         many = rows.join(sizes.where(F.col("members") > small).select("node", "pivot"), "node")
@@ -200,6 +204,7 @@ def proposed_links(classes: DataFrame, threshold: Fraction = THRESHOLD, recall:
         out = found if out is None else out.unionByName(found)
         if many.isEmpty():
             return out
+        classes = keep(classes.join(many.select("cid").distinct(), "cid", "left_semi"))
         pivots = classes.select(F.col("cid").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
         compared = many.join(classes, "cid").join(pivots, "pivot").select("node", "cid", "pivot", "sketch", "pivot_sketch")
         compared = keep(compared.mapInArrow(_agreement(size), "node long, cid long, pivot long, agree int"))
@@ -280,7 +285,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.select(F.col("id").alias("cid"), "docs", "side", F.col("first.id").alias("id"), F.col("first.digest").alias("digest"),
                      (F.col("side") != F.col("other")).alias("cross"), F.concat_ws(":", "root", F.least("side", "other"), F.greatest("side", "other")).alias("key"))
-    texts = own.join(d, ["id", "digest"]).select("key", "cid", "docs", "side", "cross", "text")
+    texts = own.join(d.where(may_be_in(own.select("id"), "id")), ["id", "digest"]).select("key", "cid", "docs", "side", "cross", "text")
     verified = keep(texts.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(threshold, gram), "u long, v long, docs long"))
     counts = verified.where("v is null").groupBy(F.col("u").alias("cid")).agg(F.sum("docs").alias("linked"))
     roots = components(verified.where("v is not null").select("u", "v")).select(F.col("id").alias("cid"), "root")
