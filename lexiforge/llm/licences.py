@@ -3,9 +3,10 @@
 Templates are cut into words (letters and digits, lower-cased); hashes of ``GRAM`` consecutive words are winnowed (the
 smallest of every window of hashes) and put in an inverted index hash -> (template, position).  Templates are configuration:
 their number and length do not depend on the data, so the index travels to the tasks.  A text's grams are looked up in
-the index; hits on a diagonal of a template (text position - template position) that lie close together are a candidate, and
-a candidate is aligned with the template in a band around its diagonal.  Matched words over the template's words are the
-coverage; candidates that reach ``min_coverage`` are reported with their span, the best first where spans overlap.
+the index; every diagonal of a template (text position - template position) with hits is a candidate, and a candidate is
+aligned with the template in a band around its diagonal.  Matched words over the template's words are the coverage; candidates
+that reach ``min_coverage`` are reported with their span, the best first.  Hits outside the reported spans are aligned again in
+the text between them, so that notices which repeat or follow each other closely are all found.
 
 A common run of GRAM + WINDOW - 1 words shares a fingerprint.  Templates shorter than that keep all their grams, and a
 template shorter than a gram is one gram of its own length.
@@ -16,7 +17,9 @@ templates are reported under the smallest id; rows that repeat an id are scanned
 
 from __future__ import annotations
 
+from bisect import bisect_right, insort
 from collections import defaultdict
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -87,12 +90,19 @@ class Index:
             entries += [(size, int(g[p]), len(self.names), p) for p in sorted(chosen)]
             self.names.append(name)
             self.words.append(h)
+        self.bags = [np.unique(h, return_counts=True) for h in self.words]
         self.sizes = sorted({e[0] for e in entries})
         self.at = {}
         for size in self.sizes:
             own = sorted(e[1:] for e in entries if e[0] == size)
             self.at[size] = (np.array([e[0] for e in own], np.uint64), np.array([e[1] for e in own]), np.array([e[2] for e in own]))
 
+    def common(self, template: int, h: np.ndarray) -> int:
+        """Words that a template and a run of word hashes have in common, in any order."""
+        words, counts = self.bags[template]
+        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
+        return int(np.minimum(np.bincount(at[words[at] == h], minlength=len(words)), counts).sum())
+
     def hits(self, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(text positions, templates, template positions) of the grams found in a run of word hashes."""
         out = []
@@ -108,54 +118,66 @@ class Index:
 
 def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
     """(matched words, first, past last) of the best common subsequence of template and text whose diagonals lie within
-    ``band`` of the given one; first and last are those of the matched words in ``text``."""
+    ``band`` of the given one; first and last are those of the matched words in ``text``.  Of subsequences with as many words
+    the one with the shortest span is taken, and of those the one that starts nearest to the diagonal."""
     m, width = len(template), 2 * band + 1
-    best = np.zeros((m + 1, width + 1), np.int64)  # matched words up to template row i, text i + diagonal - band + column
+    columns = np.arange(width)
+    at = np.arange(m)[:, None] + diagonal - band + columns
+    same = (at >= 0) & (at < len(text))
+    same[same] = text[at[same]] == np.broadcast_to(template[:, None], same.shape)[same]
+    word = m + width  # a matched word counts more than all words that a span can skip; those count -1 each
+    best = np.zeros(width, np.int64)  # of what follows, inside a span, from template row i, text i + diagonal - band + column
+    take = np.zeros((m, width), np.int64)
     for i in range(m - 1, -1, -1):
-        at = i + diagonal - band + np.arange(width)
-        inside = (at >= 0) & (at < len(text))
-        same = np.zeros(width, np.int64)
-        same[inside] = text[at[inside]] == template[i]
         # row i + 1 is shifted by one column: the same text position is one column further left there
-        take = np.where(same > 0, best[i + 1, :width] + 1, 0)
-        skip = np.concatenate([[0], best[i + 1, :width - 1]])
-        best[i, :width] = np.maximum.accumulate(np.maximum(take, skip)[::-1])[::-1]
-    i, c, path = 0, 0, []
-    while i < m and c < width and best[i, c] > 0:
-        if c + 1 <= width and best[i, c] == best[i, c + 1]:
-            c += 1
-            continue
-        at = i + diagonal - band + c
-        if 0 <= at < len(text) and text[at] == template[i] and best[i, c] == best[i + 1, c] + 1:
-            path.append(at)
-            i += 1
-        else:
-            i, c = i + 1, c - 1
-    return (len(path), path[0], path[-1] + 1) if path else (0, 0, 0)
+        take[i] = np.where(same[i], best + word, 0)
+        skip = np.concatenate([[0], best[:-1]])
+        best = np.maximum(np.maximum.accumulate((np.maximum(take[i], skip) - columns)[::-1])[::-1] + columns, 0)
+    top = int(take.max(initial=0))
+    if not top:
+        return 0, 0, 0
+    rows, starts = np.nonzero(take == top)
+    k = int(np.argmin(np.abs(starts - band)))
+    first, n = int(at[rows[k], starts[k]]), -(-top // word)
+    return n, first, first + n + n * word - top
 
 
 def scan_words(h: np.ndarray, index: Index, band: int = BAND, min_coverage: float = MIN_COVERAGE) -> list[tuple[int, int, int, int]]:
-    """(template, matched words, first, past last) of the matches in one text, in text order."""
+    """(template, matched words, first, past last) of the matches in one text, in text order.  Every diagonal with a hit is a
+    candidate in the run of free text around its hits.  The best candidate is kept and takes its span out of the free text;
+    the hits that are left are aligned again in what is left, until none reaches ``min_coverage``."""
     spots = defaultdict(list)
     for position, template, at in index.hits(h):
         for p, t, q in zip(position.tolist(), template.tolist(), at.tolist()):
-            spots[t].append((p - q, p))
-    found = []
-    for t, own in spots.items():
-        words, done = index.words[t], None
-        for diagonal, _ in sorted(set(own)):
-            if done is not None and diagonal - done <= band:
-                continue  # in the band of the candidate just aligned
-            done = diagonal
-            n, a, b = align(words, h, diagonal, band)
+            spots[t, p - q].append(p)
+    kept: list[tuple[int, int, int, int]] = []  # first, past last, template, matched words; in text order
+    queue: list[tuple[int, ...]] = []
+
+    def free(p: int) -> tuple[int, int] | None:
+        """The run of free text around a position."""
+        k = bisect_right(kept, (p, len(h) + 1))
+        low = kept[k - 1][1] if k else 0
+        return (low, kept[k][0] if k < len(kept) else len(h)) if p >= low else None
+
+    def propose(t: int, diagonal: int, low: int, high: int) -> None:
+        words = index.words[t]
+        for s, e in {free(p) for p in spots[t, diagonal] if low <= p < high} - {None}:
+            s, e = max(s, diagonal - band), min(e, diagonal + len(words) + band)
+            if index.common(t, h[s:e]) < min_coverage * len(words):
+                continue  # no alignment has more words than the two have in common
+            n, a, b = align(words, h[s:e], diagonal - s, band)
             if n and n >= min_coverage * len(words):
-                found.append((t, n, a, b))
-    found.sort(key=lambda x: (-x[1], x[2], x[0]))
-    kept: list[tuple[int, int, int, int]] = []
-    for t, n, a, b in found:
-        if all(b <= x or y <= a for _, _, x, y in kept):
-            kept.append((t, n, a, b))
-    return sorted(kept, key=lambda x: x[2])
+                heappush(queue, (-n, b - a, s + a, t, diagonal, s, e))
+
+    for t, diagonal in spots:
+        propose(t, diagonal, 0, len(h))
+    while queue:
+        n, size, a, t, diagonal, s, e = heappop(queue)
+        run = free(a)
+        if run and a + size <= run[1]:
+            insort(kept, (a, a + size, t, -n))
+        propose(t, diagonal, s, e)
+    return [(t, n, a, b) for a, b, t, n in kept]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM,

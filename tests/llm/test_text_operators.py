@@ -308,6 +308,33 @@ def test_licences_are_found(spark, empty):
     assert licences.scan(empty).collect() == []
 
 
+def _found(text):
+    index = licences.Index(licences.TEMPLATES)
+    return [(index.names[t], n, a, b) for t, n, a, b in licences.scan_words(licences._split([text]).hashes(), index)]
+
+
+@pytest.mark.parametrize("between", [0, 1, 3, 6, 12, 13])
+def test_licences_that_repeat_are_all_found(between):
+    line, filler = licences.TEMPLATES["mit-line"], " ".join(f"f{i}" for i in range(between))
+    step = 5 + between
+    assert _found(f"{line} {filler} " * 12) == [("mit-line", 5, step * i, step * i + 5) for i in range(12)]
+    # every other notice lacks its last word
+    text = f"{line} {filler} {line.replace(' License.', '')} {filler} " * 6
+    starts = [x for i in range(6) for x in (i * (2 * step - 1), i * (2 * step - 1) + step)]
+    assert _found(text) == [("mit-line", 5 - i % 2, x, x + 5 - i % 2) for i, x in enumerate(starts)]
+    other = licences.TEMPLATES["cc-by-nc-4.0-line"]
+    assert [x[0] for x in _found(f"{line} {other} {filler} " * 5)] == ["mit-line", "cc-by-nc-4.0-line"] * 5
+
+
+def test_licences_of_many_diagonals_keep_their_coverage():
+    mit = licences.TEMPLATES["mit"].split()
+    extra = [f"e{i}" for i in range(14)]
+    text = ["permission", "is", "hereby", "x", *mit[:30], *extra[:10], *mit[30:60], *extra[10:], *mit[60:]]
+    n = len(licences._split([licences.TEMPLATES["mit"]]).starts)
+    assert _found(" ".join(text)) == [("mit", n, 4, 4 + n + 14)]
+    assert _found(" ".join([*mit, *mit])) == [("mit", n, 0, n), ("mit", n, n, 2 * n)]
+
+
 def _common(a, b, diagonal, band):
     best = {}
     for i in range(len(a), -1, -1):
