@@ -49,7 +49,7 @@ def op7_sharding(spark, sf_dir):
 
 
 def op8_lm_scoring(spark, sf_dir):
-    return ngram_lm.fit_and_score(table(spark, sf_dir, "documents"))
+    return ngram_lm.fit_and_score(table(spark, sf_dir, "documents"), order=ngram_lm.ORDER)
 
 
 def op9_packing(spark, sf_dir):

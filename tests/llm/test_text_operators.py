@@ -174,6 +174,61 @@ def test_language_model_scores(docs, rows, monkeypatch):
         assert any((r.n_tokens, r.n_known) == x[:2] and r.base_score == pytest.approx(x[2]) and r.score == pytest.approx(x[3]) for x in want[r.doc_id])
 
 
+def _kneser_ney_of(train, order):
+    """p(w | v), v a tuple of order - 1 words, with plain dictionaries."""
+    counts = {order: Counter(tuple(["<s>"] * (order - 1) + t)[i:i + order] for t in train for i in range(len(t)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    d = {k: ngram_lm.discounts(np.array([sum(c == i for c in x.values()) for i in (1, 2, 3, 4)])) for k, x in counts.items()}
+    total, follow = defaultdict(int), defaultdict(lambda: [0, 0, 0])
+    for x in counts.values():
+        for g, c in x.items():
+            total[g[:-1]] += c
+            follow[g[:-1]][min(c, 3) - 1] += 1
+
+    def p(w, v, k=order):
+        if not k:
+            return 1 / (len(counts[1]) + 1)
+        lower = p(w, v[1:], k - 1)
+        if not total.get(v):
+            return lower
+        c = counts[k][(*v, w)]
+        return (max(c - (d[k][min(c, 3) - 1] if c else 0), 0) + sum(a * b for a, b in zip(d[k], follow[v])) * lower) / total[v]
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_any_order(docs, rows, monkeypatch, order):
+    monkeypatch.setattr(ngram_lm, "BUCKET_CHARS", 6000)
+    train = [_tokens(r[1]) for r in rows if ngram_lm.crc_fold(r[0]) != 1]
+    p, words = _kneser_ney_of(train, order), {w for t in train for w in t}
+    history = ("w1", "w2", "w1")[-(order - 1):]
+    assert sum(p(w, history) for w in words) + p("never seen", history) == pytest.approx(1, abs=1e-9)
+    want = defaultdict(list)
+    for r in rows:
+        t = _tokens(r[1])
+        padded = ["<s>"] * (order - 1) + t
+        want[r[0]].append((len(t), sum(math.log10(p(w, tuple(padded[i:i + order - 1]))) for i, w in enumerate(t))))
+    got = ngram_lm.fit_and_score(docs, order=order).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert any(r.n_tokens == n and r.score == pytest.approx(x) and r.perplexity == pytest.approx(10 ** (-x / n)) for n, x in want[r.doc_id])
+
+
+def test_texts_shuffled_but_for_their_pairs_score_lower(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    fluent = [f"a{i} m{j} b{i}" for i in range(4) for j in range(4)] * 8  # b follows from a; m alone says nothing of it
+    mixed = [f"a{i} m{j} b{(i + 1) % 4}" for i in range(4) for j in range(4)]
+    rows = [(5 * n, t) for n, t in enumerate(fluent)] + [(10_000 + n, t) for n, t in enumerate(mixed)]
+    rows = [(i, t) for i, t in rows if i < 10_000 or ngram_lm.crc_fold(i) == 1]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["op8_lm_scoring"](spark, str(tmp_path)).collect()
+    odd, even = [r.score for r in got if r.doc_id >= 10_000], [r.score for r in got if r.doc_id < 10_000]
+    assert odd and max(odd) < min(even) - 0.5
+
+
 def test_language_model_without_training_texts(docs, empty, wide):
     assert ngram_lm.fit_and_score(empty).collect() == []
     none = ngram_lm.fit_and_score(docs.where("doc_id = 1")) if ngram_lm.crc_fold(1) == 1 else ngram_lm.score(docs, ngram_lm.fit(empty))
