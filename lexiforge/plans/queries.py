@@ -6,6 +6,8 @@ the blueprint.  The DuckDB twins live in ``oracles/duckdb_sql.py``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -349,6 +351,25 @@ def q_collect(spark, sf_dir):
     return collect.collect_generated(cands, origs)
 
 
+def _all_candidates(spark, sf_dir):
+    """(candidates of all three decoders, every hypothesis of a beam; originals)."""
+    units = cut_lineage(_sentences(spark, sf_dir))
+    trans = cut_lineage(ngram.fit_transitions(units))
+    st = cut_lineage(ngram.starts(units))
+    decoded = {"greedy": ngram.greedy(trans, st), "beam": ngram.beam(trans, st, beam_width=5),
+               "beam_topK": ngram.beam(ngram.topk_filtered(trans, 5), st, beam_width=5)}
+    cands = [ngram.generated_rows(units, d, m).select("org", "aug", "method", "label") for m, d in decoded.items()]
+    return reduce(DataFrame.unionByName, cands), units.select(F.array_join("tokens", " ").alias("org"))
+
+
+def q_collect_all_methods(spark, sf_dir):
+    return collect.collect_generated(*_all_candidates(spark, sf_dir))
+
+
+def q_labelled_texts(spark, sf_dir):
+    return collect.labelled_texts(*_all_candidates(spark, sf_dir))
+
+
 QUERIES.update({
     "g1_fit_transitions": q_transitions,
     "g2a_generate_greedy": q_greedy,
@@ -357,6 +378,8 @@ QUERIES.update({
     "g3_score_text": q_score_texts,
     "a8_perplexity": q_perplexity,
     "e12_collect_generated": q_collect,
+    "e12_collect_all_methods": q_collect_all_methods,
+    "e12_labelled_texts": q_labelled_texts,
 })
 
 

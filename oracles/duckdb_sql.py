@@ -500,6 +500,31 @@ ORACLES.update({
 })
 
 
+def all_candidates_ctes() -> str:
+    """nov: the novel candidates (org, aug, method, m, label, text) of all three decoders, every hypothesis of a beam."""
+    return f"""{whole_cte()}, {greedy_ctes()},
+        bm AS ({beam_sql()}), bk AS ({beam_sql("ftrans", TOPK_CTES)}),
+        seqs AS (SELECT label, start, 'greedy' AS method, 0 AS m, seq FROM gen
+                 UNION ALL SELECT label, start, 'beam', 1, string_split(seq, ' ') FROM bm
+                 UNION ALL SELECT label, start, 'beam_topK', 2, string_split(seq, ' ') FROM bk),
+        dec AS (SELECT label, start, method, m, array_to_string(CASE WHEN list_position(seq, '<_EOS>') > 0
+                   THEN seq[1:list_position(seq, '<_EOS>') - 1] ELSE seq END, ' ') AS aug FROM seqs),
+        rows AS (SELECT label, tokens[1] AS start, array_to_string(tokens, ' ') AS org FROM units),
+        ch AS (SELECT r.org, d.aug, d.method, d.m, r.label,
+                      list_filter(string_split(replace(replace(d.aug, ' ', ''), '<_UNK>', ''), ''), lambda c: c <> '') AS ch
+               FROM rows r JOIN dec d ON r.label = d.label AND r.start = d.start
+               WHERE d.aug NOT IN (SELECT array_to_string(tokens, ' ') FROM units)),
+        nov AS (SELECT org, aug, method, m, label, array_to_string(list_filter(ch, lambda c, i: i = 1 OR c <> ch[i - 1]), '') AS text FROM ch)"""
+
+
+ORACLES.update({
+    "e12_collect_all_methods": f"""WITH {all_candidates_ctes()},
+        firsts AS (SELECT * FROM nov QUALIFY row_number() OVER (PARTITION BY aug ORDER BY m, org, label) = 1)
+        SELECT label, text, method, replace(org, ' ', '') AS org, replace(aug, ' ', '') AS aug FROM firsts WHERE text <> ''""",
+    "e12_labelled_texts": f"WITH {all_candidates_ctes()} SELECT label, text FROM nov WHERE text <> ''",
+})
+
+
 # --- pivot paraphrase ------------------------------------------------------------
 PARA_CTES = """wc AS (SELECT label AS lang, w AS word, count(*) AS cnt FROM (SELECT label, unnest(tokens) AS w FROM units)
             GROUP BY label, w),
