@@ -49,25 +49,38 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.  The tokenizer merges inside the pieces of its splitting rule
     only, so the ids of a text are those of its pieces, which repeat a great deal and are remembered: when the young
-    generation is full it becomes the old one, and pieces that are still in use move over."""
+    generation is full it becomes the old one, and pieces that are still in use move over.  The file's added tokens cut a
+    text before the rule does; each is a piece of its own, with its own id if ``added``, else spelt like any text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.pieces = regex.compile(PATTERN).findall
+        self.tokenizer.encode_special_tokens = not added
+        own = list(self.tokenizer.get_added_tokens_decoder().values()) if added else []
+        if any(t.single_word or t.lstrip or t.rstrip or (t.normalized and self.tokenizer.normalizer) for t in own):
+            raise ValueError(f"{path}: added tokens that take in or look at the text around them are not supported")
+        # cut first: what follows the text before an added token must not change that text's pieces
+        names = sorted((regex.escape(t.content) for t in own), key=len, reverse=True)
+        self.between = regex.compile(f"({'|'.join(names)})").split if names else lambda text: [text]
+        self.rule = regex.compile(PATTERN).findall
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     @staticmethod
     def of(path: str) -> "Encoder":
-        """The worker's encoder for a file."""
+        """The worker's encoder for a file, which reads the file's added tokens as the tokenizer does unless told otherwise."""
         if path not in _ENCODERS:
-            _ENCODERS[path] = Encoder(path)
+            _ENCODERS[path] = Encoder(path, added=True)
         return _ENCODERS[path]
 
+    def pieces(self, text: str) -> list[str]:
+        parts = self.between(text)
+        if len(parts) == 1:
+            return self.rule(text)
+        return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.rule(part))]
+
     def encode(self, text: str) -> bytes:
         parts = self.pieces(text)
         distinct = set(parts)

@@ -279,6 +279,25 @@ def test_tokenizer_pieces_give_the_same_ids():
         assert encoder.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_added_tokens_in_texts_are_read_like_the_tokenizer_does(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    end = "<|endoftext|>"
+    texts = [f"hello {end} world", end, f"{end}{end}", f"a  {end}  b", f"x \n{end}\n\n y  ", f"<|endof{end}text|>", "<|endoftext |> <|endoftext", f"'{end}s it's",
+             f" {end} ", "plain text  here"]
+    encoder = packing.Encoder.of(packing.default_tokenizer())
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        texts.append("".join(rng.choice(["a", " ", "\n", "'s", end, "9", "\u00e9", "<|", "endoftext", "|>", "!"], 12)))
+    for x in texts:
+        assert encoder.encode(x) == np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert np.frombuffer(encoder.encode(texts[0]), "<u4").tolist() == [31373, 220, 50256, 995]
+    want = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 0], dtype="<u4") for i, x in enumerate(texts)}
+    got = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_layouts_use_every_piece_once(seed):
     rng = np.random.default_rng(seed)
