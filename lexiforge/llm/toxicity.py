@@ -2,9 +2,10 @@
 
 Learning.  A token has the features word and word start (its first 4 to 8 bytes), lower-cased.  For each feature the number
 of toxic and of clean labelled texts that hold it gives a log-odds ratio with a Dirichlet prior (a share of the feature's
-own total, so rare features shrink to 0), and the ratio over its standard deviation is its significance.  Features below
-a share of the toxic texts (``support``) cannot enter, which bounds the lexicon by (features of a text) / support,
-whatever the corpus; the lexicon is broadcast.  Texts that occur several times are counted once.
+own total, so rare features shrink to 0), and the ratio over its standard deviation is its significance.  The significance
+and a fixed minimum count decide which features enter, however large the corpus.  Counts of toxic and clean texts are joined in
+Spark, a bit table of fixed size thins out the clean side first, and only the features that enter reach the driver, which
+writes them to the shared folder as sorted arrays that the workers map.  Texts that occur several times are counted once.
 
 Scoring.  A token scores the log-odds of its strongest feature, any other token the (negative) drift.  One linear scan of
 a text finds all maximal scoring segments.  A segment of score S in a text of n tokens has the expected number of equals
@@ -20,25 +21,30 @@ one class only, every probability is that class's share.  Rows that repeat an id
 from __future__ import annotations
 
 import math
+import os
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexiforge.llm import words as W
-from lexiforge.llm.store import keep, may_be_in
+from lexiforge.llm.store import keep, may_be_in, shared_folder
 
 FOLDS = 5
 STARTS = (4, 5, 6, 7, 8)
-SUPPORT = 0.002
+#: Toxic learning texts that a feature must be found in.
+MIN_COUNT = 3
 PRIOR_SHARE = 0.05
 MIN_Z = 3.0
 DRIFT = -0.05
 SIGNIFICANCE = 0.01
 
+#: Bits of the table that thins out the features of clean texts (8 MB).
+LOG2_BITS = 26
+
 #: Characters of text whose features are sorted at once.
 COUNT_BYTES = 1_000_000
 
@@ -55,6 +61,24 @@ class Lexicon:
     features: np.ndarray
     odds: np.ndarray
     scale: float = 1.0
+    folder: str | None = None
+
+    def shared(self, spark: SparkSession):
+        """A function that gives the lexicon in a task: mapped from the shared folder, or broadcast when that is no mounted folder."""
+        if len(self.features) and not self.folder:
+            try:
+                self.folder = shared_folder(spark, "toxicity-lexicon")
+            except ValueError:
+                pass
+            else:
+                os.makedirs(self.folder)
+                self.features.astype(np.uint64).tofile(f"{self.folder}/features")
+                self.odds.astype(np.float64).tofile(f"{self.folder}/odds")
+        if not self.folder:
+            held = spark.sparkContext.broadcast(self)
+            return lambda: held.value
+        folder, scale = self.folder, self.scale
+        return lambda: Lexicon(np.memmap(f"{folder}/features", np.uint64, "r"), np.memmap(f"{folder}/odds", np.float64, "r"), scale, folder)
 
 
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -88,8 +112,8 @@ def _present(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return feature[new], text[new]
 
 
-def _count_features(only: np.ndarray | None = None):
-    """Texts -> (feature, number of texts).  only: the sorted features to count.  Feature 0 has the number of words."""
+def _count_features(bits=None):
+    """Texts -> (feature, number of texts).  bits: a broadcast bit table of the features to count.  Feature 0 has the number of words."""
 
     def task(batches):
         for batch in batches:
@@ -97,9 +121,9 @@ def _count_features(only: np.ndarray | None = None):
             for a, b in W.chunks(texts, COUNT_BYTES):
                 w = split(texts[a:b])
                 feature, _ = _present(w)
-                if only is not None and len(only):
-                    at = np.minimum(np.searchsorted(only, feature), len(only) - 1)
-                    feature = feature[only[at] == feature]
+                if bits is not None:
+                    at = feature & np.uint64((1 << LOG2_BITS) - 1)
+                    feature = feature[(bits.value[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1]
                 feature, n = np.unique(feature, return_counts=True)
                 feature, n = np.append(feature, np.uint64(0)), np.append(n, w.first[-1])
                 yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
@@ -107,8 +131,18 @@ def _count_features(only: np.ndarray | None = None):
     return task
 
 
-def _totals(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    return texts.select("text").mapInArrow(_count_features(only), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+def _totals(texts: DataFrame, bits=None) -> DataFrame:
+    return texts.select("text").mapInArrow(_count_features(bits), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def _bit_table(found: DataFrame) -> np.ndarray:
+    """One bit for each value of the low bits of a feature: set for every feature in ``found``, and for few others."""
+    at = F.expr(f"shiftright(feature & {(1 << LOG2_BITS) - 1}L, 6)").alias("at")
+    bits = F.bit_or(F.expr("shiftleft(1L, cast(feature & 63L as int))")).alias("bits")
+    rows = found.groupBy(at).agg(bits).toArrow()
+    table = np.zeros(1 << (LOG2_BITS - 6), np.uint64)
+    table[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return table
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, folds: int, held_out: int | None) -> DataFrame:
@@ -135,18 +169,19 @@ def learn(docs: DataFrame, rows: DataFrame) -> Lexicon:
         few = d.where(may_be_in(own.select("r_id"), "doc_id")).withColumn("digest", F.xxhash64("text"))
         return few.join(own.hint("merge"), (F.col("doc_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
 
-    toxic = _totals(texts(F.col("toxic"))).where((F.col("n") >= max(3, SUPPORT * n1)) & (F.col("feature") != 0)).toArrow()
-    order = np.argsort(f := toxic.column("feature").to_numpy().view(np.uint64))
-    f, y1 = f[order], toxic.column("n").to_numpy()[order].astype(float)
-    clean = _totals(texts(~F.col("toxic")), f).toArrow()
-    found = dict(zip(clean.column("feature").to_numpy().view(np.uint64).tolist(), clean.column("n").to_pylist()))
-    n_words = found.pop(0, 0)
-    y0 = np.array([found.get(x, 0) for x in f.tolist()], dtype=float)
+    toxic = keep(_totals(texts(F.col("toxic"))).where((F.col("n") >= MIN_COUNT) & (F.col("feature") != 0)))
+    clean = keep(_totals(texts(~F.col("toxic")), docs.sparkSession.sparkContext.broadcast(_bit_table(toxic))))
+    n_words = clean.where("feature = 0").agg(F.sum("n")).first()[0] or 0
+    y1, y0 = F.col("n").cast("double"), F.coalesce(F.col("c_n"), F.lit(0)).cast("double")
     alpha, total = PRIOR_SHARE * (y1 + y0), PRIOR_SHARE * (n1 + n0)
-    odds = np.log((y1 + alpha) / np.maximum(n1 + total - y1 - alpha, 0.5)) - np.log((y0 + alpha) / np.maximum(n0 + total - y0 - alpha, 0.5))
-    chosen = (odds / np.sqrt(1 / (y1 + alpha) + 1 / (y0 + alpha)) >= MIN_Z) & (odds > 1)
-    share = (y0 + alpha)[chosen] / max(n_words, 1)
-    return Lexicon(f[chosen], odds[chosen], extreme_scale(odds[chosen], share))
+    rest = lambda n, y: F.greatest(n + total - y - alpha, F.lit(0.5))
+    odds = F.log((y1 + alpha) / rest(F.lit(n1), y1)) - F.log((y0 + alpha) / rest(F.lit(n0), y0))
+    both = toxic.join(clean.select(F.col("feature").alias("c_feature"), F.col("n").alias("c_n")), F.col("feature") == F.col("c_feature"), "left")
+    both = both.select("feature", odds.alias("odds"), (y0 + alpha).alias("clean"), F.sqrt(1 / (y1 + alpha) + 1 / (y0 + alpha)).alias("deviation"))
+    chosen = both.where((F.col("odds") / F.col("deviation") >= MIN_Z) & (F.col("odds") > 1)).select("feature", "odds", "clean").toArrow()
+    order = np.argsort(f := chosen.column("feature").to_numpy().view(np.uint64))
+    odds, share = chosen.column("odds").to_numpy()[order], chosen.column("clean").to_numpy()[order] / max(n_words, 1)
+    return Lexicon(f[order], odds, extreme_scale(odds, share))
 
 
 def extreme_scale(odds: np.ndarray, share: np.ndarray) -> float:
@@ -201,10 +236,10 @@ def segments(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame
     """(row, n, best, extreme, total, passages) for every row of ``docs``; row: a struct of its columns.
     start and end of a passage count words (letters, digits and other non-ASCII characters) of the text."""
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = lexicon.shared(docs.sparkSession)
 
     def task(batches):
-        lexicon = shared.value
+        lexicon = shared()
         for batch in batches:
             texts, out = batch.column(1).to_pylist(), []
             for a, b in W.chunks(texts):

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiforge.llm import jaccard, licences, ngram_lm, packing, substrings, toxicity
 from lexiforge.llm import words as W
@@ -365,6 +366,19 @@ def test_toxicity_takes_awkward_rows(docs, wide, empty, spark, rows):
     assert {round(r.score, 5) for r in toxicity.classify(docs, labels.where("doc_id < 0")).collect()} == {0.0}
 
 
+def test_rare_toxic_words_are_learned_whatever_the_number_of_toxic_texts(spark):
+    """12,000 toxic texts: a word of 23 of them is below a share of 0.002 and significant."""
+    toxic = [(i, f"vile w{i % 97} v{i % 89}" + (" zorkish" if i % 540 == 0 else "")) for i in range(12_000)]
+    clean = [(i, f"w{i % 97} v{i % 89} calm") for i in range(12_000, 24_000)]
+    docs = spark.createDataFrame(toxic + clean, "doc_id long, text string")
+    docs = docs.withColumn("text", F.concat_ws(" ", "text", F.concat(F.lit("n"), F.col("doc_id"))))  # no two texts alike
+    labels = spark.createDataFrame([(i, int(i < 12_000), None) for i in range(24_000)], "doc_id long, toxic int, quality int")
+    lexicon, _ = toxicity.train(docs, labels, held_out=None)
+    known = lambda word: bool(np.isin(toxicity.split([word]).hashes(), lexicon.features)[0])
+    assert known("vile") and known("zorkish") and not known("calm") and not known("w1")
+    assert (np.diff(lexicon.features.astype(object)) > 0).all() and len(lexicon.features) == len(lexicon.odds)
+
+
 def test_licences_are_found(spark, empty):
     mit = licences.TEMPLATES["mit"].split()
     changed = [*mit[:20], "really", *mit[20:60], *mit[62:]]
