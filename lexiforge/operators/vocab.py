@@ -57,27 +57,29 @@ def token_probs(vocab: DataFrame) -> DataFrame:
 
 def encode_units(units: DataFrame, vocab: DataFrame, label_vocab: DataFrame, max_len: int = 100,
                  unknown_label_id: int = 0) -> DataFrame:
-    """J1 + J3 + P7 + S10: (id, intent, len, utter array<int>, keys...).
+    """J1 + J3 + P7 + S10: (id, intent, len, full_len, utter array<int>, keys...).
 
     ``id`` is a running id in key order (U3).  Unknown tokens map to <_UNK>,
     unknown labels to ``unknown_label_id`` (0 = <_UNK>, -1 in preprocessing).
     At most ``max_len`` ids with <_GO> and <_EOS>, which are set around the
-    looked-up ids and so are no hot keys of the join."""
+    looked-up ids and so are no hot keys of the join.  Longer sentences are cut
+    there, as the reference does (its max_utter_len): ``full_len`` is the length
+    without the cut, so rows with full_len > len are the cut ones."""
     keys = ["doc_id", "sent_no", "chunk_no"]
     exploded = units.where(F.size("tokens") > 0).select(
-        *keys, normalise_label(F.col("label")).alias("label"),
+        *keys, normalise_label(F.col("label")).alias("label"), (F.size("tokens") + 2).alias("full_len"),
         F.posexplode(F.slice("tokens", 1, max_len - 2)).alias("pos", "token"))
     ids = exploded.join(vocab.select("token", F.col("id").alias("tid")), "token", "left")
-    rebuilt = (ids.groupBy(*keys, "label")
+    rebuilt = (ids.groupBy(*keys, "label", "full_len")
                .agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("tid", F.lit(UNK_ID)).alias("tid"))))
                     .alias("_u"))
-               .select(*keys, "label", F.concat(F.array(F.lit(GO_ID)), F.transform("_u", lambda s: s["tid"].cast("int")),
+               .select(*keys, "label", "full_len", F.concat(F.array(F.lit(GO_ID)), F.transform("_u", lambda s: s["tid"].cast("int")),
                                                 F.array(F.lit(EOS_ID))).alias("utter")))
     labelled = rebuilt.join(label_vocab.select("label", F.col("id").alias("lid")), "label", "left")
     numbered = dense_index(labelled, [F.asc(k) for k in keys], id_col="id")
     return numbered.select("id", *keys,
                            F.coalesce("lid", F.lit(unknown_label_id)).cast("int").alias("intent"),
-                           F.size("utter").alias("len"), "utter")
+                           F.size("utter").alias("len"), "full_len", "utter")
 
 
 def decode_ids(encoded: DataFrame, vocab: DataFrame, ids_col: str = "utter", sep: str = " ",
