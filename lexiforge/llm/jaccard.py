@@ -33,7 +33,7 @@ from lexiforge.llm.substrings import key_groups
 GRAM = 5
 THRESHOLD = Fraction(4, 5)
 SKETCH = 64
-RECALL = 0.999
+RECALL = 0.9999
 #: Levels for which the number of runs is reckoned; a pair survives each with at least the threshold's probability.
 DEPTH = 3
 SMALL = 1024

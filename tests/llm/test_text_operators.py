@@ -130,6 +130,10 @@ def test_recall_on_pairs_at_the_threshold(spark):
     assert len(linked) > 150 and {r.class_id // 2 for r in got} == linked
 
 
+def test_runs_miss_a_pair_at_the_threshold_once_in_ten_thousand():
+    assert (1 - 0.8**jaccard.DEPTH) ** jaccard.runs_for() <= 1e-4
+
+
 def _tokens(text):
     low = re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
     return [*words_of(low), None]
