@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexiforge.llm import jaccard, licences, mixing, ngram_lm, packing, quality, sharding, substrings, topk, toxicity
+from lexiforge.llm import (
+    fim, jaccard, licences, mixing, ngram_lm, packing, quality, sharding, spelling, substrings, token_files, topk, toxicity,
+)
+from lexiforge.llm.store import shared_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +63,22 @@ def op10_licences(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark, sf_dir):
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_fim(spark, sf_dir):
+    out = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = fim.restored(F.col("output"), F.col("form"))
+    return out.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op13_token_files(spark, sf_dir):
+    folder = token_files.write(table(spark, sf_dir, "documents"), shared_table(spark, "token-files"))
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
@@ -71,5 +90,8 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_packing": op9_packing,
     "op10_licences": op10_licences,
+    "op11_spelling": op11_spelling,
+    "op12_fim": op12_fim,
+    "op13_token_files": op13_token_files,
     "pipeline": corpus_pipeline.run,
 }

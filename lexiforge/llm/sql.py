@@ -79,4 +79,70 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM p QUALIFY rank <= 10
 """
 
-ORACLES = {"op1_mixing": OP1, "op3_substring_dedup": OP3, "op5_jaccard_join": OP5, "op6_topk": OP6}
+
+
+def _crc_table() -> str:
+    """The steps of CRC-32 for each byte, from its polynomial."""
+    rows = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        rows.append(str(c))
+    return f"[{', '.join(rows)}]::BIGINT[]"
+
+
+#: Near words meet in what is left when a code point is masked or taken out.
+OP11 = rf"""
+WITH RECURSIVE crc AS (SELECT {_crc_table()} AS t),
+occ AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS n FROM occ GROUP BY ALL),
+x AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, 'null') || ':' || run)) AS hx FROM r),
+h AS (
+    SELECT run, n, xor(list_reduce(list_transform(range(0, length(hx) // 2), lambda k: ('0x' || substr(hx, 2 * k + 1, 2))::BIGINT),
+                       lambda a, b: xor(a >> 8, t[1 + (xor(a, b) & 255)]), 4294967295::BIGINT), 4294967295::BIGINT) AS h
+    FROM x, crc),
+m AS (
+    SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+c AS (
+    SELECT word, n, unnest(list_transform(range(1, length(word) + 1), lambda k: substr(word, 1, k - 1) || '*' || substr(word, k + 1))) AS masked,
+           unnest(list_transform(range(1, length(word) + 1), lambda k: substr(word, 1, k - 1) || substr(word, k + 1))) AS rest FROM w),
+p AS (
+    SELECT a.word AS word, b.word AS near, b.n AS near_n FROM c a JOIN c b ON a.masked = b.masked AND a.word <> b.word
+    UNION SELECT c.word, w.word, w.n FROM c JOIN w ON c.rest = w.word
+    UNION SELECT w.word, c.word, c.n FROM c JOIN w ON c.rest = w.word),
+b AS (
+    SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, encode(near)) AS near, max(near_n) AS near_n FROM p GROUP BY word),
+f AS (
+    SELECT w.word, CASE WHEN near_n >= 2 * w.n THEN near END AS form, w.n, coalesce(n_near, 0) AS n_near,
+           CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n
+    FROM w LEFT JOIN b USING (word)),
+way(word, w, k) AS (
+    SELECT word, word, 0 FROM f UNION ALL SELECT way.word, f.form, k + 1 FROM way JOIN f ON f.word = way.w WHERE f.form IS NOT NULL),
+e AS (SELECT word, max_by(w, k) AS root FROM way GROUP BY word)
+SELECT f.word, f.form, e.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM f JOIN e USING (word)
+"""
+
+OP12 = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+           sha256('7:' || coalesce(doc_id::VARCHAR, 'null')) AS hx FROM documents),
+h AS (
+    SELECT doc_id, text, u, len(u) AS n, [('0x' || substr(hx, 8 * k + 1, 8))::BIGINT for k in range(0, 4)] AS h FROM d),
+c AS (
+    SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+           CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+                WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM h),
+s AS (
+    SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS p, coalesce(array_to_string(u[a + 1:b], ''), '') AS m,
+           coalesce(array_to_string(u[b + 1:], ''), '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM s
+"""
+
+ORACLES = {"op1_mixing": OP1, "op3_substring_dedup": OP3, "op5_jaccard_join": OP5, "op6_topk": OP6, "op11_spelling": OP11, "op12_fim": OP12}
