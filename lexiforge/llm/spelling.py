@@ -8,13 +8,16 @@ grams:
    to ``MAX_GRAM``.  The dictionary is one bit for each possible gram: 2^21 + 2^14 bits whatever the corpus.
 2. Decomposition.  At each place a word has the shortest gram that is not extended.  A gram depends on its own code points only,
    so an edit changes just the grams that cover it, and the others are found again in the other word, moved by one at most.
-3. Affected grams.  For each word the most grams that one edit can touch (its bound) is reckoned from its own grams.  Of bound + 1
-   grams at least one is left by any edit, so only the bound + 1 shortest lists are merged; list lengths come from a table of
-   counts of fixed size.  Lists are told apart by length of the word and place of the gram.
+3. Affected grams.  Any set of a word's grams has a bound: the most of them that one edit touches.  Of bound + 1 grams at least
+   one is left, so only that many lists must be merged.  Two grams without a common code point have the bound 1; each word takes
+   the two such grams with the shortest lists, one before the other: if the edit touches the first or stands before it, the second is
+   left.  List lengths come from a table of counts of fixed size.  Lists are told apart by length of the word and place of the gram;
+   words are entered only in lists that someone merges.
 4. Verification by the edit distance itself, in the condition of the join, so that no unverified pair is ever a row.
 
-A list longer than ``HOT`` is not merged pair by pair: its words go on by what is left when one code point is masked (or taken
-out, for a partner that is longer), and words that agree in that are near; such groups are bounded by the alphabet.
+A list for which words times entries exceed ``HOT_PAIRS`` is not merged pair by pair: its words go on by what is left when one code
+point is masked (or taken out, for a partner that is longer), and words that agree in that are near; such groups are bounded by
+the alphabet.
 Of words longer than ``LONG`` only the grams near both ends are indexed, which leaves the bound argument as it is.
 
 Defined results: null and empty texts have no words; a null document id is hashed as ``null``; repeated rows count each time;
@@ -42,11 +45,12 @@ MIN_LENGTH, MIN_COUNT = 5, 3
 DROP_ONE_IN = 97
 MIN_GRAM, MAX_GRAM = 2, 4
 EXTEND = 300
-HOT = 1500
+HOT_PAIRS = 4_000_000
 LONG, EDGE = 40, 16
-LIST_BITS = 18
+#: Logarithm of the number of counts that estimate list lengths.
+LIST_BITS = 21
 #: Distinct words that a task counts before it hands them on.
-FLUSH_WORDS = 200_000
+FLUSH_WORDS = 400_000
 
 _FIRST, _LAST = 91, 92
 _CODE = np.zeros(256, np.uint32)
@@ -136,18 +140,6 @@ def decompose(codes: np.ndarray, frequent: dict[int, np.ndarray], group: int) ->
     return q, mix(gram << np.uint64(8) | q.astype(np.uint64))
 
 
-def affected(q: np.ndarray, used: np.ndarray, insertion: bool) -> np.ndarray:
-    """The most used grams of each word that one edit touches: a code point replaced or taken out, or one put in between."""
-    rows, places = q.shape
-    change = np.zeros((rows, places + 2), np.int64)
-    at = np.arange(places)
-    r = np.repeat(np.arange(rows), places).reshape(rows, places)
-    # a gram at p of q code points covers the places p .. p + q - 1, and the gaps behind p .. p + q - 2
-    np.add.at(change, (r, np.broadcast_to(at, q.shape)), used)
-    np.add.at(change, (r, at + q - insertion), -used.astype(np.int64))
-    return np.cumsum(change, axis=1).max(axis=1)
-
-
 def list_keys(group: int, longer: int, places: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """The list of words of ``group + longer`` code points with a gram at a place, among partners of ``group`` code points."""
     at = (np.uint64(group) << np.uint64(33)) + (np.uint64(longer) << np.uint64(32)) + places.astype(np.uint64)
@@ -158,9 +150,16 @@ def _near_ends(places: np.ndarray, length: int, group: int, edge: int) -> np.nda
     return (places < edge) | (places > length - edge) if group > LONG else np.ones(places.shape, bool)
 
 
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(64 - LIST_BITS)).astype(np.int64)
+
+
+_NONE = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8))
+
+
 def postings(words: list[str], frequent: dict[int, np.ndarray], min_length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word position, list, 1 if the list is for shorter partners) of every indexed gram."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8))]
+    out = [_NONE]
     for n, (at, codes) in coded(words).items():
         places = np.arange(n + 1)
         for longer in (0, 1):
@@ -172,31 +171,31 @@ def postings(words: list[str], frequent: dict[int, np.ndarray], min_length: int)
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def cheapest_two(q: np.ndarray, first_cost: np.ndarray, second_cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the places of two grams, the first ending before the second begins, of the least cost together."""
+    rows, places = q.shape
+    at = np.arange(places)
+    ends = np.full((rows, places + 2), np.iinfo(np.int64).max)
+    np.minimum.at(ends, (np.arange(rows)[:, None], at + q), first_cost << 32 | at)
+    first = np.minimum.accumulate(ends, axis=1)[:, :places]
+    second = np.minimum.accumulate((second_cost << 32 | at)[:, ::-1], axis=1)[:, ::-1]
+    best = np.argmin((first >> 32) + (second >> 32), axis=1)[:, None]
+    place = lambda x: (np.take_along_axis(x, best, 1)[:, 0] & (1 << 32) - 1)
+    return place(first), place(second)
+
+
 def probes(words: list[str], frequent: dict[int, np.ndarray], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word position, list, 1 if partners are longer) of the lists that must be merged for each word: those of its
-    bound + 1 grams with the shortest lists."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8))]
-    estimate = lambda keys: sizes[(keys >> np.uint64(64 - LIST_BITS)).astype(np.int64)]
+    """(word position, list, 1 if partners are longer) of the two lists that must be merged for each word and partner length."""
+    out, never = [_NONE], np.int64(1 << 30)
     for n, (at, codes) in coded(words).items():
         q, grams = decompose(codes, frequent, n)
-        places = np.arange(n + 1)
+        places, r = np.arange(n + 1), np.arange(len(at))
         used = np.broadcast_to(_near_ends(places, n, n, EDGE), q.shape)
         for longer in (0, 1):
-            here = list_keys(n, longer, places[None], grams)
-            cost = estimate(here)
-            if longer:  # partners have the gram at the same place, or one further on if the edit is before it
-                moved = list_keys(n, longer, places[None] + 1, grams)
-                cost = cost + estimate(moved)
-            need = affected(q, used, bool(longer)) + 1
-            rank = np.argsort(np.argsort(np.where(used, cost, np.iinfo(np.int64).max), axis=1, kind="stable"), axis=1, kind="stable")
-            chosen = used & (rank < need[:, None])
-            row, place = np.nonzero(chosen)
-            keys = [(row, here[row, place])]
-            if longer:
-                stays, moves = place + q[row, place] <= n + 1, place > 0
-                keys = [(row[stays], here[row[stays], place[stays]]), (row[moves], moved[row[moves], place[moves]])]
-            for r, k in keys:
-                out.append((at[r], k, np.full(len(r), longer, np.int8)))
+            # a longer partner has the second gram one place further on
+            keys = list_keys(n, longer, places[None], grams), list_keys(n, longer, places[None] + longer, grams)
+            one, two = cheapest_two(q, *(np.where(used, np.minimum(sizes[_bucket(k)], never), never) for k in keys))
+            out += [(at, keys[0][r, one], np.full(len(at), longer, np.int8)), (at, keys[1][r, two], np.full(len(at), longer, np.int8))]
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
@@ -229,18 +228,29 @@ def frequent_grams(words: DataFrame, extend: int = EXTEND) -> dict[int, np.ndarr
     return out
 
 
-def _listed(words: DataFrame, find) -> DataFrame:
-    """(key, longer, word, n): the lists that ``find`` names for each word."""
+def _listed(words: DataFrame, find, pairs=None) -> DataFrame:
+    """(key, longer, word, n, hot): the lists that ``find`` names for each word, and whether too many pairs meet there.
+    ``pairs``: for each bucket of lists how many pairs meet; lists without any are left out."""
 
     def task(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 10_000):
                 part = batch.slice(k, 10_000)
                 at, keys, longer = find(part.column(0).to_pylist())
+                met = pairs.value[_bucket(keys)] if pairs else np.ones(len(keys))
+                at, keys, longer, met = at[met > 0], keys[met > 0], longer[met > 0], met[met > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(longer), part.column(0).take(pa.array(at)),
-                                                  part.column(1).take(pa.array(at))], names=["key", "longer", "word", "n"])
+                                                  part.column(1).take(pa.array(at)), pa.array(met > 1)], names=["key", "longer", "word", "n", "hot"])
+
+    return words.select("word", "n").mapInArrow(task, "key long, longer byte, word string, n long, hot boolean")
 
-    return words.select("word", "n").mapInArrow(task, "key long, longer byte, word string, n long")
+
+def _entries(lists: DataFrame) -> np.ndarray:
+    """Entries in each of the 2^LIST_BITS buckets of lists."""
+    found = lists.groupBy(F.shiftrightunsigned("key", 64 - LIST_BITS).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    out = np.zeros(1 << LIST_BITS, np.int64)  # a row a bucket at most, whatever the number of words
+    out[found.column("b").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
 def _masked(df: DataFrame, of_index: bool) -> DataFrame:
@@ -253,29 +263,27 @@ def _masked(df: DataFrame, of_index: bool) -> DataFrame:
     return each.withColumn("rest", rest).drop("i").distinct()
 
 
-def near_pairs(words: DataFrame, min_length: int = MIN_LENGTH, extend: int = EXTEND, hot: int = HOT) -> DataFrame:
+def near_pairs(words: DataFrame, min_length: int = MIN_LENGTH, extend: int = EXTEND, hot_pairs: int = HOT_PAIRS) -> DataFrame:
     """(a, a_n, b, b_n): each pair of words of (word, n) at an edit distance of one, once, the shorter or smaller word first."""
-    spark = words.sparkSession
-    frequent = spark.sparkContext.broadcast(frequent_grams(words, extend))  # fixed size: one byte a possible gram
-    index = _listed(words, lambda w: postings(w, frequent.value, min_length))
-    sizes = np.zeros(1 << LIST_BITS, np.int64)
-    bucket = F.shiftrightunsigned("key", 64 - LIST_BITS)
-    for r in index.groupBy(bucket.cast("int").alias("b")).agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2^18 rows
-        sizes[r["b"]] = r["n"]
-    sizes = spark.sparkContext.broadcast(sizes)
-    asked = _listed(words, lambda w: probes(w, frequent.value, sizes.value))
-    long_lists = keep(index.groupBy("key").agg(F.count(F.lit(1)).alias("entries")).where(F.col("entries") > hot).select("key"))
+    sc = words.sparkSession.sparkContext
+    # broadcasts of fixed size: a byte a possible gram, a number a bucket
+    frequent = sc.broadcast(frequent_grams(words, extend))
+    entered = lambda w: postings(w, frequent.value, min_length)
+    sizes = _entries(_listed(words, entered))
+    shared_sizes = sc.broadcast(sizes.astype(np.int32))
+    asked = lambda w: probes(w, frequent.value, shared_sizes.value)
+    met = sizes * _entries(_listed(words, asked))
+    pairs = sc.broadcast(np.where(met > hot_pairs, 2, met > 0).astype(np.int8))
+    x, y = _listed(words, asked, pairs), _listed(words, entered, pairs)
     # words of one length ask for each other, so only the smaller one's question counts
     near = (F.col("x.key") == F.col("y.key")) & (F.col("x.longer") == F.col("y.longer")) & (
         (F.col("x.longer") == 1) | (F.col("x.word") < F.col("y.word"))) & (F.levenshtein(F.col("x.word"), F.col("y.word"), 1) == 1)
     pair = [F.col("x.word").alias("a"), F.col("x.n").alias("a_n"), F.col("y.word").alias("b"), F.col("y.n").alias("b_n")]
-    if long_lists.isEmpty():
-        return asked.alias("x").join(index.alias("y"), near).select(*pair).distinct()
-    usual = [df.join(long_lists, "key", "left_anti") for df in (asked, index)]
-    found = usual[0].alias("x").join(usual[1].alias("y"), near).select(*pair)
-    masked = [_masked(df.join(long_lists, "key", "left_semi"), of_index) for df, of_index in ((asked, False), (index, True))]
-    met = masked[0].alias("x").join(masked[1].alias("y"), near & (F.col("x.rest") == F.col("y.rest"))).select(*pair)
-    return found.unionByName(met).distinct()
+    found = x.where("not hot").alias("x").join(y.where("not hot").alias("y"), near).select(*pair)
+    if (met > hot_pairs).any():
+        masked = [_masked(x.where("hot"), False), _masked(y.where("hot"), True)]
+        found = found.unionByName(masked[0].alias("x").join(masked[1].alias("y"), near & (F.col("x.rest") == F.col("y.rest"))).select(*pair))
+    return found.distinct()
 
 
 def follow(forms: DataFrame) -> DataFrame:
@@ -290,11 +298,11 @@ def follow(forms: DataFrame) -> DataFrame:
         at = step.drop("moved")
 
 
-def variants(words: DataFrame, min_length: int = MIN_LENGTH, extend: int = EXTEND, hot: int = HOT, ratio: int = 2) -> DataFrame:
+def variants(words: DataFrame, min_length: int = MIN_LENGTH, extend: int = EXTEND, hot_pairs: int = HOT_PAIRS, ratio: int = 2) -> DataFrame:
     """(word, form, root, n, n_near, form_n) for every row of (word, n).  form: the near word with the largest n, if that is at least
     ``ratio`` times the word's own, else null; root: the last word that forms lead to."""
     words = keep(words.select("word", "n"))
-    pairs = near_pairs(words, min_length, extend, hot)
+    pairs = near_pairs(words, min_length, extend, hot_pairs)
     sides = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")),
                               F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n"))))
     best = pairs.select(sides.alias("s")).select("s.*").groupBy("word").agg(
