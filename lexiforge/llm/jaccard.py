@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm import words as W
 from lexiforge.llm.components import components
-from lexiforge.llm.store import keep, may_be_in
+from lexiforge.llm.store import keep, thin_out
 from lexiforge.llm.substrings import key_groups
 
 GRAM = 5
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.select(F.col("id").alias("cid"), "docs", "side", F.col("first.id").alias("id"), F.col("first.digest").alias("digest"),
                      (F.col("side") != F.col("other")).alias("cross"), F.concat_ws(":", "root", F.least("side", "other"), F.greatest("side", "other")).alias("key"))
-    texts = own.join(d.where(may_be_in(own.select("id"), "id")), ["id", "digest"]).select("key", "cid", "docs", "side", "cross", "text")
+    texts = own.join(thin_out(d, "id", parts.select("first.id")), ["id", "digest"]).select("key", "cid", "docs", "side", "cross", "text")
     verified = keep(texts.repartition("key").sortWithinPartitions("key").mapInArrow(_verify(threshold, gram), "u long, v long, docs long"))
     counts = verified.where("v is null").groupBy(F.col("u").alias("cid")).agg(F.sum("docs").alias("linked"))
     roots = components(verified.where("v is not null").select("u", "v")).select(F.col("id").alias("cid"), "root")

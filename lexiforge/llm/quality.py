@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.arrays import let
-from lexiforge.llm.store import may_be_in
+from lexiforge.llm.store import thin_out
 from lexiforge.llm.words import WORD_PATTERN
 
 BUCKETS = 16384
@@ -78,7 +78,7 @@ def fit(docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str =
     ids = trusted.select(F.col("doc_id").alias("t_id")).where("t_id is not null").distinct()
     d = docs.select(F.col(doc_id).alias("d_id"), F.col(text).alias("text")).where("text is not null")
     # Only the trusted texts travel, by exchange at every size; all others are counted where they are read.
-    of_target = d.where(may_be_in(ids, "d_id")).join(ids.hint("merge"), F.col("d_id") == F.col("t_id"))
+    of_target = thin_out(d, "d_id", ids).join(ids.hint("merge"), F.col("d_id") == F.col("t_id"))
 
     def counted(texts: DataFrame) -> list[int]:
         grams = texts.select(F.explode(let(words_of(F.col("text")), lambda w: gram_buckets(w, buckets))).alias("bucket"))

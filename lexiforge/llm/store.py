@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiforge.session import ensure_checkpoint_dir
@@ -33,16 +33,13 @@ def shared_table(spark: SparkSession, prefix: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
-def may_be_in(ids: DataFrame, name: str, log2_bits: int = 23) -> Column:
-    """A test on the column ``name`` that holds for every id in ``ids`` (its first column) and for few others: one bit for each
-    hash value.  It thins out the large side before a join, which then decides.  The bits are an array literal of a fixed size
-    (1 MB), so with more ids than bits it lets more through, and no row that joins is ever lost."""
-    bit = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(1 << log2_bits))
-    b = ids.select(bit(F.col(ids.columns[0])).alias("b"))
-    found = b.groupBy(F.shiftright("b", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).collect()
-    longs = ["0"] * (1 << (log2_bits - 6))
-    for r in found:
-        longs[r["at"]] = str(r["bits"])
-    table = F.split(F.lit(" ".join(longs)), " ").cast("array<bigint>")
-    own = bit(F.col(name))
-    return F.getbit(F.get(table, F.shiftright(own, 6).cast("int")), F.pmod(own, F.lit(64)).cast("int")) == 1
+def thin_out(df: DataFrame, name: str, ids: DataFrame, log2_bits: int = 23) -> DataFrame:
+    """The rows of ``df`` whose column ``name`` is in ``ids`` (its first column), and few others; a join on the ids then decides.
+    There is one bit for each hash value, as a table of at most 2^log2_bits / 64 rows (131,072, about 2 MB) that is broadcast.
+    With more ids than bits it lets more through, and no row that joins is ever lost.  Columns of ``df`` may not begin with _bit."""
+    hashed = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(1 << log2_bits))
+    own = ids.select(hashed(F.col(ids.columns[0])).alias("_bit"))
+    words = own.groupBy(F.shiftright("_bit", 6).alias("_bit_at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit & 63 as int))")).alias("_bit_set"))
+    out = df.withColumn("_bit", hashed(F.col(name)))
+    out = out.join(F.broadcast(words), F.shiftright("_bit", 6) == F.col("_bit_at"))
+    return out.where(F.getbit("_bit_set", F.col("_bit").bitwiseAND(F.lit(63)).cast("int")) == 1).select(df.columns)

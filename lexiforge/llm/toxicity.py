@@ -10,8 +10,9 @@ writes them to the shared folder as sorted arrays that the workers map.  Texts t
 Scoring.  A token scores the log-odds of its strongest feature, any other token the (negative) drift.  One linear scan of
 a text finds all maximal scoring segments.  A segment of score S in a text of n tokens has the expected number of equals
 n * exp(-lambda * S) among clean texts, where lambda solves E[exp(lambda * score)] = 1 for clean tokens; segments below
-``significance`` are the passages.  The best segment's extreme value, its raw score and the sum over passages are
-mapped to a probability by logistic regression on the learning rows.
+``significance`` are the passages.  The best segment's extreme value, the sum over all maximal segments and the number of tokens
+(0 for a text without a segment) are mapped to a probability by logistic regression on the learning rows, each scored as if the lexicon had been learned without
+it (its own count is taken out of the features' odds), so that the weights fit what unseen texts give.
 
 Defined results: null and empty texts have no segment and get the probability of a text without one; labels that are
 null, or whose id is, are not used; several labels of an id count as toxic if half of them are; if the learning rows hold
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexiforge.llm import words as W
-from lexiforge.llm.store import keep, may_be_in, shared_folder
+from lexiforge.llm.store import keep, shared_folder, thin_out
 
 FOLDS = 5
 STARTS = (4, 5, 6, 7, 8)
@@ -60,6 +61,9 @@ class Lexicon:
 
     features: np.ndarray
     odds: np.ndarray
+    #: For a toxic and for a clean learning text: the odds without that text's own count.
+    without_toxic: np.ndarray | None = None
+    without_clean: np.ndarray | None = None
     scale: float = 1.0
     folder: str | None = None
 
@@ -73,12 +77,18 @@ class Lexicon:
             else:
                 os.makedirs(self.folder)
                 self.features.astype(np.uint64).tofile(f"{self.folder}/features")
-                self.odds.astype(np.float64).tofile(f"{self.folder}/odds")
+                np.concatenate([self.odds, self.without_toxic, self.without_clean]).astype(np.float64).tofile(f"{self.folder}/odds")
         if not self.folder:
             held = spark.sparkContext.broadcast(self)
             return lambda: held.value
         folder, scale = self.folder, self.scale
-        return lambda: Lexicon(np.memmap(f"{folder}/features", np.uint64, "r"), np.memmap(f"{folder}/odds", np.float64, "r"), scale, folder)
+
+
+        def mapped() -> "Lexicon":
+            odds = np.memmap(f"{folder}/odds", np.float64, "r").reshape(3, -1)
+            return Lexicon(np.memmap(f"{folder}/features", np.uint64, "r"), *odds, scale=scale, folder=folder)
+
+        return mapped
 
 
 def fold(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -161,27 +171,35 @@ def learn(docs: DataFrame, rows: DataFrame) -> Lexicon:
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
     if not n1 or not n0:
-        return Lexicon(np.zeros(0, np.uint64), np.zeros(0))
+        return Lexicon(np.zeros(0, np.uint64), *[np.zeros(0)] * 3)
     d = docs.select("doc_id", "text")
 
     def texts(which: Column) -> DataFrame:
         own = rows.where(which)
-        few = d.where(may_be_in(own.select("r_id"), "doc_id")).withColumn("digest", F.xxhash64("text"))
+        few = thin_out(d, "doc_id", own.select("r_id")).withColumn("digest", F.xxhash64("text"))
         return few.join(own.hint("merge"), (F.col("doc_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
 
     toxic = keep(_totals(texts(F.col("toxic"))).where((F.col("n") >= MIN_COUNT) & (F.col("feature") != 0)))
     clean = keep(_totals(texts(~F.col("toxic")), docs.sparkSession.sparkContext.broadcast(_bit_table(toxic))))
     n_words = clean.where("feature = 0").agg(F.sum("n")).first()[0] or 0
-    y1, y0 = F.col("n").cast("double"), F.coalesce(F.col("c_n"), F.lit(0)).cast("double")
+    both = toxic.join(clean.select(F.col("feature").alias("c_feature"), F.col("n").alias("c_n")), F.col("feature") == F.col("c_feature"), "left")
+    both = both.select("feature", F.col("n").cast("double").alias("y1"), F.coalesce(F.col("c_n"), F.lit(0)).cast("double").alias("y0"))
+    chosen = both.select("feature", "y1", "y0", _evidence(F.col("y1"), F.col("y0"), n1, n0).alias("odds")).where("odds > 0")
+    y1, y0 = F.col("y1"), F.col("y0")
+    less = F.when(y1 > MIN_COUNT, _evidence(y1 - 1, y0, n1 - 1, n0)).otherwise(0.0)
+    found = chosen.select("feature", "odds", (y0 + PRIOR_SHARE * (y1 + y0)).alias("clean"), less.alias("without_toxic"),
+                          F.when(y0 > 0, _evidence(y1, y0 - 1, n1, n0 - 1)).otherwise(F.col("odds")).alias("without_clean")).toArrow()
+    order = np.argsort(f := found.column("feature").to_numpy().view(np.uint64))
+    odds, share, *without = (found.column(c).to_numpy()[order] for c in ("odds", "clean", "without_toxic", "without_clean"))
+    return Lexicon(f[order], odds, *without, scale=extreme_scale(odds, share / max(n_words, 1)))
+
+
+def _evidence(y1: Column, y0: Column, n1: int, n0: int) -> Column:
+    """Log-odds of a feature in y1 of n1 toxic and y0 of n0 clean texts, under a Dirichlet prior; 0 where they are not significant."""
     alpha, total = PRIOR_SHARE * (y1 + y0), PRIOR_SHARE * (n1 + n0)
     rest = lambda n, y: F.greatest(n + total - y - alpha, F.lit(0.5))
     odds = F.log((y1 + alpha) / rest(F.lit(n1), y1)) - F.log((y0 + alpha) / rest(F.lit(n0), y0))
-    both = toxic.join(clean.select(F.col("feature").alias("c_feature"), F.col("n").alias("c_n")), F.col("feature") == F.col("c_feature"), "left")
-    both = both.select("feature", odds.alias("odds"), (y0 + alpha).alias("clean"), F.sqrt(1 / (y1 + alpha) + 1 / (y0 + alpha)).alias("deviation"))
-    chosen = both.where((F.col("odds") / F.col("deviation") >= MIN_Z) & (F.col("odds") > 1)).select("feature", "odds", "clean").toArrow()
-    order = np.argsort(f := chosen.column("feature").to_numpy().view(np.uint64))
-    odds, share = chosen.column("odds").to_numpy()[order], chosen.column("clean").to_numpy()[order] / max(n_words, 1)
-    return Lexicon(f[order], odds, extreme_scale(odds, share))
+    return F.when((odds / F.sqrt(1 / (y1 + alpha) + 1 / (y0 + alpha)) >= MIN_Z) & (odds > 1), odds).otherwise(0.0)
 
 
 def extreme_scale(odds: np.ndarray, share: np.ndarray) -> float:
@@ -190,23 +208,24 @@ def extreme_scale(odds: np.ndarray, share: np.ndarray) -> float:
     rest = 1 - share.sum()
     excess = lambda x: float(np.sum(share * np.exp(np.minimum(x * odds, 700)))) + rest * math.exp(x * DRIFT) - 1
     low, high = 0.0, 1.0
-    if excess(high) <= 0:
-        return 1.0
+    while excess(high) <= 0 and high < 1024:
+        low, high = high, 2 * high
     for _ in range(60):
         middle = (low + high) / 2
         low, high = (middle, high) if excess(middle) < 0 else (low, middle)
     return max(low, 1e-3)
 
 
-def token_scores(w: W.Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """(positions of the words with a lexicon feature, their scores)."""
+def token_scores(w: W.Words, lexicon: Lexicon, odds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of the words with a lexicon feature, their scores): the lexicon's odds, or ``odds`` in their place."""
+    odds = lexicon.odds if odds is None else odds
     if not len(lexicon.features) or not len(w.starts):
         return np.zeros(0, np.int64), np.zeros(0)
     best = np.zeros(len(w.starts))
     for feature in features(w):
         at = np.minimum(np.searchsorted(lexicon.features, feature), len(lexicon.features) - 1)
         hit = np.flatnonzero(lexicon.features[at] == feature)
-        best[hit] = np.maximum(best[hit], lexicon.odds[at[hit]])
+        best[hit] = np.maximum(best[hit], odds[at[hit]])
     at = np.flatnonzero(best)
     return at, best[at]
 
@@ -214,7 +233,7 @@ def token_scores(w: W.Words, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
 def maximal_segments(at: list[int], scores: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, past last, score) of a sequence that scores ``drift`` but for the given
     positions: the linear-time scan that keeps a list of candidate segments with their left and right partial sums."""
-    held: list[tuple[int, int, float, float]] = []  # first, past last, sum before, sum up to the end
+    held: list[tuple[int, int, float, float, int]] = []  # first, past last, sum before, sum up to the end, nearest earlier with a smaller sum before
     total, last = 0.0, 0
     for p, s in zip(at, scores):
         total += drift * (p - last)
@@ -223,13 +242,52 @@ def maximal_segments(at: list[int], scores: list[float], drift: float = DRIFT) -
         while True:
             j = len(held) - 1
             while j >= 0 and held[j][2] >= left:
-                j -= 1
+                j = held[j][4]  # those between have no smaller sum
             if j < 0 or held[j][3] >= right:
-                held.append((first, end, left, right))
+                held.append((first, end, left, right, j))
                 break
             first, left = held[j][0], held[j][2]
             del held[j:]
-    return [(a, b, right - left) for a, b, left, right in held]
+    return [(a, b, right - left) for a, b, left, right, _ in held]
+
+
+def _measured(w: W.Words, lexicon: Lexicon, odds: np.ndarray | None = None) -> list[tuple]:
+    """(words, best segment, extreme, total, passages) of each text; total: of all maximal segments."""
+    at, score = token_scores(w, lexicon, odds)
+    bounds, out = np.searchsorted(at, w.first), []
+    for d, n in enumerate(w.counts.tolist()):
+        i, j = bounds[d:d + 2]
+        if i == j:
+            out.append((n, None, 0.0, 0.0, []))
+            continue
+        found = maximal_segments((at[i:j] - w.first[d]).tolist(), score[i:j].tolist())
+        found = [dict(zip(("start", "end", "score"), s)) for s in found]
+        best = max(found, key=lambda s: s["score"])
+        out.append((n, best, max(0.0, lexicon.scale * best["score"] - math.log(n)), sum(s["score"] for s in found),
+                    [s for s in found if n * math.exp(-min(lexicon.scale * s["score"], 700)) <= SIGNIFICANCE]))
+    return out
+
+
+def left_out(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(doc_id, digest, toxic, n, extreme, total), two rows for each text: as if the lexicon had been learned without it, were it
+    toxic or clean.  Calibration on these expects what unseen texts give."""
+    shared = lexicon.shared(docs.sparkSession)
+
+    def task(batches):
+        lexicon = shared()
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            for a, b in W.chunks(texts):
+                w = split(texts[a:b])
+                for toxic, odds in ((True, lexicon.without_toxic), (False, lexicon.without_clean)):
+                    n, _, extreme, total, _ = zip(*_measured(w, lexicon, odds))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(a, b - a), batch.column("digest").slice(a, b - a), pa.array([toxic] * (b - a)),
+                         pa.array(n, pa.int64()), pa.array(extreme, pa.float64()), pa.array(total, pa.float64())],
+                        names=["doc_id", "digest", "toxic", "n", "extreme", "total"])
+
+    d = docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+    return d.mapInArrow(task, "doc_id long, digest long, toxic boolean, n long, extreme double, total double")
 
 
 def segments(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
@@ -243,34 +301,22 @@ def segments(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame
         for batch in batches:
             texts, out = batch.column(1).to_pylist(), []
             for a, b in W.chunks(texts):
-                w = split(texts[a:b])
-                at, score = token_scores(w, lexicon)
-                bounds = np.searchsorted(at, w.first)
-                for d in range(b - a):
-                    n, (i, j) = int(w.first[d + 1] - w.first[d]), bounds[d:d + 2]
-                    if i == j:
-                        out.append((n, 0.0, 0.0, 0.0, []))
-                        continue
-                    found = maximal_segments((at[i:j] - w.first[d]).tolist(), score[i:j].tolist())
-                    best = max(s for *_, s in found)
-                    good = [s for s in found if n * math.exp(-min(lexicon.scale * s[2], 700)) <= SIGNIFICANCE]
-                    out.append((n, best, max(0.0, lexicon.scale * best - math.log(n)), sum(s for *_, s in good),
-                                [{"start": x, "end": y, "score": s} for x, y, s in good]))
+                out += _measured(split(texts[a:b]), lexicon)
             n, best, extreme, total, passages = zip(*out) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(extreme, pa.float64()),
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(best, _PASSAGES.value_type), pa.array(extreme, pa.float64()),
                  pa.array(total, pa.float64()), pa.array(passages, _PASSAGES)],
                 names=["row", "n", "best", "extreme", "total", "passages"])
 
     schema = d.select("row").schema
-    more = StructType.fromDDL("n long, best double, extreme double, total double, passages array<struct<start:int,end:int,score:double>>")
+    more = StructType.fromDDL("n long, best struct<start:int,end:int,score:double>, extreme double, total double, passages array<struct<start:int,end:int,score:double>>")
     for field in more:
         schema = schema.add(field)
     return d.mapInArrow(task, schema)
 
 
 def _inputs() -> list[Column]:
-    return [F.col("extreme"), F.log1p(F.greatest(F.col("best"), F.lit(0.0))), F.log1p(F.greatest(F.col("total"), F.lit(0.0)))]
+    return [F.col("extreme"), F.log1p(F.greatest(F.col("total"), F.lit(0.0))), F.when(F.col("total") > 0, F.log1p(F.col("n").cast("double"))).otherwise(0.0)]
 
 
 def calibrate(scored: DataFrame) -> list[float]:
@@ -299,16 +345,18 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int
     d = docs.select("doc_id", "text")
     rows = keep(learning_rows(d, labels, folds, held_out))
     lexicon = learn(d, rows)
-    slim = segments(d.withColumn("digest", F.xxhash64("text")), lexicon).select("row.doc_id", "row.digest", "best", "extreme", "total")
-    own = rows.select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), "toxic")
-    known = slim.join(own, (F.col("doc_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")))
-    return lexicon, calibrate(keep(known.select("best", "extreme", "total", "toxic")))
+    own = rows.select(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest"), F.col("toxic").alias("r_toxic"))
+    known = left_out(thin_out(d, "doc_id", own), lexicon).join(
+        own, (F.col("doc_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")) & (F.col("toxic") == F.col("r_toxic")))
+    return lexicon, calibrate(keep(known.select("n", "extreme", "total", "toxic")))
 
 
 def score(docs: DataFrame, model: tuple[Lexicon, list[float]], text: str = "text") -> DataFrame:
-    """(row, score, n, passages) for every row of ``docs``."""
+    """(row, score, n, passages) for every row of ``docs``; a toxic document without a significant passage has its best one."""
     lexicon, weights = model
-    return segments(docs, lexicon, text).select("row", probability(weights).alias("score"), "n", "passages")
+    out = segments(docs, lexicon, text).select("row", probability(weights).alias("score"), "n", "passages", "best")
+    only = (F.size("passages") == 0) & (F.col("score") >= 0.5) & F.col("best").isNotNull()
+    return out.select("row", "score", "n", F.when(only, F.array("best")).otherwise(F.col("passages")).alias("passages"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, held_out: int = 0) -> DataFrame:
