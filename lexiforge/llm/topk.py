@@ -12,8 +12,8 @@ and one shard.  That is a stated query set against all rows, in blocks: neither
 
 Defined results: a vector that is null or holds a null or a non-finite component takes no part; vectors of unequal length
 are compared over the dimensions that both have; an empty vector scores 0 with everything; equal scores go to the smaller
-id; rows that repeat an id are candidates each, and a query that occurs several times is asked once per row (its own id is
-never its candidate); a null id takes no part; a score beyond the 64-bit range is the nearest 64-bit number.
+id; rows that repeat an id are candidates each; a query row that repeats is asked once, and rows that share an id but not the
+vector are queries of their own, each with its ranks (their id is never their candidate); a null id takes no part; a score beyond the 64-bit range is the nearest 64-bit number.
 """
 
 from __future__ import annotations
@@ -118,37 +118,39 @@ def top_k(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", vector:
     width = size["w"] or 0
     # The hash of the whole row deals out rows that share an id.
     data = v.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = v.where("asks").select("id", "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
+    # a row that repeats is asked once; rows that share an id but not the vector are queries of their own
+    asks = v.where("asks").select("id", "v", F.xxhash64("v").alias("query")).dropDuplicates(["id", "query"])
+    asked = asks.select("id", "v", "query", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
                                    F.pmod(F.xxhash64("id", "v", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
 
     def task(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, a, b = left.column("id").to_numpy(), _matrix(left.column("v"), width, scale), _matrix(right.column("v"), width, scale)
-        query_ids = right.column("id").to_numpy()
+        query_ids, queries = right.column("id").to_numpy(), right.column("query").to_numpy()
         if float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(width, 1) >= EXACT:
             a, b = (np.array([[int(x) for x in row] for row in m], dtype=object).reshape(m.shape) for m in (a, b))
-            return _plain(ids, a, query_ids, b, k)
+            return _plain(ids, a, query_ids, queries, b, k)
         shard, out = Shard(ids, a), []
-        for q, x in zip(query_ids, b):
+        for q, key, x in zip(query_ids, queries, b):
             rows, scores = shard.search(q, x, k)
-            out.append((np.full(len(rows), q), shard.ids[rows], scores.astype(np.int64)))
+            out.append((np.full(len(rows), q), np.full(len(rows), key), shard.ids[rows], scores.astype(np.int64)))
         return _table(out)
 
-    found = data.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(task, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = data.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(task, "query_id long, query long, vec_id long, score long")
+    best = Window.partitionBy("query_id", "query").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _table(out: list[tuple]) -> pa.Table:
-    columns = [np.concatenate(c).astype(np.int64) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
-    return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
+    columns = [np.concatenate(c).astype(np.int64) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+    return pa.table(dict(zip(("query_id", "query", "vec_id", "score"), columns)))
 
 
-def _plain(ids: np.ndarray, a: np.ndarray, query_ids: np.ndarray, b: np.ndarray, k: int) -> pa.Table:
+def _plain(ids: np.ndarray, a: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, b: np.ndarray, k: int) -> pa.Table:
     """Components too large for exact doubles: every product in Python integers, one query at a time."""
     out = []
-    for q, x in zip(query_ids, b):
+    for q, key, x in zip(query_ids, queries, b):
         scores = [min(max(int(s), -2**63), 2**63 - 1) for s in (a @ x if a.shape[1] else [0] * len(ids))]
         best = sorted((-s, i) for s, i in zip(scores, ids.tolist()) if i != q)[:k]
-        out.append((np.full(len(best), q), np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)))
+        out.append((np.full(len(best), q), np.full(len(best), key), np.array([i for _, i in best], np.int64), np.array([-s for s, _ in best], np.int64)))
     return _table(out)
