@@ -22,6 +22,7 @@ Other columns of ``docs`` are not read, whatever their names.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -37,15 +38,19 @@ SEGMENT_IDS = 1 << 20
 PERCENTILE = 90
 END_ID = 2
 #: Words in each of the two generations whose ids a worker remembers, and the longest that is.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 CACHE_BYTES = 64
 #: Bytes of ids in a batch that a reading task hands on.
 BATCH_BYTES = 4_000_000
+#: The most reading tasks; beyond, a task reads several segments.
+MAX_TASKS = 20_000
 
+_PRINTABLE = re.compile(rb"[!-~]+").fullmatch
 _BLOCK_HEAD = struct.Struct("<QBBH")  # minimum, width, width of high bits, exceptions
 _SEGMENT_HEAD = struct.Struct("<qqqq")
 _ENTRY = struct.Struct("<qqqq")
 _END = struct.Struct("<q8s")
+_HEAD_BYTES = _SEGMENT_HEAD.size
 
 MANIFEST = "shard int, file string, n_docs long, n_ids long, segments array<struct<offset:long,bytes:long,n_docs:long,n_ids:long>>"
 
@@ -54,12 +59,17 @@ MANIFEST = "shard int, file string, n_docs long, n_ids long, segments array<stru
 
 def _widths(x: np.ndarray) -> np.ndarray:
     """Bits that each number needs."""
+    if x.size and int(x.max()) < len(_SHORT):
+        return _SHORT[x.astype(np.int64)]
     if not x.size or int(x.max()) < 1 << 53:  # exact in doubles
         return np.frexp(x.astype(np.float64))[1].astype(np.uint8)
     high = x >> np.uint64(32)
     return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((x & np.uint64(2**32 - 1)).astype(np.float64))[1]).astype(np.uint8)
 
 
+_SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
+
 def _bits(rows: np.ndarray, width: int) -> np.ndarray:
     """Each row of numbers below 2^width as a row of bytes."""
     size = 2 if width <= 16 else 4 if width <= 32 else 8
@@ -225,29 +235,48 @@ def footer(data: bytes) -> list[tuple[int, int, int, int]]:
 
 # -- encoding ---------------------------------------------------------------------------------------------------------
 
+def steps(spec: dict, name: str, parts: str) -> list[dict]:
+    """The steps of a tokenizer file's normalising or splitting, nested sequences unfolded."""
+    step = spec.get(name)
+    unfold = lambda x: [z for y in x[parts] for z in unfold(y)] if x["type"] == "Sequence" else [x]
+    return unfold(step) if step else []
+
+
 def words_stand_alone(spec: dict) -> bool:
     """Whether a tokenizer file treats each run between white space alone: its first splitting step drops white space and
     no normalising step joins characters over it."""
-    kinds = lambda step, name: [k for s in step.get(name, [step]) for k in (kinds(s, name) if name in s else [s])]
-    normal = kinds(spec["normalizer"], "normalizers") if spec.get("normalizer") else []
-    if any(s["type"] not in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents") and s != {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
-           for s in normal):
+    one_space = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    if any(s["type"] not in ("NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents") and s != one_space for s in steps(spec, "normalizer", "normalizers")):
         return False
-    first = kinds(spec["pre_tokenizer"], "pretokenizers")[0] if spec.get("pre_tokenizer") else {}
-    own = first.get("type") in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
-    if first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"]:
-        # the pattern's alternatives are words: none may match white space
-        import regex
+    first = (steps(spec, "pre_tokenizer", "pretokenizers") or [{"type": ""}])[0]
+    own = first["type"] in ("Whitespace", "WhitespaceSplit", "BertPreTokenizer")
+    if first["type"] == "Split" and first["behavior"] == "Removed" and first["invert"]:
+        own = not any(c.isspace() for m in _rule(first).findall(" \t\n\x0b\x0c\r a b\n c 1 . \n\n") for c in m)  # matches are words
+    return own and not any(t[f] for t in spec.get("added_tokens", []) for f in ("single_word", "lstrip", "rstrip"))
+
+
+def _rule(step: dict):
+    import regex
 
-        rule = regex.compile(first["pattern"].get("Regex") or regex.escape(first["pattern"]["String"]))
-        own = not any(c.isspace() for m in rule.findall(" \t\n\x0b\x0c\r a b\n c 1 . \n\n") for c in m)
-    flags = ("single_word", "lstrip", "rstrip")
-    return own and not any(t[f] for t in spec.get("added_tokens", []) for f in flags)
+    return regex.compile(step["pattern"].get("Regex") or regex.escape(step["pattern"]["String"]))
+
+
+def plain_rule(spec: dict):
+    """The splitting rule for words of printable ASCII, if the file's steps do no more to those than lower their case, split them
+    by one pattern and spell bytes as characters (which leaves printable ASCII as it is); else None."""
+    split = steps(spec, "pre_tokenizer", "pretokenizers")
+    normal = [s["type"] for s in steps(spec, "normalizer", "normalizers")]
+    if [s["type"] for s in split] != ["Split", "ByteLevel"] or not words_stand_alone(spec) or "Lowercase" not in normal:
+        return None
+    if split[1]["use_regex"] or split[1]["add_prefix_space"] or spec["model"]["type"] != "BPE":
+        return None
+    return _rule(split[0])
 
 
 class Encoder:
     """Ids of texts, as the tokenizer gives them without special tokens of its own.  Where the file allows it, texts are cut at
-    ASCII white space and the ids of words are remembered in two generations; else whole texts are encoded."""
+    ASCII white space and the ids of words are remembered in two generations; else whole texts are encoded.  Words of printable
+    ASCII go straight to the tokenizer's model, piece by piece of the file's splitting rule, all others through the whole tokenizer."""
 
     _known: dict[str, "Encoder"] = {}
 
@@ -255,8 +284,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
-            self.by_word = words_stand_alone(json.load(f))
+            spec = json.load(f)
+        self.by_word = words_stand_alone(spec)
+        self.rule = plain_rule(spec)
+        added = b"|".join(re.escape(t["content"].encode()) for t in spec.get("added_tokens", []))
+        self.holds_added = re.compile(added or rb"(?!)", re.IGNORECASE).search
+        # letters alone are one piece of the rule (a piece is a word of its own, so words and pieces share what is remembered)
+        self.one_piece = self.rule is not None and all(self.rule.findall(x) == [x] for x in ("a", "word", "st", "llvemred"))
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -266,27 +302,51 @@ class Encoder:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)] if texts else []
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Little-endian 32-bit ids of each UTF-8 text."""
-        if not self.by_word:
-            return self._ids([(t or b"").decode() for t in texts])
-        split = [t.split() if t else [] for t in texts]
-        new: set[bytes] = set()
-        for words in split:
-            new.update(words)
-        if len(self.young) + len(new) > CACHE_WORDS:
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _piece(self, piece: bytes) -> bytes:
+        ids = self.young.get(piece) or self.old.get(piece)
+        if ids is None:
+            found = self.model.tokenize(piece.decode())
+            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+            if len(piece) <= CACHE_BYTES and not self.holds_added(piece):
+                self.young[piece] = ids
+        return ids
+
+    def _plain(self, word: bytes) -> bytes:
+        word = word.lower()
+        if word.isalpha() and self.one_piece:
+            return self._piece(word)
+        return b"".join([self._piece(p.encode()) for p in self.rule.findall(word.decode())])
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of words that the young generation does not know; those too long to remember are only returned."""
+        if len(self.young) + len(words) > CACHE_WORDS:
             self.young, self.old = {}, self.young
-        young, once = self.young, {}
-        for w in [w for w in new if w in self.old]:
-            young[w] = self.old[w]
-        missing = [w for w in new if w not in young]
-        for w, ids in zip(missing, self._ids([w.decode() for w in missing])):
-            (young if len(w) <= CACHE_BYTES else once)[w] = ids
-        table = young if not once else {**{w: young[w] for w in new if w in young}, **once}
-        return [b"".join(map(table.__getitem__, words)) for words in split]
+        out, other = {}, []
+        for w in words:
+            ids = self.old.get(w)
+            if ids is None and self.rule and (w.isalpha() or _PRINTABLE(w)) and not self.holds_added(w):
+                ids = self._plain(w)
+            if ids is None:
+                other.append(w)
+            else:
+                out[w] = ids
+        out.update(zip(other, self._whole([w.decode() for w in other])))
+        self.young.update((w, ids) for w, ids in out.items() if len(w) <= CACHE_BYTES)
+        return out
+
+    def encode(self, text: bytes) -> bytes:
+        """Little-endian 32-bit ids of a UTF-8 text."""
+        if not self.by_word:
+            return b"".join(self._whole([text.decode()]))
+        words = text.split()
+        ids = list(map(self.young.get, words))
+        if None in ids:
+            new = self._learn({w for w, x in zip(words, ids) if x is None})
+            ids = [new[w] if x is None else x for w, x in zip(words, ids)]
+        return b"".join(ids)
 
 
 # -- Spark ------------------------------------------------------------------------------------------------------------
@@ -330,7 +390,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
             file.segment(doc_ids, lengths, np.frombuffer(b"".join(parts), "<u4"))
 
         for ids, texts in _chunks(batches):
-            for i, data in zip(ids, encoder.encode(texts)):
+            for i, t in zip(ids, texts):
+                data = encoder.encode(t or b"")
                 doc_ids.append(i)
                 lengths.append(len(data) // 4 + 1)
                 parts += [data, end]
@@ -399,7 +460,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             yield _rows(rows)
 
     places = segments(spark, folder).select("file", "offset", "bytes", "start")
-    return places.repartition("file", "offset").mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")
+    n = spark.read.parquet(f"{folder}/manifest").agg(F.sum(F.size("segments")).alias("n")).first()["n"] or 1
+    # few bytes name much work: the number of tasks is given, so that Spark does not put them all into one
+    return places.repartition(min(n, MAX_TASKS), "file", "offset").mapInArrow(task, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def read_ids(spark: SparkSession, folder: str, start: int, n: int) -> DataFrame:
@@ -409,7 +472,7 @@ def read_ids(spark: SparkSession, folder: str, start: int, n: int) -> DataFrame:
         for batch in batches:
             for s in batch.to_pylist():
                 a, b = max(0, start - s["start"]), min(s["n_ids"], start + n - s["start"])
-                at = s["offset"] + _SEGMENT_HEAD.size
+                at = s["offset"] + _HEAD_BYTES
                 for _ in range(2):  # the columns of steps and lengths are passed over
                     at += 8 + struct.unpack("<Q", _fetch(folder, s["file"], at, 8))[0]
                 at += 8
