@@ -5,7 +5,8 @@ A stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns t
 the pieces of the packed sequences.  ``run`` writes each stage's result as Parquet to the shared folder and reads it again.
 
 Defined results: an empty table goes through all stages; null texts count as empty; documents whose words are all cut stay as
-empty texts; a document that the mix takes several times has as many rows.
+empty texts; a document that the mix takes several times has as many rows; extra columns, whatever their names, come through the first
+four stages.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that an earlier document has."""
-    out = substrings.remove_repeats(docs).select("row.*", "n_removed", F.col("kept").alias("text"))
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    out, old = substrings.remove_repeats(docs), F.col("row").getField
+    now = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long"))}
+    changed = lambda c: now[c] if c == "text" else F.coalesce(now[c], old(c)) if c in now else old(c)
+    return out.select(*[changed(c).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
