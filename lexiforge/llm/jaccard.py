@@ -37,7 +37,9 @@ RECALL = 0.9999
 #: Levels for which the number of runs is reckoned; a pair survives each with at least the threshold's probability.
 DEPTH = 3
 SMALL = 1024
-BLOCK = 256
+BLOCK = 1024
+#: Shingles in a block, on average at most.
+BLOCK_SHINGLES = 2_000_000
 LAST = 2**63 - 1
 
 
@@ -276,11 +278,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # A class is known by the first hash of its set; the second and the size guard against a collision.
     cid = F.xxhash64("set_1", "set_2", "n")
     classes = described.where("n > 0").groupBy(cid.alias("cid")).agg(
-        F.min(F.struct("id", "digest")).alias("first"), F.count(F.lit(1)).alias("docs"), F.min("sketch").alias("sketch"))
+        F.min(F.struct("id", "digest")).alias("first"), F.count(F.lit(1)).alias("docs"), F.min("sketch").alias("sketch"), F.max("n").alias("n"))
     classes = keep(classes)
     links = proposed_links(classes.select("cid", "sketch"), threshold, recall, size, small)
-    parts = keep(components(links).join(classes.select(F.col("cid").alias("id"), "first", "docs"), "id"))
-    blocks = parts.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    parts = keep(components(links).join(classes.select(F.col("cid").alias("id"), "first", "docs", "n"), "id"))
+    # a task holds the texts of two blocks: few enough to compare, and of a bounded number of shingles
+    blocks = parts.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     own = parts.join(blocks, "root").withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     own = own.select(F.col("id").alias("cid"), "docs", "side", F.col("first.id").alias("id"), F.col("first.digest").alias("digest"),
