@@ -1,9 +1,8 @@
 """Labelled text units from the driver tables.
 
-The unit is a sentence.  The token edits (E1-E5) work on pieces of at most
-``max_tokens`` consecutive tokens of it, as they are quadratic in the token
-count; all pieces are kept.  Vocabularies, encoding, transitions, scoring and
-synonyms work on ``WHOLE`` sentences, so that no false start or end is seen.
+The unit is a whole sentence.  A caller may ask for pieces of at most
+``max_tokens`` consecutive tokens instead (all pieces are kept); no registered
+query does, as a cut shows false starts and ends.
 """
 
 from __future__ import annotations
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 from lexiforge.functions.text import LETTER_CLASS, SENTENCE_MARKS, normalise_tokens
 from lexiforge.session import spread
 
-DEFAULT_MAX_TOKENS = 64
 # A piece of so many tokens is the whole sentence.
 WHOLE = 1 << 30
 
@@ -24,7 +22,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def split_units(df: DataFrame, key_col: str, text_col: str, label_col: str,
-                max_tokens: int = DEFAULT_MAX_TOKENS, char_class: str = LETTER_CLASS) -> DataFrame:
+                max_tokens: int = WHOLE, char_class: str = LETTER_CLASS) -> DataFrame:
     """(key, text, label) -> (doc_id, sent_no, chunk_no, unit_key, label, tokens).
 
     Narrow (no shuffle): explode sentences, normalise, explode pieces."""
@@ -43,7 +41,7 @@ def split_units(df: DataFrame, key_col: str, text_col: str, label_col: str,
         F.slice("all_tokens", F.col("chunk_no") * max_tokens + 1, max_tokens).alias("tokens"))
 
 
-def document_units(spark: SparkSession, sf_dir: str, max_tokens: int = DEFAULT_MAX_TOKENS,
+def document_units(spark: SparkSession, sf_dir: str, max_tokens: int = WHOLE,
                    label_col: str = "lang") -> DataFrame:
     """Units of the ``documents`` table, label = language."""
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", label_col), "doc_id")
@@ -55,7 +53,7 @@ def document_units(spark: SparkSession, sf_dir: str, max_tokens: int = DEFAULT_M
 # ---------------------------------------------------------------------------
 
 def sql_units(table: str = "documents", key: str = "doc_id", text: str = "text", label: str = "lang",
-              max_tokens: int = DEFAULT_MAX_TOKENS) -> str:
+              max_tokens: int = WHOLE) -> str:
     return f"""
     (WITH _d AS (
         SELECT {key} AS doc_id, {label} AS label, string_split_regex({text}, '[.!?\\n]') AS sents FROM {table}),

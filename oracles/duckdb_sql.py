@@ -18,11 +18,6 @@ def units_cte(name: str = "units", table: str = "documents", key: str = "doc_id"
     return f"{name} AS {sql_units(table, key, 'text', label)}"
 
 
-def whole_cte() -> str:
-    """Whole sentences."""
-    return f"units AS {sql_units('documents', 'doc_id', 'text', 'lang', 1 << 30)}"
-
-
 def stop_cte(top: int = 50) -> str:
     return f"""stop AS (
       SELECT w AS word FROM (SELECT unnest(list_distinct(tokens)) AS w FROM units)
@@ -50,33 +45,55 @@ def lexicon_ctes(k: int = 2, top: int = 5) -> str:
 def attach_ctes() -> str:
     return """lists AS (SELECT word, list(synonym ORDER BY rank) AS syns FROM lex GROUP BY word),
     ex AS (SELECT DISTINCT unit_key, unnest(tokens) AS word FROM units),
-    ent AS (SELECT ex.unit_key, list({'w': ex.word, 'syns': l.syns}) AS ent FROM ex JOIN lists l ON ex.word = l.word
-            GROUP BY ex.unit_key),
+    ent AS (SELECT ex.unit_key, list(ex.word ORDER BY ex.word) AS ew, list(l.syns ORDER BY ex.word) AS es
+            FROM ex JOIN lists l ON ex.word = l.word GROUP BY ex.unit_key),
     st AS (SELECT ex.unit_key, list(ex.word) AS stops FROM ex JOIN stop s ON ex.word = s.word GROUP BY ex.unit_key),
-    ul AS (SELECT u.*, ent.ent AS ent, coalesce(st.stops, []) AS stops
+    ul AS (SELECT u.*, coalesce(ent.ew, []) AS ew, coalesce(ent.es, []) AS es, coalesce(st.stops, []) AS stops
            FROM units u LEFT JOIN ent ON u.unit_key = ent.unit_key LEFT JOIN st ON u.unit_key = st.unit_key)"""
 
 
 def _has(w: str) -> str:
-    return f"(len(list_filter(coalesce(ent, []), lambda e: e.w = {w})) > 0)"
+    return f"list_contains(ew, {w})"
 
 
 def _syns(w: str) -> str:
-    return f"(list_filter(ent, lambda e: e.w = {w})[1].syns)"
+    return f"es[list_position(ew, {w})]"
 
 
 def _n(alpha: float) -> str:
     return f"greatest(1, CAST(floor({alpha} * len(tokens)) AS INTEGER))"
 
 
-def sql_sr(h: str, alpha: float) -> str:
+def sr_entries(h: str, alpha: float) -> str:
+    """The words that E1 replaces and their synonyms: evaluated once per row, as a column of ``hx``."""
     d = "list_filter(tokens, lambda w, i: list_position(tokens, w) = i)"
     cands = (f"list_filter(list_transform({d}, lambda w, k: {{'d': {U(h, 'k - 1')}, 'w': w, 'k': k - 1}}), "
              f"lambda s: NOT list_contains(stops, s.w) AND {_has('s.w')})")
     chosen = f"list_sort({cands})[1:{_n(alpha)}]"
-    repl = (f"list_transform({chosen}, lambda s: {{'w': s.w, 's': {_syns('s.w')}"
+    return (f"list_transform({chosen}, lambda s: {{'w': s.w, 's': {_syns('s.w')}"
             f"[{PICK(h, f's.k + {SR_SYN_POS}', 'len(' + _syns('s.w') + ')')} + 1]}})")
-    replaced = f"list_transform(tokens, lambda t: coalesce(list_filter({repl}, lambda r: r.w = t)[1].s, t))"
+
+
+def sr_columns(names: list[tuple[str, int]], alpha: float) -> str:
+    """Columns _w_sr_v and _s_sr_v: words to replace and their synonyms, in one order."""
+    cols = []
+    for t, v in names:
+        if t == "sr":
+            cols += [f"{sr_entries(f'_h_sr_{v}', alpha)} AS _e_sr_{v}",
+                     f"list_transform(_e_sr_{v}, lambda e: e.w) AS _w_sr_{v}",
+                     f"list_transform(_e_sr_{v}, lambda e: e.s) AS _s_sr_{v}"]
+    return ", ".join(cols)
+
+
+def hashed_ctes(src: str, seed: int, names: list[tuple[str, int]], alpha: float) -> str:
+    extra = sr_columns(names, alpha)
+    return (f"hx0 AS (SELECT *, {hash_cols(seed, names)} FROM {src}),\n"
+            f"hx AS (SELECT *{', ' + extra if extra else ''} FROM hx0)")
+
+
+def sql_sr(h: str, alpha: float) -> str:
+    w, s = h.replace("_h_", "_w_"), h.replace("_h_", "_s_")
+    replaced = f"list_transform(tokens, lambda t: coalesce({s}[list_position({w}, t)], t))"
     return f"string_split(array_to_string({replaced}, ' '), ' ')"
 
 
@@ -123,8 +140,7 @@ def single_technique_sql(technique: str, n_variants: int = 3, alpha: float = 0.1
     ctes = [units_cte()]
     if needs_lexicon:
         ctes += [stop_cte(), lexicon_ctes(), attach_ctes()]
-    hc = hash_cols(seed, [(technique, v) for v in range(n_variants)])
-    ctes.append(f"hx AS (SELECT *, {hc} FROM {src})")
+    ctes.append(hashed_ctes(src, seed, [(technique, v) for v in range(n_variants)], alpha))
     arr = ", ".join(f"array_to_string({TECH_SQL[technique](f'_h_{technique}_{v}', alpha)}, ' ')"
                     for v in range(n_variants))
     return ("WITH " + ",\n".join(ctes) + f"""
@@ -136,7 +152,7 @@ def eda_sql(alpha: float = 0.1, num_aug: int = 9, seed: int = 2020) -> str:
     nv = num_aug // 4 + 1
     names = [(t, v) for t in ("sr", "ri", "rs", "rd") for v in range(nv)]
     ctes = [units_cte(), stop_cte(), lexicon_ctes(), attach_ctes(),
-            f"hx AS (SELECT *, {hash_cols(seed, names + [('w1', 0)])} FROM ul)"]
+            hashed_ctes("ul", seed, names + [("w1", 0)], alpha)]
     items = []
     for idx, (t, v) in enumerate(names):
         items.append(f"{{'d': {U('_h_w1_0', str(idx))}, 'idx': {idx}, 'method': '{t}', "
@@ -161,7 +177,7 @@ def stop_words_sql() -> str:
 
 
 def synonyms_sql() -> str:
-    return f"WITH {whole_cte()}, {lexicon_ctes()} SELECT word, synonym, score, CAST(rank AS BIGINT) AS rank FROM lex"
+    return f"WITH {units_cte()}, {lexicon_ctes()} SELECT word, synonym, score, CAST(rank AS BIGINT) AS rank FROM lex"
 
 
 ORACLES = {
@@ -214,7 +230,7 @@ def encode_ctes(max_len: int = 100) -> str:
 
 
 def decode_sql(where: str = "") -> str:
-    return f"""WITH {whole_cte()}, {encode_ctes()},
+    return f"""WITH {units_cte()}, {encode_ctes()},
     dx AS (SELECT id, t.i AS pos, utter[t.i + 1] AS tid FROM enc, unnest(range(len(utter))) AS t(i) {where})
     SELECT dx.id, string_agg(v.token, ' ' ORDER BY dx.pos) AS text
     FROM dx JOIN vocab v ON dx.tid = v.id GROUP BY dx.id"""
@@ -222,22 +238,22 @@ def decode_sql(where: str = "") -> str:
 
 ORACLES.update({
     "j6_content_words": f"""WITH {units_cte()}, {stop_cte()}
-        SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM units) WHERE token NOT IN (SELECT word FROM stop) GROUP BY token""".replace(units_cte(), whole_cte()),
-    "a1_token_freq": f"""WITH {whole_cte()} SELECT token, count(*) AS cnt
+        SELECT token, count(*) AS cnt FROM (SELECT unnest(tokens) AS token FROM units) WHERE token NOT IN (SELECT word FROM stop) GROUP BY token""".replace(units_cte(), units_cte()),
+    "a1_token_freq": f"""WITH {units_cte()} SELECT token, count(*) AS cnt
         FROM (SELECT unnest(tokens) AS token FROM units) GROUP BY token""",
     "a1_char_freq": """SELECT token, count(*) AS cnt FROM (
         SELECT unnest(list_filter(string_split(regexp_replace(text, '\\s', '', 'g'), ''), lambda c: c <> '')) AS token
         FROM conversations) GROUP BY token""",
-    "a2_vocab": f"WITH {whole_cte()}, {vocab_ctes()} SELECT id, token, cnt FROM vocab",
+    "a2_vocab": f"WITH {units_cte()}, {vocab_ctes()} SELECT id, token, cnt FROM vocab",
     "a3_label_vocab": f"WITH {label_vocab_cte('conversations', 'role')} SELECT id, label, cnt FROM lvocab",
-    "a4_token_probs": f"""WITH {whole_cte()}, {vocab_ctes()}
+    "a4_token_probs": f"""WITH {units_cte()}, {vocab_ctes()}
         SELECT id AS token_id, token, cnt, cnt / sum(cnt) OVER () AS prob,
                sum(cnt) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(cnt) OVER () AS cum_prob
         FROM vocab WHERE cnt > 0""",
-    "j1_encode": f"""WITH {whole_cte()}, {encode_ctes()}
+    "j1_encode": f"""WITH {units_cte()}, {encode_ctes()}
         SELECT id, doc_id, sent_no, chunk_no, intent, len, array_to_string(utter, ' ') AS utter FROM enc""",
     "j2_decode": decode_sql(),
-    "s13_inspect": f"""WITH {whole_cte()}, {encode_ctes()},
+    "s13_inspect": f"""WITH {units_cte()}, {encode_ctes()},
     dx AS (SELECT id, intent, len, t.i AS pos, utter[t.i + 1] AS tid FROM enc, unnest(range(len(utter))) AS t(i)
            WHERE id <= 5)
     SELECT dx.id, dx.intent, dx.len, string_agg(v.token, ' ' ORDER BY dx.pos) AS text
@@ -253,7 +269,7 @@ PROBS_CTE = """probs AS (SELECT id AS token_id, cnt,
 
 
 def noise_sql(rate: float = 0.1, seed: int = 530) -> str:
-    return f"""WITH {whole_cte()}, {encode_ctes()}, {PROBS_CTE},
+    return f"""WITH {units_cte()}, {encode_ctes()}, {PROBS_CTE},
     hx AS (SELECT id, intent, len, utter, {H(str(seed), "'noise'", 'id')} AS h FROM enc),
     nx AS (SELECT id, intent, len, t.i AS pos, utter[t.i + 1] AS tid, h FROM hx, unnest(range(len(utter))) AS t(i)),
     nz AS (SELECT nx.*, (pos < len - 1 AND {U('h', 'pos * 2')} < {rate}) AS noised,
@@ -265,7 +281,7 @@ def noise_sql(rate: float = 0.1, seed: int = 530) -> str:
 
 
 def random_ood_sql(max_len: int = 20, seed: int = 530) -> str:
-    return f"""WITH {whole_cte()}, {encode_ctes()}, {PROBS_CTE},
+    return f"""WITH {units_cte()}, {encode_ctes()}, {PROBS_CTE},
     hx AS (SELECT id, {H(str(seed), "'ood'", 'id')} AS h FROM enc),
     ln AS (SELECT id, h, {PICK('h', '0', str(max_len - 1))} + 1 AS len FROM hx),
     nx AS (SELECT ln.id, ln.h, ln.len, t.i AS pos,
@@ -278,14 +294,14 @@ def random_ood_sql(max_len: int = 20, seed: int = 530) -> str:
 
 
 def padded_sql(bs: int = 16) -> str:
-    return f"""WITH {whole_cte()}, {encode_ctes()},
+    return f"""WITH {units_cte()}, {encode_ctes()},
     b AS (SELECT *, CAST(floor(id / {bs}) AS BIGINT) AS batch_id FROM enc),
     m AS (SELECT *, max(len) OVER (PARTITION BY batch_id) AS batch_len FROM b)
     SELECT batch_id, id, len, batch_len, array_to_string(list_resize(utter, batch_len, 0), ' ') AS utter FROM m"""
 
 
 def length_sorted_sql(bs: int = 20) -> str:
-    return f"""WITH {whole_cte()}, {encode_ctes()},
+    return f"""WITH {units_cte()}, {encode_ctes()},
     r AS (SELECT *, row_number() OVER (ORDER BY len, id) - 1 AS rk FROM enc),
     b AS (SELECT *, CAST(floor(rk / {bs}) AS BIGINT) AS batch_id FROM r),
     m AS (SELECT *, max(len) OVER (PARTITION BY batch_id) AS batch_len FROM b)
@@ -395,7 +411,7 @@ ORACLES.update({
         SELECT label, round(0.5 * sum(exp(logvar - logvar0) + (mu - mu0) ^ 2 / exp(logvar0) - 1 - (logvar - logvar0)), 5) AS kl
         FROM ga JOIN po ON ga.dim = po.dim GROUP BY label""",
     "e15_latent_sample": latent_sql(),
-    "a10_corpus_stats": f"""WITH {whole_cte()}
+    "a10_corpus_stats": f"""WITH {units_cte()}
         SELECT 'n_units' AS metric, count(*) AS value FROM units
         UNION ALL SELECT 'n_tokens', sum(len(tokens)) FROM units
         UNION ALL SELECT 'vocab_size', count(DISTINCT t) FROM (SELECT unnest(tokens) AS t FROM units)
@@ -433,7 +449,7 @@ def greedy_ctes(max_len: int = MAX_DECODE_LEN) -> str:
 
 def beam_sql(trans: str = "trans", extra: str = "", width: int = 5, max_len: int = MAX_DECODE_LEN) -> str:
     """All hypotheses of a source move on together until none is open."""
-    return f"""WITH {whole_cte()}, {TRANS_CTE}{extra},
+    return f"""WITH {units_cte()}, {TRANS_CTE}{extra},
     cand AS (SELECT label, prev, next, ln(p) AS lp FROM {trans}
              QUALIFY row_number() OVER (PARTITION BY label, prev ORDER BY cnt DESC, next) <= {width}),
     st AS (SELECT DISTINCT label, tokens[1] AS start FROM units),
@@ -463,12 +479,12 @@ TOPK_CTES = """,
 
 
 ORACLES.update({
-    "g1_fit_transitions": f"WITH {whole_cte()}, {TRANS_CTE} SELECT label, prev, next, cnt, total, round(p, 9) AS p FROM trans",
-    "g2a_generate_greedy": f"""WITH {whole_cte()}, {greedy_ctes()}
+    "g1_fit_transitions": f"WITH {units_cte()}, {TRANS_CTE} SELECT label, prev, next, cnt, total, round(p, 9) AS p FROM trans",
+    "g2a_generate_greedy": f"""WITH {units_cte()}, {greedy_ctes()}
         SELECT label, start, array_to_string(seq, ' ') AS seq, seq[len(seq)] = '<_EOS>' AS finished FROM gen""",
     "g2b_generate_beam": beam_sql(),
     "g2c_generate_beam_topk": beam_sql("ftrans", TOPK_CTES),
-    "g3_score_text": f"""WITH {whole_cte()}, {TRANS_CTE},
+    "g3_score_text": f"""WITH {units_cte()}, {TRANS_CTE},
         v AS (SELECT count(DISTINCT next) + 1 AS v FROM trans),
         rp AS (SELECT doc_id, sent_no, chunk_no, label, list_concat(['<_GO>'], tokens) AS ip,
                       list_concat(tokens, ['<_EOS>']) AS tg FROM units),
@@ -479,7 +495,7 @@ ORACLES.update({
         FROM rx LEFT JOIN trans tr ON rx.label = tr.label AND rx.prev = tr.prev AND rx.next = tr.next
         LEFT JOIN tt ON rx.label = tt.label AND rx.prev = tt.prev, v
         GROUP BY rx.doc_id, rx.sent_no, rx.chunk_no, rx.label""",
-    "a8_perplexity": f"""WITH {whole_cte().replace('units AS', 'all_units AS', 1)},
+    "a8_perplexity": f"""WITH {units_cte().replace('units AS', 'all_units AS', 1)},
         sp AS (SELECT *, {H('2020', "'split'", 'doc_id')} / 1152921504606846976.0 AS u FROM all_units),
         units AS (SELECT * FROM sp WHERE u < 0.8), held AS (SELECT * FROM sp WHERE u >= 0.8), {TRANS_CTE},
         v AS (SELECT count(DISTINCT next) + 1 AS v FROM trans),
@@ -494,7 +510,7 @@ ORACLES.update({
                GROUP BY rx.doc_id, rx.sent_no, rx.chunk_no)
         SELECT count(*) AS n_utt, sum(n_tok) AS n_tok, round(sum(nll) / sum(n_tok), 6) AS token_nll,
                round(exp(sum(nll) / sum(n_tok)), 6) AS ppl, round(sum(nll) / count(*), 6) AS utt_nll FROM sc""",
-    "e12_collect_generated": f"""WITH {whole_cte()}, {greedy_ctes()},
+    "e12_collect_generated": f"""WITH {units_cte()}, {greedy_ctes()},
         rows AS (SELECT label, tokens[1] AS start, array_to_string(tokens, ' ') AS org FROM units),
         dec AS (SELECT label, start, array_to_string(CASE WHEN list_position(seq, '<_EOS>') > 0
                    THEN seq[1:list_position(seq, '<_EOS>') - 1] ELSE seq END, ' ') AS aug FROM gen),
@@ -512,7 +528,7 @@ ORACLES.update({
 
 def all_candidates_ctes() -> str:
     """nov: the novel candidates (org, aug, method, m, label, text) of all three decoders, every hypothesis of a beam."""
-    return f"""{whole_cte()}, {greedy_ctes()},
+    return f"""{units_cte()}, {greedy_ctes()},
         bm AS ({beam_sql()}), bk AS ({beam_sql("ftrans", TOPK_CTES)}),
         seqs AS (SELECT label, start, 'greedy' AS method, 0 AS m, seq FROM gen
                  UNION ALL SELECT label, start, 'beam', 1, string_split(seq, ' ') FROM bm
@@ -583,7 +599,7 @@ def _pivot_rows_sql() -> str:
 
 
 ORACLES.update({
-    "p12_preprocess": f"""WITH {whole_cte()}, {vocab_ctes()}, {label_vocab_cte('units', 'label')},
+    "p12_preprocess": f"""WITH {units_cte()}, {vocab_ctes()}, {label_vocab_cte('units', 'label')},
         px AS (SELECT doc_id, sent_no, chunk_no, {norm_label('label')} AS label, t.i AS pos,
                       list_concat(tokens, ['<_EOS>'])[t.i + 1] AS token
                FROM units, unnest(range(len(tokens) + 1)) AS t(i)),
