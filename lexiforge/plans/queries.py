@@ -450,3 +450,63 @@ QUERIES.update({
     "p12_preprocess": q_preprocess,
     "u2_union_methods": q_union_methods,
 })
+
+
+# --- word vectors ---------------------------------------------------------------------
+from lexiforge.operators import vectors  # noqa: E402
+
+VECTOR_DIM = 32
+
+
+def _scaled(values):
+    """Vector components in ten thousandths, as text."""
+    return F.array_join(F.transform(values, lambda x: F.floor(x * 10000 + 0.5)), " ")
+
+
+def _with_vectors(spark, sf_dir):
+    units = document_units(spark, sf_dir)
+    return units, vectors.random_index_vectors(units, VECTOR_DIM)
+
+
+def q_word_vectors(spark, sf_dir):
+    _, vecs = _with_vectors(spark, sf_dir)
+    return vecs.select("word", "links", _scaled(F.col("vector")).alias("vector"))
+
+
+def q_unit_vectors(spark, sf_dir):
+    out = vectors.unit_vectors(*_with_vectors(spark, sf_dir), VECTOR_DIM)
+    return out.select("doc_id", "sent_no", F.col("n_tokens").cast("bigint").alias("n_tokens"),
+                      F.col("n_covered").cast("bigint").alias("n_covered"),
+                      _scaled(vectors.mean_vector(F.col("matrix"), VECTOR_DIM)).alias("mean"))
+
+
+def q_word_mixup(spark, sf_dir):
+    """Sentences as [length, dimension] rows, mixed in batches of 20."""
+    out = vectors.mix_sentences(*_with_vectors(spark, sf_dir), VECTOR_DIM)
+    return out.select("batch_id", F.col("i").cast("bigint").alias("i"), "key0", "key1", F.round("lam", 6).alias("lam"),
+                      "label0", "label1", F.posexplode("mixed").alias("pos", "_m")).select(
+        "batch_id", "i", "key0", "key1", "lam", "label0", "label1", F.col("pos").cast("bigint").alias("pos"),
+        _scaled(F.col("_m")).alias("mixed"))
+
+
+def q_vector_coverage(spark, sf_dir):
+    return vectors.vector_coverage(*_with_vectors(spark, sf_dir))
+
+
+QUERIES.update({
+    "e13b_word_vectors": q_word_vectors,
+    "j5_unit_vectors": q_unit_vectors,
+    "e11_word_mixup": q_word_mixup,
+    "a10_vector_coverage": q_vector_coverage,
+})
+
+
+# --- stratified tiers ------------------------------------------------------------------
+def q_stratified_tiers(spark, sf_dir):
+    units = document_units(spark, sf_dir).select("doc_id", "sent_no", "label", F.array_join("tokens", " ").alias("text"))
+    out = batching.stratified_tiers(units, ["doc_id", "sent_no"])
+    return out.select("doc_id", "sent_no", "label", "text", F.col("label_rank").cast("bigint").alias("label_rank"),
+                      "position", F.col("tier").cast("bigint").alias("tier"))
+
+
+QUERIES["l5_stratified_tiers"] = q_stratified_tiers

@@ -326,13 +326,14 @@ def tiers_sql(sizes=(100, 500, 2000, 5000), seed: int = 2020) -> str:
 
 # --- vectors -------------------------------------------------------------------
 
-def pairs_cte(bs: int = 20, rate: float = 0.5, alpha: int = 1, seed: int = 2020) -> str:
+def pairs_cte(bs: int = 20, rate: float = 0.5, alpha: int = 1, seed: int = 2020, table: str = "embeddings",
+              key: str = "vec_id") -> str:
     lam = (f"list_sort([{', '.join(U('h', str(i)) for i in range(2 * alpha - 1))}])[{alpha}]")
-    return f"""rk AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings),
+    return f"""rk AS (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS r FROM {table}),
     bt AS (SELECT *, CAST(floor(r / {bs}) AS BIGINT) AS batch_id, CAST(r % {bs} AS INTEGER) AS pos FROM rk),
     bz AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS bsize FROM bt),
     bk AS (SELECT *, CAST(floor(bsize * {rate}) AS INTEGER) AS k FROM bz),
-    pr AS (SELECT a.batch_id, a.pos AS i, a.vec_id AS key0, b.vec_id AS key1, a.label AS label0, b.label AS label1,
+    pr AS (SELECT a.batch_id, a.pos AS i, a.{key} AS key0, b.{key} AS key1, a.label AS label0, b.label AS label1,
                   a.embedding AS x0, b.embedding AS x1, {H(str(seed), "'mixup'", 'a.batch_id', 'a.pos')} AS h
            FROM bk a JOIN bk b ON a.batch_id = b.batch_id AND b.pos = a.bsize - a.k + a.pos WHERE a.pos < a.k),
     pl AS (SELECT *, {lam} AS lam FROM pr)"""
@@ -613,3 +614,62 @@ ORACLES.update({
         UNION ALL
         SELECT doc_id, sent_no, chunk_no, label, 'pivot_' || pivot_lang AS method, text FROM pv WHERE pivot_lang IS NOT NULL""",
 })
+
+
+# --- word vectors ---------------------------------------------------------------------
+def vector_ctes(dim: int = 32, min_links: int = 10, seed: int = 2020) -> str:
+    sums = ", ".join(f"CAST(sum(CASE WHEN ((h >> {d}) & 1) = 1 THEN c ELSE -c END) AS DOUBLE)" for d in range(dim))
+    return f"""nb AS (SELECT tokens[t.i] AS word, tokens[t.i + 1] AS near FROM units, unnest(range(1, len(tokens))) AS t(i)
+            UNION ALL SELECT tokens[t.i + 1], tokens[t.i] FROM units, unnest(range(1, len(tokens))) AS t(i)),
+    nc AS (SELECT word, near, count(*) AS c FROM nb GROUP BY word, near),
+    nh AS (SELECT word, c, {H(str(seed), "'sign'", 'near', '0')} AS h FROM nc),
+    rw AS (SELECT word, CAST(sum(c) AS BIGINT) AS links, [{sums}] AS raw FROM nh GROUP BY word HAVING sum(c) >= {min_links}),
+    rn AS (SELECT *, sqrt(list_sum(list_transform(raw, lambda x: x * x))) AS norm FROM rw),
+    vec AS (SELECT word, links, list_transform(raw, lambda x: CASE WHEN norm > 0 THEN x / norm ELSE 0.0 END) AS vector FROM rn)"""
+
+
+UNIT_VECTORS = """wx AS (SELECT unit_key, doc_id, sent_no, label, t.i AS pos, tokens[t.i + 1] AS word
+           FROM units, unnest(range(len(tokens))) AS t(i)),
+    mx AS (SELECT wx.unit_key, wx.doc_id, wx.sent_no, wx.label, count(*) AS n_tokens, count(vec.vector) AS n_covered,
+                  list(coalesce(vec.vector, list_transform(range(32), lambda d: 0.0::DOUBLE)) ORDER BY pos) AS embedding
+           FROM wx LEFT JOIN vec ON wx.word = vec.word GROUP BY wx.unit_key, wx.doc_id, wx.sent_no, wx.label)"""
+
+
+def scaled(values: str) -> str:
+    return f"array_to_string(list_transform({values}, lambda x: CAST(floor(x * 10000 + 0.5) AS BIGINT)), ' ')"
+
+
+ORACLES.update({
+    "e13b_word_vectors": f"WITH {units_cte()}, {vector_ctes()} SELECT word, links, {scaled('vector')} AS vector FROM vec",
+    "j5_unit_vectors": f"""WITH {units_cte()}, {vector_ctes()}, {UNIT_VECTORS},
+        mn AS (SELECT *, list_transform(range(32), lambda d: list_sum(list_transform(embedding, lambda v: v[d + 1])) / len(embedding))
+                         AS mean FROM mx)
+        SELECT doc_id, sent_no, n_tokens, n_covered, {scaled('mean')} AS mean FROM mn""",
+    "e11_word_mixup": f"""WITH {units_cte()}, {vector_ctes()}, {UNIT_VECTORS}, {pairs_cte(table='mx', key='unit_key')},
+        px AS (SELECT pl.*, t.p AS pos, list_transform(range(1, 33), lambda d: lam * coalesce(x0[t.p + 1][d], 0.0)
+                      + (1 - lam) * coalesce(x1[t.p + 1][d], 0.0)) AS mixed
+               FROM pl, unnest(range(greatest(len(x0), len(x1)))) AS t(p))
+        SELECT batch_id, i, key0, key1, round(lam, 6) AS lam, label0, label1, pos, {scaled('mixed')} AS mixed FROM px""",
+    "a10_vector_coverage": f"""WITH {units_cte()}, {vector_ctes()},
+        tc AS (SELECT w AS word, count(*) AS cnt FROM (SELECT unnest(tokens) AS w FROM units) GROUP BY w),
+        tv AS (SELECT tc.*, vec.word IS NOT NULL AS has FROM tc LEFT JOIN vec ON tc.word = vec.word)
+        SELECT 'n_words' AS metric, count(*) AS value FROM tv
+        UNION ALL SELECT 'n_words_covered', count_if(has) FROM tv
+        UNION ALL SELECT 'n_tokens', CAST(coalesce(sum(cnt), 0) AS BIGINT) FROM tv
+        UNION ALL SELECT 'n_tokens_covered', CAST(coalesce(sum(cnt) FILTER (has), 0) AS BIGINT) FROM tv""",
+})
+
+
+def stratified_sql(sizes=(100, 500, 2000, 5000), seed: int = 2020) -> str:
+    tier = "CASE " + " ".join(f"WHEN position < {s} THEN {s}" for s in sorted(sizes)) + " END"
+    return f"""WITH {units_cte()},
+    d AS (SELECT doc_id, sent_no, label, array_to_string(tokens, ' ') AS text, {H(str(seed), "'tier'", 'doc_id', 'sent_no')} AS dr
+          FROM units),
+    r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY dr, doc_id, sent_no) - 1 AS label_rank,
+                 count(*) OVER (PARTITION BY label) AS n FROM d),
+    p AS (SELECT *, row_number() OVER (ORDER BY (2 * label_rank + 1)::DOUBLE / (2 * n), dr, doc_id, sent_no) - 1 AS position FROM r)
+    SELECT doc_id, sent_no, label, text, label_rank, position, CAST({tier} AS BIGINT) AS tier FROM p
+    WHERE position < {max(sizes)}"""
+
+
+ORACLES["l5_stratified_tiers"] = stratified_sql()

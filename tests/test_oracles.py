@@ -13,7 +13,8 @@ FAST = ["p3_units", "j6_stop_words", "e13_synonyms", "e1_synonym_replace", "e2_r
         "e8_random_ood", "w2_padded_batches", "l3_train_dev_test", "l5_low_resource_tiers",
         "e10_sentence_mixup", "a5_accuracy", "a7_mixup_loss", "a15_kl_divergence", "g1_fit_transitions",
         "g2a_generate_greedy", "g2b_generate_beam", "g2c_generate_beam_topk", "a8_perplexity", "j6_content_words",
-        "l1_seeded_shuffle", "e12_collect_generated", "e6_pivot_paraphrase"]
+        "l1_seeded_shuffle", "e12_collect_generated", "e6_pivot_paraphrase", "e13b_word_vectors", "j5_unit_vectors", "e11_word_mixup",
+        "a10_vector_coverage", "l4_leading_fraction", "l5_stratified_tiers"]
 
 
 def _norm(v):
