@@ -218,10 +218,12 @@ def q_sentence_mixup(spark, sf_dir):
         F.round("value", 6).alias("value"))
 
 
-def q_beta2_mixup(spark, sf_dir):
-    pairs = mixup.mixup_pairs(_embeddings(spark, sf_dir), batch_size=20, rate=0.3, alpha=2.0)
-    return pairs.select("batch_id", F.col("i").cast("bigint").alias("i"), "key0", "key1",
-                        F.round("lam", 6).alias("lam"))
+def _beta_mixup(rate: float, alpha: float):
+    def q(spark, sf_dir):
+        pairs = mixup.mixup_pairs(_embeddings(spark, sf_dir), batch_size=20, rate=rate, alpha=alpha)
+        return pairs.select("batch_id", F.col("i").cast("bigint").alias("i"), "key0", "key1",
+                            F.round("lam", 6).alias("lam"))
+    return q
 
 
 def _logits(df):
@@ -282,7 +284,9 @@ QUERIES.update({
     "l4_leading_fraction": q_leading,
     "l5_low_resource_tiers": q_tiers,
     "e10_sentence_mixup": q_sentence_mixup,
-    "e9_beta_draw": q_beta2_mixup,
+    "e9_beta_draw": _beta_mixup(0.3, 2.0),
+    "e9_beta_draw_04": _beta_mixup(0.5, 0.4),
+    "e9_beta_draw_15": _beta_mixup(0.5, 1.5),
     "a5_accuracy": q_accuracy,
     "a7_mixup_loss": q_mixup_loss,
     "a14_label_gaussians": q_label_gaussians,

@@ -326,9 +326,17 @@ def tiers_sql(sizes=(100, 500, 2000, 5000), seed: int = 2020) -> str:
 
 # --- vectors -------------------------------------------------------------------
 
-def pairs_cte(bs: int = 20, rate: float = 0.5, alpha: int = 1, seed: int = 2020, table: str = "embeddings",
+def beta_sql(alpha: float) -> str:
+    if float(alpha).is_integer():
+        return f"list_sort([{', '.join(U('h', str(i)) for i in range(2 * int(alpha) - 1))}])[{int(alpha)}]"
+    u, v, u1, u2 = (f"greatest({U('h', str(i))}, pow(2::DOUBLE, -60))" for i in range(4))
+    y = f"((1 + cos(2 * pi() * {v}) * sqrt(1 - pow({u}, 2.0::DOUBLE / (2 * {alpha}::DOUBLE + 1)))) / 2)"
+    return f"(1 / (1 + exp(ln((1 - {y}) / {y}) + (ln({u2}) - ln({u1})) / {alpha}::DOUBLE)))"
+
+
+def pairs_cte(bs: int = 20, rate: float = 0.5, alpha: float = 1, seed: int = 2020, table: str = "embeddings",
               key: str = "vec_id") -> str:
-    lam = (f"list_sort([{', '.join(U('h', str(i)) for i in range(2 * alpha - 1))}])[{alpha}]")
+    lam = beta_sql(alpha)
     return f"""rk AS (SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS r FROM {table}),
     bt AS (SELECT *, CAST(floor(r / {bs}) AS BIGINT) AS batch_id, CAST(r % {bs} AS INTEGER) AS pos FROM rk),
     bz AS (SELECT *, count(*) OVER (PARTITION BY batch_id) AS bsize FROM bt),
@@ -393,6 +401,8 @@ ORACLES.update({
         FROM pl, unnest(range(len(x0))) AS d(j)""",
     "e9_beta_draw": f"""WITH {pairs_cte(20, 0.3, 2)}
         SELECT batch_id, CAST(i AS BIGINT) AS i, key0, key1, round(lam, 6) AS lam FROM pl""",
+    **{name: f"WITH {pairs_cte(20, 0.5, alpha)} SELECT batch_id, i, key0, key1, round(lam, 6) AS lam FROM pl"
+       for name, alpha in (("e9_beta_draw_04", 0.4), ("e9_beta_draw_15", 1.5))},
     "a5_accuracy": f"""WITH {logits_cte()}
         SELECT count(*) AS n, sum(CAST(list_position(logits, list_max(logits)) - 1 = target AS INTEGER)) AS correct,
                round(avg(CAST(list_position(logits, list_max(logits)) - 1 = target AS INTEGER)), 6) AS accuracy,
