@@ -15,9 +15,8 @@ RESERVED_TOKENS = [PAD, EOS, GO, UNK, OOD]
 PAD_ID, EOS_ID, GO_ID, UNK_ID, OOD_ID = 0, 1, 2, 3, 4
 RESERVED_LABELS = [UNK]
 
-# Character class kept by the cleaner.  The reference keeps CJK ideographs,
-# ASCII letters and digits; Latin-script data needs every letter.
-CJK_CLASS = "[^一-龥aA-Za-z0-9]"
+# Character classes replaced by the cleaner: all but CJK ideographs, ASCII letters and digits, or all but letters and digits.
+CJK_CLASS = "[^\\u4e00-\\u9fa5A-Za-z0-9]"
 LETTER_CLASS = "[^\\p{L}0-9]"
 SENTENCE_MARKS = "[.!?\\n]"
 
@@ -52,6 +51,11 @@ def normalise_tokens(text, char_class: str = LETTER_CLASS) -> Column:
     return word_tokens(F.lower(clean_text(text, char_class)))
 
 
+def cjk_tokens(text) -> Column:
+    """P1 + P4 for Chinese text: an ideograph is a token, a run of ASCII letters and digits is one token."""
+    return F.regexp_extract_all(clean_text(text, CJK_CLASS), F.lit("([\\u4e00-\\u9fa5]|[A-Za-z0-9]+)"), F.lit(1))
+
+
 def drop_stop_words(tokens, stop_words) -> Column:
     """P5 on a row: keep tokens not in ``stop_words`` (an array column)."""
     sw = _c(stop_words)
