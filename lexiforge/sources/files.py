@@ -6,11 +6,13 @@ Schemas are fixed by position (label first, text second) and never inferred.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiforge.functions.ids import dense_index
+from lexiforge.session import cut_lineage
 
 LABELLED_SCHEMA = "label string, text string"
 
@@ -29,15 +31,37 @@ def read_labelled_tsv(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.instr(line, "\t") > 0, F.expr("substring(value, instr(value, '\t') + 1)")).alias("text"))
 
 
+def numbered_lines(spark: SparkSession, path: str, keep: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(file, line_no, id, value) of the lines of one or many text files,
+    each file read by as many tasks as it has splits.
+
+    ``line_no`` counts a file's lines from 0, ``id`` all files' lines in path
+    order; ``keep`` (a condition on the line) is applied before counting.  A
+    line's number is its place in its split plus the lines in the splits
+    before; the window runs over one row per split."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value")
+    if keep is not None:
+        lines = lines.where(keep(F.col("value")))
+    # A split's lines have consecutive numbers in their task; written once, as both uses must see the same.
+    placed = cut_lineage(lines.withColumn("_at", F.monotonically_increasing_id()))
+    splits = placed.groupBy("file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    splits = splits.withColumn("_file_off", F.min("_off").over(Window.partitionBy("file")))
+    at = F.col("_at") - F.col("_first") + F.col("_off")
+    return placed.join(splits, ["file", "_block"]).select(
+        "file", (at - F.col("_file_off")).alias("line_no"), at.alias("id"), "value")
+
+
 def read_tagged(spark: SparkSession, path: str, min_fields: int = 3) -> DataFrame:
     """S3: tagged utterances ``domain<TAB>label<TAB>tokens[<TAB>slots...]``;
     blank lines and rows with fewer than ``min_fields`` fields are dropped.
-    ``file`` and ``line_no`` keep the input order (U3)."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = raw.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    parts = lines.where(F.trim("line") != "").select("file", "line_no", F.split("line", "\t").alias("f"))
+    ``file``, ``line_no`` and ``id`` keep the input order (U3)."""
+    lines = numbered_lines(spark, path)
+    parts = lines.where(F.trim("value") != "").select("file", "line_no", "id", F.split("value", "\t").alias("f"))
     return parts.where(F.size("f") >= min_fields).select(
-        "file", "line_no", F.col("f")[0].alias("domain"), F.col("f")[1].alias("label"),
+        "file", "line_no", "id", F.col("f")[0].alias("domain"), F.col("f")[1].alias("label"),
         F.col("f")[2].alias("text"), F.when(F.size("f") >= 4, F.col("f")[3]).alias("slots"))
 
 
@@ -48,12 +72,8 @@ def read_stop_words(spark: SparkSession, path: str, list_name: str = "default")
 
 
 def read_vocab(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """Non-blank stripped lines, id = line order, optional first-N.  A
-    vocabulary file is read whole so that line order is explicit."""
-    raw = spark.read.text(path, wholetext=True)
-    lines = raw.select(F.posexplode(F.split("value", "\n")).alias("line_no", "token"))
-    kept = lines.select("line_no", F.trim("token").alias("token")).where(F.col("token") != "")
-    out = dense_index(kept, [F.asc("line_no")], id_col="id").select("id", "token")
+    """Non-blank stripped lines, id = line order, optional first-N."""
+    out = numbered_lines(spark, path, lambda line: F.trim(line) != "").select("id", F.trim("value").alias("token"))
     return out.where(F.col("id") < limit) if limit is not None else out
 
 
