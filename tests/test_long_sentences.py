@@ -27,7 +27,7 @@ def _swapped(tokens, n, h):
 def test_swaps_equal_a_serial_loop(spark):
     """One token, repeated tokens, one swap, many swaps over the same places, 5,000 tokens."""
     rows = [(1, ["w"], 1), (2, ["a", "b"], 1), (3, ["a", "b", "a"], 50), (4, [f"w{i}" for i in range(10)], 200),
-            (5, [f"w{i}" for i in range(5000)], 500), (6, [f"w{i % 7}" for i in range(300)], 30)]
+            (5, [f"w{i}" for i in range(5000)], 500), (7, ["a", "b", "c"], 1), (6, [f"w{i % 7}" for i in range(300)], 30)]
     df = spark.createDataFrame(rows, "id int, tokens array<string>, n int")
     df = df.withColumn("h", eda.hash64(F.lit(1), F.col("id")))
     out = df.select("*", eda.random_swap(F.col("tokens"), F.col("n"), F.col("h")).alias("out")).collect()
