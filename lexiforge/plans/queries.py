@@ -407,6 +407,7 @@ QUERIES.update({
 
 
 # --- sources, experiment -----------------------------------------------------------
+from lexiforge.plans import augment as augment_plan  # noqa: E402
 from lexiforge.plans import experiment  # noqa: E402
 from lexiforge.sources import files  # noqa: E402
 
@@ -424,8 +425,15 @@ def _eda_train(train):
     return aug.select("label", F.split("text", " ").alias("tokens"))
 
 
+def _generated_train(train):
+    """The subset and what its own transitions decode from each first token."""
+    out = augment_plan.augment(cut_lineage(train), "generate")
+    return out.select("label", F.split("text", " ").alias("tokens"))
+
+
 def q_gain(spark, sf_dir):
-    return experiment.gain_table(document_units(spark, sf_dir), _eda_train, sizes=(100, 500, 2000))
+    methods = {"eda": _eda_train, "generate": _generated_train}
+    return experiment.gain_table(document_units(spark, sf_dir), methods, sizes=(100, 500, 2000, 5000))
 
 
 QUERIES.update({
@@ -435,9 +443,6 @@ QUERIES.update({
 
 
 # --- preprocessing, union of methods ------------------------------------------------
-from lexiforge.plans import augment as augment_plan  # noqa: E402
-
-
 def q_preprocess(spark, sf_dir):
     units = document_units(spark, sf_dir)
     voc = vocab_ops.build_vocab(units)
