@@ -111,6 +111,24 @@ def slot_multi_hot(slot_tags, slot_ids_map, n_slots: int) -> Column:
                        lambda k: F.when(F.array_contains(ids, k), 1).otherwise(0))
 
 
+def slot_names(slot_tags) -> Column:
+    """The distinct names after 'b-' in an array of lower-cased tags."""
+    begins = F.filter(_c(slot_tags), lambda t: t.contains("b-"))
+    return F.array_distinct(F.transform(begins, lambda t: F.element_at(F.split(t, "b-"), 2)))
+
+
+def shape_tags(tokens) -> Column:
+    """Slot tags of tokens by their shape: 'b-<kind>' where a run of a kind
+    starts, 'i-<kind>' where it goes on, else 'o'.  Kinds: number (digits only),
+    code (digits among others), initial (one character)."""
+    kind = lambda w: (F.when(w.rlike("^[0-9]+$"), "number").when(w.rlike("[0-9]"), "code")
+                      .when(F.length(w) == 1, "initial").otherwise(""))
+    kinds = F.transform(_c(tokens), kind)
+    tag = lambda k, before: F.when(k == "", "o").when(k == before, F.concat(F.lit("i-"), k)).otherwise(
+        F.concat(F.lit("b-"), k))
+    return F.zip_with(kinds, F.slice(F.concat(F.array(F.lit("")), kinds), 1, F.size(kinds)), tag)
+
+
 def remove_spaces(text) -> Column:
     """P13."""
     return F.replace(_c(text), F.lit(" "), F.lit(""))

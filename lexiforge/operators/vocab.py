@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.ids import dense_index
-from lexiforge.functions.text import EOS_ID, GO_ID, RESERVED_LABELS, RESERVED_TOKENS, UNK_ID, normalise_label
+from lexiforge.functions.text import EOS_ID, GO_ID, RESERVED_LABELS, RESERVED_TOKENS, UNK_ID, normalise_label, slot_names
+from lexiforge.session import cut_lineage
 
 
 def token_counts(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -116,3 +117,43 @@ def preprocess(units: DataFrame, vocab: DataFrame, label_vocab: DataFrame) -> Da
                                                 F.array(F.lit(EOS_ID))).alias("utt")))
     return (rebuilt.join(label_vocab.select("label", F.col("id").alias("lid")), "label", "left")
             .select(*keys, F.coalesce("lid", F.lit(-1)).cast("int").alias("intent"), "utt"))
+
+
+def build_slot_vocab(units: DataFrame, tags_col: str = "slot_tags") -> DataFrame:
+    """(id, slot, cnt): slot names by the number of rows that hold them, ties by
+    name, ids from 0."""
+    counts = (units.select(F.explode(slot_names(F.transform(tags_col, F.lower))).alias("slot"))
+              .groupBy("slot").agg(F.count(F.lit(1)).alias("cnt")))
+    return dense_index(counts, [F.desc("cnt"), F.asc("slot")], id_col="id").select("id", "slot", "cnt")
+
+
+def preprocess_slots(units: DataFrame, vocab: DataFrame, label_vocab: DataFrame, slot_vocab: DataFrame,
+                     tags_col: str = "slot_tags") -> DataFrame:
+    """P12 with P11: ``preprocess`` of units that carry slot tags, with ``slots``,
+    a 0/1 vector over the slot vocabulary.
+
+    Slot names travel with the tokens: one join with both vocabularies, one
+    regroup.  Names that are not in the vocabulary are left out; rows without
+    tags (null too) have zeros only; an empty vocabulary gives empty vectors."""
+    keys = ["doc_id", "sent_no", "chunk_no"]
+    # Written once: its size is the length of every vector.
+    slot_vocab = cut_lineage(slot_vocab)
+    n_slots = (slot_vocab.agg(F.max("id")).first()[0] if not slot_vocab.isEmpty() else -1) + 1
+    entry = lambda kind, pos, word: F.struct(F.lit(kind).alias("kind"), pos.alias("pos"), word.alias("word"))
+    words = F.transform(F.coalesce("tokens", F.array().cast("array<string>")), lambda t, i: entry("token", i, t))
+    names = F.transform(slot_names(F.transform(tags_col, F.lower)), lambda s: entry("slot", F.lit(0), s))
+    entries = F.concat(words, F.coalesce(names, F.slice(words, 1, 0)))
+    ex = units.select(*keys, normalise_label(F.col("label")).alias("label"), F.explode_outer(entries).alias("_e")).select(
+        *keys, "label", "_e.*")
+    ids = (vocab.select(F.lit("token").alias("kind"), F.col("token").alias("word"), F.col("id").cast("int").alias("tid"))
+           .unionByName(slot_vocab.select(F.lit("slot").alias("kind"), F.col("slot").alias("word"), F.col("id").cast("int").alias("tid"))))
+    found = ex.join(ids, ["kind", "word"], "left")
+    token = F.when(F.col("kind") == "token", F.struct("pos", F.coalesce("tid", F.lit(UNK_ID)).alias("tid")))
+    rebuilt = (found.groupBy(*keys, "label")
+               .agg(F.sort_array(F.collect_list(token)).alias("_u"),
+                    F.collect_set(F.when(F.col("kind") == "slot", F.col("tid"))).alias("_s"))
+               .select(*keys, "label", F.concat(F.transform("_u", lambda s: s["tid"]), F.array(F.lit(EOS_ID))).alias("utt"), "_s"))
+    places = F.sequence(F.lit(0), F.lit(n_slots - 1)) if n_slots else F.array().cast("array<int>")
+    hot = F.transform(places, lambda k: F.array_contains("_s", k).cast("int"))
+    return (rebuilt.join(label_vocab.select("label", F.col("id").alias("lid")), "label", "left")
+            .select(*keys, F.coalesce("lid", F.lit(-1)).cast("int").alias("intent"), "utt", hot.alias("slots")))

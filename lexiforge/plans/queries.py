@@ -519,3 +519,59 @@ def q_stratified_tiers(spark, sf_dir):
 
 
 QUERIES["l5_stratified_tiers"] = q_stratified_tiers
+
+
+# --- slots --------------------------------------------------------------------------------
+from lexiforge.functions.text import shape_tags  # noqa: E402
+
+
+def q_preprocess_slots(spark, sf_dir):
+    """P12 with P11: slots are tags of the tokens' shapes."""
+    units = document_units(spark, sf_dir).withColumn("slot_tags", shape_tags("tokens"))
+    out = vocab_ops.preprocess_slots(units, vocab_ops.build_vocab(units), vocab_ops.build_label_vocab(units),
+                                     vocab_ops.build_slot_vocab(units))
+    return out.select("doc_id", "sent_no", "chunk_no", "intent", F.array_join("utt", " ").alias("utt"),
+                      F.array_join("slots", " ").alias("slots"))
+
+
+QUERIES["p12_preprocess_slots"] = q_preprocess_slots
+
+
+# --- streams ------------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from lexiforge.session import ensure_checkpoint_dir  # noqa: E402
+from lexiforge.streaming import augment_stream as streams  # noqa: E402
+
+
+def _streamed(spark, sf_dir, augment) -> str:
+    """Streams the documents through ``augment`` into a new folder of the shared folder; returns its path."""
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # A pattern, as a stream's plain path must be a folder and the table may be one file.
+    docs = streams.document_stream(spark, f"{sf_dir}/documents.parque[t]")
+    streams.run_to_parquet(docs, augment, f"{base}/rows", f"{base}/progress").awaitTermination()
+    return base
+
+
+def q_stream_eda(spark, sf_dir):
+    """E5 on a stream; lexicon and stop words are static tables."""
+    units = cut_lineage(document_units(spark, sf_dir))
+    lex, stops = cut_lineage(lexicon.context_synonyms(units)), cut_lineage(lexicon.frequent_words(units, 50))
+    base = _streamed(spark, sf_dir, lambda u: eda.eda(lexicon.attach_lexicon(u, lex, stops), num_aug=9))
+    return spark.read.parquet(f"{base}/rows").select(
+        "doc_id", "sent_no", "chunk_no", "label", F.col("aug_no").cast("bigint").alias("aug_no"), "method", "text")
+
+
+def q_stream_texts(spark, sf_dir):
+    """X1 + A11: the distinct texts that E4 makes of the stream, by state."""
+    base = _streamed(spark, sf_dir, lambda u: eda.single_technique(u, "rd", 3, 0.1))
+    once = streams.distinct_stream(spark, f"{base}/rows")
+    (once.writeStream.format("parquet").option("path", f"{base}/once").option("checkpointLocation", f"{base}/progress-once")
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema("label string, text string").parquet(f"{base}/once")
+
+
+QUERIES.update({
+    "x1_stream_eda": q_stream_eda,
+    "x1_stream_texts": q_stream_texts,
+})

@@ -683,3 +683,19 @@ def stratified_sql(sizes=(100, 500, 2000, 5000), seed: int = 2020) -> str:
 
 
 ORACLES["l5_stratified_tiers"] = stratified_sql()
+
+
+# --- slots and streams -----------------------------------------------------------------
+ORACLES.update({
+    "p12_preprocess_slots": f"""WITH base AS ({ORACLES["p12_preprocess"]}), {units_cte()},
+        sk AS (SELECT doc_id, sent_no, chunk_no, unnest(list_distinct(list_filter(list_transform(tokens, lambda w:
+                      CASE WHEN regexp_full_match(w, '[0-9]+') THEN 'number' WHEN regexp_matches(w, '[0-9]') THEN 'code'
+                           WHEN length(w) = 1 THEN 'initial' END), lambda k: k IS NOT NULL))) AS slot FROM units),
+        sv AS (SELECT slot, row_number() OVER (ORDER BY count(*) DESC, slot) - 1 AS id FROM sk GROUP BY slot),
+        sr AS (SELECT doc_id, sent_no, chunk_no, list(id) AS ids FROM sk JOIN sv USING (slot) GROUP BY ALL)
+        SELECT base.*, array_to_string(list_transform(range((SELECT count(*) FROM sv)), lambda k:
+                   CASE WHEN list_contains(coalesce(ids, []), k) THEN 1 ELSE 0 END), ' ') AS slots
+        FROM base LEFT JOIN sr USING (doc_id, sent_no, chunk_no)""",
+    "x1_stream_eda": ORACLES["e5_eda"],
+    "x1_stream_texts": f"SELECT DISTINCT label, text FROM ({ORACLES['e4_random_delete']})",
+})
