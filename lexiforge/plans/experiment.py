@@ -3,7 +3,7 @@
 Split first (L3), so augmented variants stay on the side of their source;
 training subsets are nested, stratified low-resource tiers (L5) of the training
 part; the test part is never augmented and its words are not learned.  Features
-are hashed term frequencies with IDF (M1) and the classifier is a multinomial
+are term frequencies over the training subset's vocabulary with IDF (M1) and the classifier is a multinomial
 logistic regression (M2).  Accuracy and cross-entropy come from the probability
 vectors (A5, A6).
 
@@ -19,7 +19,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
@@ -34,15 +34,19 @@ from lexiforge.session import cut_lineage
 KEYS = ["doc_id", "sent_no", "chunk_no"]
 # Smallest probability whose logarithm is taken.
 SMALLEST_P = 1e-12
+# Training rows of a task: a fit of a small subset is many passes of few rows.
+ROWS_PER_TASK = 10_000
 
 #: (label, tokens) rows of a training subset from its units, the originals included.
 Augmenter = Callable[[DataFrame], DataFrame]
 
 
 def featurise(num_features: int = 1 << 18) -> list:
-    """M1 stages: tokens -> tf -> tf-idf, label -> index."""
+    """M1 stages: tokens -> tf -> tf-idf, label -> index.  The vocabulary is
+    the rows', at most the ``num_features`` most frequent words; rows without
+    a single word cannot be fitted."""
     return [StringIndexer(inputCol="label", outputCol="target_d", handleInvalid="keep"),
-            HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
+            CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=num_features),
             IDF(inputCol="tf", outputCol="features")]
 
 
@@ -137,10 +141,11 @@ def gain_table(units: DataFrame, methods: dict[str, Augmenter], sizes=(100, 500,
         if mixup:
             seen["mixup"] = (cut_lineage(mixed_rows(train, features, seed=seed)), features)
         for name, (rows, fitted) in seen.items():
-            n_train = rows.agg(F.count(F.lit(1)).alias("n_train"))
-            results.append(fit_eval(rows, fitted, test).crossJoin(n_train)
-                           .withColumn("size", F.lit(size)).withColumn("method", F.lit(name)))
+            n_train = rows.count()
+            gathered = rows.coalesce(1 + n_train // ROWS_PER_TASK)
+            results.append(fit_eval(gathered, fitted, test).select(
+                F.lit(size).alias("size"), F.lit(name).alias("method"), F.lit(n_train).cast("bigint").alias("n_train"), "*"))
     # One row for each size and method: written once, as each use would score the test part again.
-    table = cut_lineage(reduce(DataFrame.unionByName, results).select("size", "method", "n_train", "n", "accuracy", "loss"))
+    table = cut_lineage(reduce(DataFrame.unionByName, results).drop("correct"))
     base = table.where("method = 'none'").select("size", F.col("accuracy").alias("base_accuracy"))
     return table.join(base, "size").withColumn("gain", F.col("accuracy") - F.col("base_accuracy"))

@@ -4,7 +4,6 @@ import math
 
 import pytest
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import HashingTF
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
@@ -26,8 +25,9 @@ def _features(train):
 
 def test_features_are_tf_idf(spark):
     train = spark.createDataFrame(ROWS, SCHEMA)
-    got = {r.doc_id: r.features for r in _features(train).transform(train).collect()}
-    index = HashingTF(numFeatures=FEATURES).indexOf
+    fitted = _features(train)
+    got = {r.doc_id: r.features for r in fitted.transform(train).collect()}
+    index = fitted.stages[1].vocabulary.index
     for doc_id, _, _, _, tokens in ROWS:
         for t in set(tokens):
             df = sum(t in row[4] for row in ROWS)
@@ -36,8 +36,8 @@ def test_features_are_tf_idf(spark):
 
 
 def test_weights_are_soft_labels(spark):
-    # Rows without a word differ by their labels alone: their probabilities are the shares of the weights.
-    train = spark.createDataFrame([("x", []), ("y", [])], "label string, tokens array<string>")
+    # Rows with the same words differ by their labels alone: their probabilities are the shares of the weights.
+    train = spark.createDataFrame([("x", ["w"]), ("y", ["w"])], "label string, tokens array<string>")
     fitted = _features(train)
     rows = experiment.weighted_rows(train, fitted).withColumn("weight", F.when(F.col("target_d") == 0, 0.7).otherwise(0.3))
     out = experiment.fit_eval(rows, fitted, train).first()
