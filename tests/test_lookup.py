@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lexiforge.functions.lookup import look_up
-from lexiforge.operators import lexicon, noise, pivot, vocab
+from lexiforge.operators import lexicon, metrics, noise, pivot, vocab
 from lexiforge.sources.corpus import split_units
 
 
@@ -56,3 +56,13 @@ def test_buckets_follow_the_table(spark):
     assert table.count() <= 2 * n and table.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2
     draws = spark.createDataFrame([(0.0, n), (0.5, n), (1 - 1e-9, n)], "u2 double, total bigint")
     assert sorted(r.new_tid for r in noise.draw_tokens(draws, probs).collect()) == [0, n // 2, n - 1]
+
+
+def test_corpus_is_counted_in_one_pass(spark):
+    """F32: units, tokens, words and labels, nulls among them, from one reading of the units."""
+    units = spark.createDataFrame([("x", ["a", "b", "a", None]), (None, ["b"]), ("x", []), ("y", None)], "label string, tokens array<string>")
+    stats = metrics.corpus_stats(units)
+    assert plan(stats).count("LogicalRDD") == 1
+    assert {r.metric: r.value for r in stats.collect()} == {"n_units": 4, "n_tokens": 5, "vocab_size": 3, "n_labels": 3}
+    assert {r.metric: r.value for r in metrics.corpus_stats(units.where("false")).collect()} == {
+        "n_units": 0, "n_tokens": None, "vocab_size": 0, "n_labels": 0}
