@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm import words as W
 from lexiforge.llm.components import components
-from lexiforge.llm.store import keep, thin_out
+from lexiforge.llm.store import gathered, keep, thin_out
 from lexiforge.llm.substrings import key_groups
 
 GRAM = 5
@@ -193,26 +193,30 @@ def proposed_links(classes: DataFrame, threshold: Fraction = THRESHOLD, recall:
     t = float(threshold)
     agree = max(1, math.floor(size * t - 5 * math.sqrt(size * t * (1 - t))))
     rows = keep(classes.mapInArrow(_split(t, size, runs_for(recall, threshold)), "node long, cid long").distinct())
-    out = None
+    out, n, n_classes = None, rows.count(), classes.count()
     while True:
+        rows = gathered(rows, n)
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("members"), F.min("cid").alias("pivot")).where("members > 1")
         # Sketches travel at every level: only those of classes that share a node with another still do.
-        rows = keep(rows.join(sizes.select("node"), "node"))
-        classes = keep(classes.join(rows.select("cid").distinct(), "cid", "left_semi"))
-        few = rows.join(sizes.where(F.col("members") <= small).select("node"), "node").join(classes, "cid")
-        found = few.select("node", "cid", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(_propose(size, agree), "u long, v long")
+        rows = keep(gathered(rows.join(sizes.select("node"), "node"), n))
+        classes = keep(gathered(classes.join(rows.select("cid").distinct(), "cid", "left_semi"), n_classes))
+        few = gathered(rows.join(sizes.where(F.col("members") <= small).select("node"), "node").join(classes, "cid"), n)
+        found = gathered(few.select("node", "cid", "sketch").repartition("node"), n).sortWithinPartitions("node")
+        found = found.mapInArrow(_propose(size, agree), "u long, v long")
         many = rows.join(sizes.where(F.col("members") > small).select("node", "pivot"), "node")
-        many = keep(many)
+        many = keep(gathered(many, n))
         out = found if out is None else out.unionByName(found)
-        if many.isEmpty():
+        n = many.count()
+        if not n:
             return out
-        classes = keep(classes.join(many.select("cid").distinct(), "cid", "left_semi"))
+        classes = keep(gathered(classes.join(many.select("cid").distinct(), "cid", "left_semi"), n_classes))
         pivots = classes.select(F.col("cid").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
-        compared = many.join(classes, "cid").join(pivots, "pivot").select("node", "cid", "pivot", "sketch", "pivot_sketch")
+        compared = gathered(many.join(classes, "cid").join(pivots, "pivot").select("node", "cid", "pivot", "sketch", "pivot_sketch"), n)
         compared = keep(compared.mapInArrow(_agreement(size), "node long, cid long, pivot long, agree int"))
         out = out.unionByName(compared.where((F.col("agree") >= agree) & (F.col("cid") != F.col("pivot"))).select(F.col("cid").alias("u"), F.col("pivot").alias("v")))
-        rest = compared.where(F.col("agree") < agree).select("node", "cid").join(classes, "cid").select("node", "cid", "sketch")
+        rest = gathered(compared.where(F.col("agree") < agree).select("node", "cid").join(classes, "cid").select("node", "cid", "sketch"), n)
         rows = keep(rest.mapInArrow(_split(t, size, None), "node long, cid long").distinct())
+        n = rows.count()
 
 
 def similar_pairs(sets: list[np.ndarray], threshold: Fraction = THRESHOLD) -> np.ndarray:

@@ -443,3 +443,43 @@ def test_banded_alignment(seed):
     for diagonal in (-3, 0, 17, 50):
         assert licences.align(a, b, diagonal, 4)[0] == _common(a.tolist(), b.tolist(), diagonal, 4)
 
+
+
+def test_a_kept_step_leaves_no_shuffle_files(spark):
+    import time
+
+    from lexiforge.llm.store import END_SHUFFLES, keep
+
+    before = spark.conf.get(END_SHUFFLES, None)
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    old = shuffles()
+    kept = keep(spark.range(1000).repartition(7, "id"))
+    for _ in range(50):
+        if shuffles() <= old:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= old and kept.count() == 1000
+    assert spark.conf.get(END_SHUFFLES, None) == before
+
+
+def test_few_links_are_joined_by_few_tasks(spark, monkeypatch):
+    from lexiforge.llm import components as C
+
+    kept = []
+    monkeypatch.setattr(C, "keep", lambda df, keep=C.keep: kept.append(keep(df)) or kept[-1])
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, ("40", "false")):
+            spark.conf.set(n, v)
+        got = C.components(spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 60), (60, 40), (7, None)], "u long, v long"))
+        assert {r.id: r.root for r in got.collect()} == {**{i: 0 for i in range(21)}, 40: 40, 50: 40, 60: 40}
+        assert len(kept) > 2 and all(df.rdd.getNumPartitions() <= 8 for df in kept[1:])
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
