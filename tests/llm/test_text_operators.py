@@ -445,6 +445,27 @@ def test_banded_alignment(seed):
 
 
 
+@pytest.mark.parametrize("level", [1, 2, 3])
+def test_packed_grams_are_small_and_whole(level):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(level)
+    vocabulary = rng.integers(0, 2**64, 2000, np.uint64)
+    words = list(vocabulary[rng.integers(0, 2000, (level, 50_000))])
+    counts = np.stack([np.ones(50_000, np.int64), rng.integers(0, 2, 50_000) * 2**40])
+    rows = ngram_lm._gram_rows(words, counts, 4)
+    got = [ngram_lm._unpacked(pa.Table.from_batches([ngram_lm._batch([r])]), level, 2) for r in rows]
+    want = Counter()
+    for *w, a, b in zip(*(x.tolist() for x in words), *counts.tolist()):
+        want[(*w, 0)] += a
+        want[(*w, 1)] += b
+    found = {(*w, k): c for w_, c_ in got for *w, a, b in zip(*(x.tolist() for x in w_), *c_.tolist()) for k, c in ((0, a), (1, b))}
+    assert found == dict(want)
+    ones = ngram_lm._gram_rows(words, counts[:1], 4)
+    assert sum(len(x) for r in ones for x in r if isinstance(x, bytes)) < (3 * level + 1) * sum(r[1] for r in ones) + 8 * 4 * 2000
+    assert [x.itemsize for x in (ngram_lm._narrow(np.array([255, 1]), 9**9), ngram_lm._narrow(np.array([2**40]), 2**32 - 1))] == [1, 4]
+
+
 def test_a_kept_step_leaves_no_shuffle_files(spark):
     import time
 
