@@ -13,6 +13,9 @@ repeat an id are documents of their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,7 +33,7 @@ END_ID = 0
 BIN = 8
 #: Share of the fitted repeats that is laid out; the rest stays for best fit, which needs short pieces for its gaps.
 FITTED = 0.9
-#: Word pieces in each of the two generations whose ids a worker remembers.
+#: Words and pieces in each of the two generations whose ids a worker remembers.
 CACHE_ENTRIES = 250_000
 #: Rows of one length are numbered in groups of about this many.
 GROUP_ROWS = 1024
@@ -46,10 +49,31 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _spelling(path: str) -> dict[int, str] | None:
+    """Byte -> character of the byte-level family, if the tokenizer file does no more to a piece than spell its bytes so and merge
+    them; else None."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec.get("pre_tokenizer") or {}
+    if spec["model"]["type"] != "BPE" or spec["model"].get("dropout") or spec.get("normalizer"):
+        return None
+    if split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    return byte_characters()
+
+
+def byte_characters() -> dict[int, str]:
+    """The byte-level family's character for each byte: visible ones stand for themselves, the others follow U+0100."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes.  The tokenizer merges inside the pieces of its splitting rule
-    only, so the ids of a text are those of its pieces, which repeat a great deal and are remembered: when the young
-    generation is full it becomes the old one, and pieces that are still in use move over.  The file's added tokens cut a
+    only, and no piece goes on from a visible character to white space; so the ids of a text are those of its words with the space
+    before them and of the white space between, which repeat a great deal and are remembered: when the young
+    generation is full it becomes the old one, and words that are still in use move over.  The file's added tokens cut a
     text before the rule does; each is a piece of its own, with its own id if ``added``, else spelt like any text."""
 
     def __init__(self, path: str, added: bool = False):
@@ -65,6 +89,10 @@ class Encoder:
         names = sorted((regex.escape(t.content) for t in own), key=len, reverse=True)
         self.between = regex.compile(f"({'|'.join(names)})").split if names else lambda text: [text]
         self.rule = regex.compile(PATTERN).findall
+        # the rule's own white space, for the faster cut into words
+        space = re.escape("".join(regex.findall(r"\s", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x11000)])))))
+        self.words = re.compile(f" ?[^{space}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+        self.spelling, self.model = _spelling(path), self.tokenizer.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -81,22 +109,53 @@ class Encoder:
             return self.rule(text)
         return [p for k, part in enumerate(parts) for p in ([part] if k % 2 else self.rule(part))]
 
-    def encode(self, text: str) -> bytes:
-        parts = self.pieces(text)
-        distinct = set(parts)
-        if len(self.young) + len(distinct) > CACHE_ENTRIES:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        new = []
-        for p in distinct:
-            if p not in young:
-                if p in old:
-                    young[p] = old[p]
+    def _whole(self, piece: str) -> bytes:
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _merged(self, spelled: str) -> bytes:
+        found = self.model.tokenize(spelled)
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.young.get(piece)
+        if ids is None:
+            ids = self.old.get(piece)
+            if ids is None:
+                if self.spelling is None:
+                    ids = self._whole(piece)
                 else:
-                    new.append(p)
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False) if new else ()):
-            young[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(young.__getitem__, parts))
+                    ids = self._merged(piece.encode().decode("latin-1").translate(self.spelling))
+            self.young[piece] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word that the young generation does not know."""
+        ids = self.old.get(word)
+        if ids is None:
+            if self.spelling and word.isascii() and word.lstrip(" ").isalpha():  # one piece, whose letters stand for themselves
+                ids = self._merged(word.replace(" ", self.spelling[0x20]))
+            else:
+                parts = self.rule(word)
+                ids = b"".join(map(self._piece, parts)) if len(parts) > 1 else self._piece(word)
+        self.young[word] = ids
+        return ids
+
+    def _plain(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
+        words = self.words(text)
+        ids = list(map(self.young.get, words))
+        if None in ids:
+            if len(self.young) > CACHE_ENTRIES:
+                self.young, self.old = {}, self.young
+            known = self.young.get
+            ids = [known(w) or self._word(w) if x is None else x for w, x in zip(words, ids)]
+        return b"".join(ids)
+
+    def encode(self, text: str) -> bytes:
+        parts = self.between(text)
+        if len(parts) == 1:
+            return self._plain(text)
+        return b"".join([self._whole(part) if k % 2 else self._plain(part) for k, part in enumerate(parts)])
 
 
 def cut(n: int, size: int = SIZE) -> Iterator[tuple[int, int, int]]:

@@ -445,6 +445,21 @@ def test_banded_alignment(seed):
 
 
 
+def test_words_of_plain_text_do_not_go_through_the_whole_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    t.encode_special_tokens = True
+    rng = np.random.default_rng(3)
+    parts = ["a", "Bc", " ", "  ", "\n", "\t", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", "　", "é", "日", "'s", "'", "7", "½", "!", "\x00", "_"]
+    texts = ["".join(rng.choice(parts, 15)) for _ in range(2000)]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in texts]
+    encoder = packing.Encoder(packing.default_tokenizer())
+    monkeypatch.setattr(encoder, "tokenizer", None)
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 50)
+    assert [encoder.encode(x) for x in texts] == want
+
+
 @pytest.mark.parametrize("level", [1, 2, 3])
 def test_packed_grams_are_small_and_whole(level):
     import pyarrow as pa
