@@ -229,7 +229,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     usual = packed(False).repartition("key").sortWithinPartitions("key").mapInArrow(_match(window), "id long, digest long, first int, n int")
     ranges = usual
     if not spans.where("is_hot").isEmpty():
-        windows = packed(True)
+        windows = keep(packed(True))  # read twice
         low = windows.groupBy("key", "packed").agg(F.min("id").alias("low"))
         common = windows.join(low, ["key", "packed"]).where("low < id").select("id", "digest", "first", F.lit(1).alias("n"))
         ranges = usual.unionByName(common)

@@ -519,3 +519,8 @@ def test_few_links_are_joined_by_few_tasks(spark, monkeypatch):
     finally:
         for n, v in zip(names, before):
             spark.conf.set(n, v)
+
+
+def test_windows_of_a_common_passage_are_made_once(docs):
+    steps = [substrings.remove_repeats(docs, hot=hot)._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for hot in (2, 10**9)]
+    assert steps[0] == steps[1] > 0
