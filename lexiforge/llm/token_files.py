@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiforge.llm.packing import byte_characters
+
 MAGIC = b"LXTOK001"
 BLOCK = 1024
 SEGMENT_IDS = 1 << 20
@@ -46,6 +48,9 @@ BATCH_BYTES = 4_000_000
 MAX_TASKS = 20_000
 
 _PRINTABLE = re.compile(rb"[!-~]+").fullmatch
+#: The same with the letters U+00C0 to U+00FF, which NFC and NFKC leave as they are.
+_LATIN = re.compile(rb"(?:[!-~]|\xC3[\x80-\xBF])+").fullmatch
+_SPELLING = byte_characters()
 _BLOCK_HEAD = struct.Struct("<QBBH")  # minimum, width, width of high bits, exceptions
 _SEGMENT_HEAD = struct.Struct("<qqqq")
 _ENTRY = struct.Struct("<qqqq")
@@ -276,7 +281,8 @@ def plain_rule(spec: dict):
 class Encoder:
     """Ids of texts, as the tokenizer gives them without special tokens of its own.  Where the file allows it, texts are cut at
     ASCII white space and the ids of words are remembered in two generations; else whole texts are encoded.  Words of printable
-    ASCII go straight to the tokenizer's model, piece by piece of the file's splitting rule, all others through the whole tokenizer."""
+    ASCII (and of the letters U+00C0 to U+00FF, if the file's steps but compose and lower those) go straight to the tokenizer's model,
+    piece by piece of the file's splitting rule, all others through the whole tokenizer."""
 
     _known: dict[str, "Encoder"] = {}
 
@@ -287,6 +293,8 @@ class Encoder:
             spec = json.load(f)
         self.by_word = words_stand_alone(spec)
         self.rule = plain_rule(spec)
+        normal = {s["type"] for s in steps(spec, "normalizer", "normalizers")}
+        self.is_plain = _LATIN if normal <= {"NFC", "NFKC", "Lowercase", "Replace"} else _PRINTABLE
         added = b"|".join(re.escape(t["content"].encode()) for t in spec.get("added_tokens", []))
         self.holds_added = re.compile(added or rb"(?!)", re.IGNORECASE).search
         # letters alone are one piece of the rule (a piece is a word of its own, so words and pieces share what is remembered)
@@ -308,17 +316,16 @@ class Encoder:
     def _piece(self, piece: bytes) -> bytes:
         ids = self.young.get(piece) or self.old.get(piece)
         if ids is None:
-            found = self.model.tokenize(piece.decode())
+            found = self.model.tokenize(piece.decode() if piece.isascii() else piece.decode("latin-1").translate(_SPELLING))
             ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
             if len(piece) <= CACHE_BYTES and not self.holds_added(piece):
                 self.young[piece] = ids
         return ids
 
     def _plain(self, word: bytes) -> bytes:
-        word = word.lower()
         if word.isalpha() and self.one_piece:
-            return self._piece(word)
-        return b"".join([self._piece(p.encode()) for p in self.rule.findall(word.decode())])
+            return self._piece(word.lower())
+        return b"".join([self._piece(p.encode()) for p in self.rule.findall(word.decode().lower())])
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """The ids of words that the young generation does not know; those too long to remember are only returned."""
@@ -327,7 +334,7 @@ class Encoder:
         out, other = {}, []
         for w in words:
             ids = self.old.get(w)
-            if ids is None and self.rule and (w.isalpha() or _PRINTABLE(w)) and not self.holds_added(w):
+            if ids is None and self.rule and (w.isalpha() or self.is_plain(w)) and not self.holds_added(w):
                 ids = self._plain(w)
             if ids is None:
                 other.append(w)

@@ -220,3 +220,17 @@ def test_encoder_is_the_tokenizer():
         assert encoder.encode(t.encode()) == np.array(ids[:-1], "<u4").tobytes()
     other = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))  # its words take the space before them
     assert not other.by_word and other.encode(b"a  b") == np.array(other.tokenizer.encode("a  b").ids, "<u4").tobytes()
+
+
+def test_words_of_latin_letters_do_not_go_through_the_whole_tokenizer(monkeypatch):
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(token_files.default_tokenizer())
+    rng = np.random.default_rng(4)
+    letters = ["a", "Z", "'s", "7", "!", "<|", *map(chr, range(0xC0, 0x100))]
+    words = [chr(x) for x in range(0xC0, 0x100)] + ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(3000)]
+    want = [np.array(whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    encoder = token_files.Encoder(token_files.default_tokenizer())
+    monkeypatch.setattr(encoder, "tokenizer", None)
+    assert [encoder.encode(w.encode()) for w in words] == want
+    assert encoder.encode(" ".join(words).encode()) == b"".join(want)
