@@ -21,6 +21,7 @@ Other columns of ``docs`` are not read, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
@@ -296,6 +297,8 @@ class Encoder:
         normal = {s["type"] for s in steps(spec, "normalizer", "normalizers")}
         self.is_plain = _LATIN if normal <= {"NFC", "NFKC", "Lowercase", "Replace"} else _PRINTABLE
         added = b"|".join(re.escape(t["content"].encode()) for t in spec.get("added_tokens", []))
+        # else a word of letters holds none
+        self.added_letters = any(t["content"].encode().isalpha() for t in spec.get("added_tokens", []))
         self.holds_added = re.compile(added or rb"(?!)", re.IGNORECASE).search
         # letters alone are one piece of the rule (a piece is a word of its own, so words and pieces share what is remembered)
         self.one_piece = self.rule is not None and all(self.rule.findall(x) == [x] for x in ("a", "word", "st", "llvemred"))
@@ -318,7 +321,7 @@ class Encoder:
         if ids is None:
             found = self.model.tokenize(piece.decode() if piece.isascii() else piece.decode("latin-1").translate(_SPELLING))
             ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-            if len(piece) <= CACHE_BYTES and not self.holds_added(piece):
+            if len(piece) <= CACHE_BYTES and (piece.isalpha() and not self.added_letters or not self.holds_added(piece)):
                 self.young[piece] = ids
         return ids
 
@@ -334,7 +337,7 @@ class Encoder:
         out, other = {}, []
         for w in words:
             ids = self.old.get(w)
-            if ids is None and self.rule and (w.isalpha() or self.is_plain(w)) and not self.holds_added(w):
+            if ids is None and self.rule and (w.isalpha() and not self.added_letters or (w.isalpha() or self.is_plain(w)) and not self.holds_added(w)):
                 ids = self._plain(w)
             if ids is None:
                 other.append(w)
@@ -396,16 +399,20 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: in
         def flush():
             file.segment(doc_ids, lengths, np.frombuffer(b"".join(parts), "<u4"))
 
-        for ids, texts in _chunks(batches):
-            for i, t in zip(ids, texts):
-                data = encoder.encode(t or b"")
-                doc_ids.append(i)
-                lengths.append(len(data) // 4 + 1)
-                parts += [data, end]
-                n += lengths[-1]
-                if n >= segment_ids:
-                    flush()
-                    doc_ids, lengths, parts, n = [], [], [], 0
+        gc.disable()  # nothing here refers to itself
+        try:
+            for ids, texts in _chunks(batches):
+                for i, t in zip(ids, texts):
+                    data = encoder.encode(t or b"")
+                    doc_ids.append(i)
+                    lengths.append(len(data) // 4 + 1)
+                    parts += [data, end]
+                    n += lengths[-1]
+                    if n >= segment_ids:
+                        flush()
+                        doc_ids, lengths, parts, n = [], [], [], 0
+        finally:
+            gc.enable()
         if doc_ids:
             flush()
         if not file.segments:
