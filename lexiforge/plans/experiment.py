@@ -22,7 +22,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiforge.functions.draws import hash64
@@ -98,7 +98,9 @@ def fit_eval(rows: DataFrame, features: PipelineModel, test: DataFrame, max_iter
     A test label that training has not seen is counted as wrong."""
     lr = LogisticRegression(featuresCol="features", labelCol="target_d", weightCol="weight", maxIter=max_iter,
                             regParam=0.01)
-    pred = lr.fit(rows).transform(features.transform(test))
+    # The probabilities alone are read: without the other two columns a row's vectors are made once.
+    model = lr.fit(rows).setRawPredictionCol("").setPredictionCol("")
+    pred = model.transform(features.transform(test))
     logits = F.transform(vector_to_array("probability"), lambda p: F.log(F.greatest(p, F.lit(SMALLEST_P))))
     target = F.col("target_d").cast("int")
     # The class of unseen labels comes last and the model has none for it.
@@ -116,17 +118,20 @@ def train_eval(train: DataFrame, test: DataFrame, max_iter: int = 30) -> DataFra
 
 
 def gain_table(units: DataFrame, methods: dict[str, Augmenter], sizes=(100, 500, 2000, 5000), mixup: bool = True,
-               seed: int = 2020, num_features: int = 1 << 18) -> DataFrame:
+               seed: int = 2020, num_features: int = 1 << 18, tokens: Column | None = None) -> DataFrame:
     """M3 + A13: (size, method, n_train, n, accuracy, loss, base_accuracy, gain).
 
     Methods are 'none' (the base), the given augmenters and, with ``mixup``,
     'mixup'.  ``n_train`` counts the rows that the classifier sees (mixed pairs
-    as two).  A size beyond the training part takes all of it."""
+    as two).  A size beyond the training part takes all of it.  ``tokens`` makes
+    the tokens of units that come without: of the test part and of the subsets."""
+    units = units if tokens is None else units.drop("tokens")
+    with_tokens = lambda df: df if tokens is None else df.withColumn("tokens", tokens)
     # Whole documents go to one side, so that no sentence of a test document is trained on.
     split = split_train_dev_test(units, ["doc_id"], train=0.9, dev=0.0, seed=seed)
-    test = cut_lineage(split.where(F.col("split") == "test").select("label", "tokens"))
+    test = cut_lineage(with_tokens(split.where(F.col("split") == "test")).select("label", "tokens"))
     # The subsets hold as many rows as the largest size, whatever the input.
-    subsets = cut_lineage(stratified_tiers(split.where(F.col("split") == "train").drop("split"), KEYS, sizes=sizes, seed=seed)
+    subsets = cut_lineage(with_tokens(stratified_tiers(split.where(F.col("split") == "train").drop("split"), KEYS, sizes=sizes, seed=seed))
                           .drop("label_rank", "position"))
     results = []
     for size in sorted(sizes):

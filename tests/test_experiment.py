@@ -7,8 +7,9 @@ from pyspark.ml import Pipeline
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
+from lexiforge.functions.text import normalise_tokens
 from lexiforge.plans import experiment
-from lexiforge.sources.corpus import document_units
+from lexiforge.sources.corpus import document_sentences, document_units
 from tests.conftest import SF_SMALL
 
 ROWS = [(1, 0, 0, "x", ["a", "b", "a"]), (2, 0, 0, "x", ["a", "c"]), (3, 0, 0, "y", ["d", "e"]),
@@ -96,3 +97,21 @@ def test_gain_table(spark):
         # 3 and 15 batches of 20, five epochs, 10 pairs a batch, two rows a pair
         assert r.n_train == {"none": size, "twice": 2 * size, "mixup": size + size // 20 * 5 * 10 * 2}[method]
     assert rows[300, "none"].accuracy > 0.4
+
+
+def test_sentences_are_the_units_before_their_tokens(spark, tmp_path):
+    texts = [(1, "One two. ... Three!\n  \nfour-5?", "en"), (2, None, "fr"), (3, "", None), (4, "é ü. _ _ . 7", "de"), (4, "中文 x", "zh"),
+             (None, "no id. İstanbul", "tr")]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(document_units(spark, str(tmp_path)).collect(), key=str)
+    sentences = document_sentences(spark, str(tmp_path))
+    got = sentences.withColumn("tokens", normalise_tokens("sentence")).drop("sentence")
+    assert want and sorted(got.collect(), key=str) == want
+
+
+def test_gain_table_makes_tokens_of_the_rows_it_picks(spark):
+    sizes = {"sizes": (60,), "mixup": False, "num_features": FEATURES}
+    want = experiment.gain_table(document_units(spark, SF_SMALL), {}, **sizes).first()
+    got = experiment.gain_table(document_sentences(spark, SF_SMALL), {}, tokens=normalise_tokens("sentence"), **sizes).first()
+    assert (got.n_train, got.n, got.accuracy) == (want.n_train, want.n, want.accuracy)
+    assert got.loss == pytest.approx(want.loss)
